@@ -36,7 +36,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     clean = _NOT_LETTERS.sub(" ", text.lower())
     codes = np.frombuffer(f" {clean.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(codes) <= 2:
+    if len(codes) <= 2 or not clean.isascii() and not any(c.isalpha() for c in clean):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     parts = []
     for at in range(0, len(codes), PIECE):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, tokens
+from . import decontaminate, langid, phrases, simhash, tokens
 from .common import table
 
 
@@ -14,6 +14,36 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), "item_id", F.col("start").alias("first_word"), F.col("until").alias("end_word"), F.col("n_match").alias("n_match"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = phrases.drop_repeated_passages(table(spark, sf_dir, "documents"), width=13)
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS MATERIALIZED (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS p FROM d)
+), lo AS MATERIALIZED (
+  SELECT t, min(doc_id) AS least FROM win GROUP BY t HAVING min(doc_id) < max(doc_id)
+), gone AS MATERIALIZED (
+  SELECT DISTINCT win.doc_id, p + k AS p FROM win JOIN lo USING (t), (SELECT unnest(range(0, 13)) AS k) WHERE lo.least < win.doc_id
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY words.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokens.write_tokens(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
     return tokens.read_index(files)
@@ -26,5 +56,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op8_token_output, op9_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op8_token_output, op9_language_id)}
+ORACLES: dict[str, str] = {"op6_substring_dedup": OP6_SQL}
