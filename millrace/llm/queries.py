@@ -5,10 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, phrases, simhash, tokens
+from . import ann, decontaminate, langid, mixing, phrases, simhash, tokens
 from .common import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.plan_mix(table(spark, sf_dir, "documents"), cycle=(5, 2, 1), share=1.5, most=2.0)
+    return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS most FROM s
+), o AS (
+  SELECT *, most / weight AS stop,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, CASE WHEN f IS NULL THEN most ELSE least(f * weight, most) END AS target
+  FROM o, (SELECT first(level ORDER BY stop, place) FILTER (level <= stop) AS f FROM o)
+), q AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0::DOUBLE AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (size * ((middle < target)::INT + (middle + source_size < target)::INT))::BIGINT AS taken FROM q
+"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -44,6 +72,24 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS rank
+  FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+) WHERE rank <= 20
+"""
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokens.write_tokens(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
     return tokens.read_index(files)
@@ -56,5 +102,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op8_token_output, op9_language_id)}
-ORACLES: dict[str, str] = {"op6_substring_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id)}
+ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_nearest_neighbours": OP7_SQL}
