@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, phrases, simhash, tokens
+from . import ann, decontaminate, langid, mixing, phrases, secret_scan, simhash, tokens
 from .common import table
 
 
@@ -37,6 +37,10 @@ SELECT doc_id, size, source_size, target, (size * ((middle < target)::INT + (mid
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -102,5 +106,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id)}
 ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_nearest_neighbours": OP7_SQL}
