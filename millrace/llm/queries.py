@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, phrases, secret_scan, simhash, tokens
+from . import ann, decontaminate, langid, mixing, phrases, secret_scan, simhash, tokens, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    got = toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return got.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.plan_mix(table(spark, sf_dir, "documents"), cycle=(5, 2, 1), share=1.5, most=2.0)
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -106,5 +113,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id)}
 ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_nearest_neighbours": OP7_SQL}
