@@ -1,10 +1,11 @@
 """Token-id files: independent zstandard frames, a seek table with checksums, and a document index.
 
 A file is a run of zstandard frames followed by two skippable frames, so that ``zstd -d`` decodes
-the whole to the plain ids (little-endian unsigned 32-bit):
+the whole to the plain ids (little-endian, unsigned, 16 bits if the vocabulary fits, else 32):
 
-* a document index (skippable, magic 0x184D2A50): a zstandard frame that holds, per document, its
-  id, its number of ids, their crc32, and the frame and the place in it where they begin;
+* a document index (skippable, magic 0x184D2A50): a zstandard frame that holds the bytes of an id
+  and, per document, its id, its number of ids, the crc32 of these as 32-bit integers, and the
+  frame and the place in it where they begin;
 * the seek table (skippable, magic 0x184D2A5E): per frame the compressed size, the plain size and
   the low 32 bits of the plain bytes' XXH64; then the number of frames, a flag byte 0x80 (there are
   checksums), and the magic number 0x8F92EAB1.
@@ -14,6 +15,7 @@ A reader takes the last bytes, then the two tables, then only the frames it need
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -23,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -38,20 +41,33 @@ FILE_ROWS = 20_000
 _SKIP_INDEX, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n_tokens", "<u8"), ("ids_crc32", "<u4"), ("frame", "<u4"), ("at", "<u8")])
 
-#: Pieces that a worker remembers with their ids. The cache is emptied when full.
-CACHE = 300_000
+#: Parts of texts that a worker remembers with their ids, in each of two generations: when the
+#: young one is full it becomes the old one, and only what is met again moves on.
+CACHE = 500_000
 #: A space before something that isn't space begins a new piece of the pre-tokenizer.
 _ODD = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
+#: The byte-level pre-tokenizer's pieces (fixed by the format).
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _state: dict = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones as they are,
+    the others as the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class Encoder:
-    """Encodes texts with a byte-level BPE file of the tokenizers library.
+    """Encodes texts with a file of the tokenizers library.
 
-    The pre-tokenizer always begins a piece at a space that is followed by something else than
-    space, and merges never cross pieces; so a text's ids are the ids of the parts between such
-    places. Parts repeat, so each worker keeps those it has met; the others are encoded in batches.
+    For byte-level BPE, the pre-tokenizer always begins a piece at a space that is followed by
+    something else than space, and merges never cross pieces; so a text's ids are the ids of the
+    parts between such places. Parts repeat, so each worker keeps those it has met, and the
+    model encodes the pieces of the others. Files of another kind encode each text as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,7 +78,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.by_parts = made.get("normalizer") is None and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.letters = byte_letters()
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def piece(self, p: str) -> bytes:
+        """The ids of one piece of the pre-tokenizer."""
+        ids = self.young.get(p) or self.old.get(p)
+        if ids is None:
+            ids = self.pack([t.id for t in self.tokenizer.model.tokenize(p.encode("utf-8", "replace").decode("latin-1").translate(self.letters))])
+        self.young[p] = ids
+        return ids
+
+    def part(self, p: str) -> bytes:
+        if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+            return self.piece(p)
+        if _UNSURE.search(p):  # what counts as space differs between libraries
+            return self.pack(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        return b"".join([self.piece(q) for q in _PIECES.findall(p)])
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -73,16 +114,16 @@ class Encoder:
         return cut[:1] + [" " + p for p in cut[1:]] if len(cut) > 1 else cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, without an end id, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, split = self.known, [self.parts(t) if t else [] for t in texts]
-        new = list({p for parts in split for p in parts if p not in known})
-        for at in range(0, len(new), 2000):
-            batch = new[at : at + 2000]
-            for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in split]
+        """Each text's ids, without an end id, little-endian in ``width`` bytes each."""
+        if not self.by_parts:
+            return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old, split = self.young, self.old, [self.parts(t) if t else [] for t in texts]
+        for p in set().union(*split):
+            if p not in young:
+                young[p] = old.get(p) or self.part(p)
+        return [b"".join(map(young.__getitem__, parts)) for parts in split]
 
 
 def encoder(path: str) -> Encoder:
@@ -92,20 +133,30 @@ def encoder(path: str) -> Encoder:
     return _state[path]
 
 
+def as_u4(ids: bytes, width: int) -> np.ndarray:
+    """Stored ids as unsigned 32-bit integers."""
+    return np.frombuffer(ids, "<u2").astype("<u4") if width == 2 else np.frombuffer(ids, "<u4")
+
+
+def crc_of(ids: bytes, width: int) -> int:
+    """The crc32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(as_u4(ids, width))
+
+
 # --- the file format ---------------------------------------------------------------------------
 
 
 class Writer:
     """Writes one file; ``add`` documents in order, then ``close``."""
 
-    def __init__(self, sink, frame: int = FRAME, level: int = 3) -> None:
-        self.sink, self.frame = sink, frame
+    def __init__(self, sink, width: int = 4, frame: int = FRAME, level: int = 3) -> None:
+        self.sink, self.width, self.frame = sink, width, frame
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.held: list[bytes] = []
         self.size, self.frames, self.index = 0, [], []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.index.append((doc_id or 0, doc_id is None, len(ids) // 4, zlib.crc32(ids), len(self.frames), self.size // 4))
+        self.index.append((doc_id or 0, doc_id is None, len(ids) // self.width, crc_of(ids, self.width), len(self.frames), self.size // self.width))
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= self.frame:
@@ -121,11 +172,11 @@ class Writer:
     def close(self) -> int:
         if self.held:
             self._end()
-        index = self.pack.compress(np.array(self.index, _INDEX).tobytes())
+        index = self.pack.compress(bytes([self.width]) + np.array(self.index, _INDEX).tobytes())
         self.sink.write(struct.pack("<II", _SKIP_INDEX, len(index)) + index)
         seek = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _SEEK_MAGIC)
         self.sink.write(struct.pack("<II", _SKIP_SEEK, len(seek)) + seek)
-        return sum(f[1] for f in self.frames) // 4
+        return sum(f[1] for f in self.frames) // self.width
 
 
 class Reader:
@@ -144,7 +195,8 @@ class Reader:
         magic, length = struct.unpack("<II", self._at(int(self.starts[-1]), 8))
         if magic != _SKIP_INDEX:
             raise ValueError("no document index")
-        self.index = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._at(int(self.starts[-1]) + 8, length)), _INDEX)
+        index = zstandard.ZstdDecompressor().decompress(self._at(int(self.starts[-1]) + 8, length))
+        self.width, self.index = index[0], np.frombuffer(index, _INDEX, offset=1)
         self.last: tuple[int, bytes] = (-1, b"")
 
     def _at(self, offset: int, n: int) -> bytes:
@@ -161,7 +213,8 @@ class Reader:
 
     def ids(self, row: int) -> bytes:
         e = self.index[row]
-        return self.frame(int(e["frame"]))[4 * int(e["at"]) : 4 * int(e["at"]) + 4 * int(e["n_tokens"])]
+        first = self.width * int(e["at"])
+        return self.frame(int(e["frame"]))[first : first + self.width * int(e["n_tokens"])]
 
     def documents(self, rows: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
         for row in range(len(self.index)) if rows is None else rows:
@@ -198,12 +251,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         name, made = f"part-{part:06d}.ids.zst", f"{root}/.attempt-{part}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        encode, end, n, writer, sink = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes(), 0, None, None
+        own, n, writer, sink = encoder(tokenizer), 0, None, None
+        end = end_id.to_bytes(own.width, "little")
         for batch in blocks(batches):
             if writer is None:
                 sink = fs.open_output_stream(made)
-                writer = Writer(sink)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch)), strict=True):
+                writer = Writer(sink, own.width)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts_of(batch)), strict=True):
                 writer.add(doc_id, ids + end)
                 n += 1
         if writer is not None:
@@ -230,8 +284,8 @@ def read_index(files: DataFrame) -> DataFrame:
                 with fs.open_input_file(at) as source:
                     ids, start, out = Reader(source), first, []
                     for doc_id, got in ids.documents():
-                        out.append((doc_id, start, len(got) // 4, zlib.crc32(got)))
-                        start += len(got) // 4
+                        out.append((doc_id, start, len(got) // ids.width, crc_of(got, ids.width)))
+                        start += len(got) // ids.width
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -251,7 +305,7 @@ def read_documents(files: DataFrame, wanted: Iterable[int]) -> DataFrame:
                     reader = Reader(source)
                     rows = np.flatnonzero(np.isin(reader.index["doc_id"], asked) & (reader.index["null"] == 0))
                     for doc_id, ids in reader.documents(rows.tolist()):
-                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([np.frombuffer(ids, "<u4").astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([as_u4(ids, reader.width).astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return files.select("path").mapInArrow(run, "doc_id long, ids array<long>")
 
