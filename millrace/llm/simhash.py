@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, keyed, texts_of
+from .common import blocks, cut, keyed, mix, texts_of
 from .components import connected_components
 
 #: Largest number of fingerprints in one cell; more are split.
@@ -57,29 +57,41 @@ def majority(hashes: np.ndarray) -> int:
     return out
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of a text: lower-case A-Z, words, shingles with repeats, XXH64 seed 42."""
+def shingle_digests(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles, repeats included; a shorter text is one shingle."""
     words = _WORDS.findall((text or "").translate(_LOWER) if text and not text.isascii() else (text or "").lower())
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data = " ".join(words).encode("utf-8", "surrogatepass")
     ends = np.cumsum([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words]) + np.arange(len(words))
     n = max(1, len(words) - shingle + 1)
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    return majority(np.fromiter((digest(data[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+    return np.fromiter((digest(data[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of a text: lower-case A-Z, words, shingles with repeats, XXH64 seed 42."""
+    return majority(shingle_digests(text, shingle))
+
+
+def long_fingerprint(text: str | None, shingle: int, words: int) -> list[int]:
+    """``words`` times 64 bits: the first is the fingerprint, the others use the hashes mixed anew."""
+    digests = shingle_digests(text, shingle)
+    return [majority(mix(digests ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else digests) for k in range(words)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(id, th, fp) of a keyed table; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
+    """(id, th, f0, f1, ...) of a keyed table, with fingerprint words as signed longs."""
+    names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            fps = np.fromiter((fingerprint(t, shingle) for t in texts_of(batch)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["id", "th", "fp"])
+            fps = np.array([long_fingerprint(t, shingle, words) for t in texts_of(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(fps[:, k]) for k in range(words)]], names=["id", "th", *names])
 
-    return docs.mapInArrow(run, "id long, th long, fp long")
+    return docs.mapInArrow(run, "id long, th long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _pieces(blocks_: int) -> list[tuple[int, int]]:
@@ -100,6 +112,19 @@ def band_keys(fp: Column, radius: int = 4, agree: int = 2) -> Column:
     return F.array(*keys)
 
 
+def lsh_keys(words: list[Column], bits: int) -> Column:
+    """Keys of consecutive runs of ``bits`` bits: near fingerprints agree on some of them with high
+    probability."""
+    keys, total = [], 64 * len(words)
+    for t, at in enumerate(range(0, total - bits + 1, bits)):
+        k, low = divmod(at, 64)
+        value = F.shiftrightunsigned(words[k], low)
+        if low + bits > 64:
+            value = value.bitwiseOR(F.shiftleft(words[k + 1], 64 - low))
+        keys.append(value.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(t << 32)))
+    return F.array(*keys)
+
+
 def _over(counter: list[np.ndarray], radius: int) -> np.ndarray:
     """Bits set where a vertical counter is more than ``radius``."""
     more, same = np.zeros_like(counter[0]), np.full_like(counter[0], _ONES)
@@ -128,17 +153,20 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def bit_sliced_groups(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> np.ndarray:
     """For rows sorted by cell: the index of the first row with which each row is linked, directly or
-    through others, inside its cell. Rows link where their fingerprints differ in ``radius`` bits at most."""
+    through others, inside its cell. Rows (of one or more 64-bit words) link where they differ in
+    ``radius`` bits at most."""
     n = len(fps)
+    fps = fps.reshape(n, -1)
+    bits = 64 * fps.shape[1]
     parent = np.arange(n)
     if n < 2:
         return parent
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
     words = -(-n // 64)
-    padded = np.zeros(words * 64, np.uint64)
+    padded = np.zeros((words * 64, fps.shape[1]), np.uint64)
     padded[:n] = fps
-    planes = np.stack([np.packbits((padded >> np.uint64(b)).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for b in range(64)])
+    planes = [np.packbits((padded[:, b // 64] >> np.uint64(b % 64)).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for b in range(bits)]
     width = (radius + 1).bit_length()
     rows = np.arange(n)
     offset = 0
@@ -154,8 +182,8 @@ def bit_sliced_groups(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> np
         wanted[low > 63] = 0
         over, left, fp = ~wanted, rows, fps[rows]
         counter = [np.zeros(len(left), np.uint64) for _ in range(width)]
-        for b in range(64):
-            add = planes[b][word] ^ (np.uint64(0) - ((fp >> np.uint64(b)) & np.uint64(1)))
+        for b in range(bits):
+            add = planes[b][word] ^ (np.uint64(0) - ((fp[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
             for k in range(width):
                 counter[k], add = counter[k] ^ add, counter[k] & add
             over = over | add
@@ -175,37 +203,39 @@ def bit_sliced_groups(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> np
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows (cell, fp) sorted by cell; holds one cell and ``ROWS`` rows at most."""
-    cells, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Links of rows (cell, node, fingerprint words) sorted by cell; holds one cell and ``ROWS`` rows at most."""
+    held: list[np.ndarray] = []
+    size = 0
 
-    def done(upto: int) -> pa.RecordBatch:
-        first = bit_sliced_groups(cells[:upto], fps[:upto], radius)
-        moved = first != np.arange(upto)
-        a, b = fps[:upto][moved].view(np.int64), fps[first[moved]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def done(rows: np.ndarray) -> pa.RecordBatch:
+        first = bit_sliced_groups(rows[:, 0], rows[:, 2:].view(np.uint64), radius)
+        moved = first != np.arange(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(rows[moved, 1]), pa.array(rows[first[moved], 1])], names=["a", "b"])
 
     for batch in batches:
-        cells = np.concatenate([cells, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-        if len(fps) >= ROWS:
-            upto = int(np.searchsorted(cells, cells[-1]))
+        held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+        size += batch.num_rows
+        if size >= ROWS:
+            rows = np.concatenate(held)
+            upto = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
             if upto:
-                yield done(upto)
-                cells, fps = cells[upto:], fps[upto:]
-    if len(fps):
-        yield done(len(fps))
+                yield done(np.ascontiguousarray(rows[:upto]))
+            held, size = [rows[upto:]], len(rows) - upto
+    if size:
+        yield done(np.concatenate(held))
 
 
-def near_links(distinct: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within ``radius`` bits, from a table of distinct ``fp``."""
-    filed = distinct.select("fp", F.explode(band_keys(F.col("fp"), radius)).alias("key"))
+def near_links(distinct: DataFrame, keys: Column, words: list[str], radius: int = 4, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that connect all nodes which share a key and whose fingerprints are within
+    ``radius`` bits, from a table of distinct (node, fingerprint words)."""
+    filed = distinct.select("node", *words, F.explode(keys).alias("key"))
     sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = filed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / cell))
-    met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     # A part meets itself and each other part: cells for all pairs of parts; one part, one cell.
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select(F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("cell"), "fp")
-    sorted_ = met.repartition("cell").sortWithinPartitions("cell", "fp")
+    place = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    sorted_ = met.select(place.alias("cell"), "node", *words).repartition("cell").sortWithinPartitions("cell", "node")
     return sorted_.mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
 
 
@@ -216,11 +246,40 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id take part but name no component unless they stand alone (then it is null).
     Repeated rows come back once each. An empty table gives none. Other columns are not read.
     """
-    fps = cut(fingerprints(keyed(docs, id_col, text_col), shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(near_links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    classes = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    fps = cut(fingerprints(keyed(docs, id_col, text_col), shingle).withColumnRenamed("f0", "node"), "fingerprints")
+    distinct = fps.groupBy("node").agg(F.min("id").alias("least"))
+    links = near_links(distinct.select("node", F.col("node").alias("f0")), band_keys(F.col("f0"), radius), ["f0"], radius)
+    roots = connected_components(links)
+    classes = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(classes.join(smallest, "root").select("fp", "component"), "fp").select("id", "th", "fp", "component")
+    return fps.join(classes.join(smallest, "root").select("node", "component"), "node").select("id", "th", F.col("node").alias("fp"), "component")
+
+
+#: For near-duplicates at a similarity: four fingerprint words, keys of eleven bits (23 of them). A
+#: pair at Jaccard similarity 0.8 differs in 15% of the bits and shares a key with probability 0.98.
+LONG, LONG_KEY = 4, 11
 
 
+def radius_for(similarity: float, words: int = LONG) -> int:
+    """Differing bits to expect of shingle sets with this Jaccard similarity."""
+    return round(64 * words * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: that with the smallest id.
+
+    Documents link where fingerprints of 256 bits over shingles of five words are as near as sets
+    of the given Jaccard similarity are on average; groups are connected. Null texts are empty;
+    texts without words are copies of each other; a null id is larger than any other; of repeated
+    rows one stays. An empty table gives none. All columns stay as they are.
+    """
+    names = [f"f{k}" for k in range(LONG)]
+    fps = cut(fingerprints(keyed(docs, id_col, text_col), shingle, LONG).withColumn("node", F.xxhash64(*names)), "long-fingerprints")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("th").alias("th"))
+    distinct = fps.groupBy("node").agg(*[F.min(n).alias(n) for n in names], F.min(order).alias("least"))
+    links = near_links(distinct.select("node", *names), lsh_keys([F.col(n) for n in names], LONG_KEY), names, radius_for(similarity))
+    classes = distinct.join(connected_components(links), "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th"))
+    rank = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
+    return docs.join(kept, same).withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
