@@ -1,0 +1,61 @@
+"""Conversations as tables: windows of turns, anchors, merged facts, costs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .guardrails import anchor_rules
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """Turns with a dense number from 1 in each conversation."""
+    return turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+
+
+def window_state(turns: DataFrame, size: int = 6) -> DataFrame:
+    """Per turn: messages in the window, evicted turns, and anchors that evicted turns have left."""
+    rows = numbered(turns).withColumn("anchored", F.size(anchor_rules(F.coalesce("text", F.lit("")))) > 0)
+    past = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -size)
+    kept = F.coalesce(F.sum(F.col("anchored").cast("long")).over(past), F.lit(0).cast("long"))
+    return rows.select("conv_id", "turn", "role", "n", F.least("n", F.lit(size)).alias("in_window"), F.greatest(F.col("n") - size, F.lit(0)).alias("evicted"), kept.alias("anchors"))
+
+
+def messages(turns: DataFrame, size: int = 6) -> DataFrame:
+    """The message list at each conversation's end: anchors of evicted turns, then the window, in order."""
+    rows = numbered(turns)
+    last = rows.groupBy("conv_id").agg(F.max("n").alias("last"))
+    rows = rows.join(last, "conv_id").withColumn("recent", F.col("n") > F.col("last") - size)
+    rows = rows.where(F.col("recent") | (F.size(anchor_rules(F.coalesce("text", F.lit("")))) > 0))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("recent").cast("int").alias("rank"), "n", "role")))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_join(F.transform(listed, lambda m: F.concat_ws(":", m["n"].cast("string"), m["role"])), ",").alias("order"))
+
+
+def carried(value: Column, *order: str, by: str = "conv_id") -> Column:
+    """The last value so far that isn't null or empty."""
+    return F.last(F.when(value.cast("string") != "", value), ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def union_words(lists: Column) -> Column:
+    """Words of a list of lists, first spelling first, each once regardless of case."""
+    return F.aggregate(F.flatten(lists), F.array().cast("array<string>"), lambda seen, w: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(w)), seen).otherwise(F.concat(seen, F.array(w))))
+
+
+def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Calls (model, tokens_in, tokens_out, ...) with the price of the longest known prefix of the model
+    (0 if none) and their cost. The price list is a small dimension."""
+    named = calls.withColumn("bare", F.regexp_replace("model", "^[^/]+/", ""))
+    models = named.select("bare").distinct()
+    found = models.join(prices, F.startswith("bare", F.col("prefix"))).groupBy("bare").agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("price"))
+    out = named.join(found, "bare", "left")
+    price = lambda f: F.coalesce(F.col(f"price.{f}"), F.lit(0.0))
+    return out.withColumn("cost_usd", F.round(F.col("tokens_in") * price("price_in") / 1e6 + F.col("tokens_out") * price("price_out") / 1e6, 6)).drop("bare", "price")
+
+
+def turn_totals(calls: DataFrame) -> DataFrame:
+    """One row for each turn, and the cost of the conversation so far."""
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    exact = F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0)).cast("decimal(18,8)"))
+    turns = calls.groupBy("conv_id", "turn").agg(F.count("*").alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"), exact.alias("cost_usd"))
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return turns.withColumn("cumulative_usd", F.sum("cost_usd").over(so_far).cast("double")).withColumn("cost_usd", F.col("cost_usd").cast("double"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analytics, conversations, documents, records, vectors
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLES", "QUERIES", "FLAGSHIP", "analytics", "conversations", "documents", "records", "vectors"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "orders_validation"
+FLAGSHIP = "validate_route"
