@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     found = models.join(prices, F.startswith("bare", F.col("prefix"))).groupBy("bare").agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("price"))
     out = named.join(found, "bare", "left")
     price = lambda f: F.coalesce(F.col(f"price.{f}"), F.lit(0.0))
-    return out.withColumn("cost_usd", F.round(F.col("tokens_in") * price("price_in") / 1e6 + F.col("tokens_out") * price("price_out") / 1e6, 6)).drop("bare", "price")
+    return out.withColumn("cost_usd", F.round((F.col("tokens_in") * price("price_in") + F.col("tokens_out") * price("price_out")).cast("decimal(20,4)") * F.lit(Decimal("0.000001")), 6).cast("double")).drop("bare", "price")
 
 
 def turn_totals(calls: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH priced AS (SELECT c.conv_id, c.turn, tokens_in, tokens_out, round(tokens_in * coalesce(price_in, 0) / 1e6::DOUBLE + tokens_out * coalesce(price_out, 0) / 1e6::DOUBLE, 6) AS cost
+WITH priced AS (SELECT c.conv_id, c.turn, tokens_in, tokens_out, round((tokens_in * coalesce(price_in, 0) + tokens_out * coalesce(price_out, 0))::DECIMAL(20,4) * 0.000001::DECIMAL(7,6), 6)::DOUBLE AS cost
   FROM {_CALLS} c LEFT JOIN {_PRICES} ON prefix = CASE WHEN model LIKE '%gpt-4o-mini%' THEN 'gpt-4o-mini' WHEN model LIKE '%gpt-4o%' THEN 'gpt-4o' WHEN model LIKE '%gpt-4%' THEN 'gpt-4' END)
 SELECT conv_id, turn, calls, tokens_in, tokens_out, cost_usd::DOUBLE AS cost_usd, (sum(cost_usd) OVER (PARTITION BY conv_id ORDER BY turn))::DOUBLE AS cumulative_usd
 FROM (SELECT conv_id, turn, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum(cost::DECIMAL(18,8)) AS cost_usd FROM priced GROUP BY conv_id, turn)
