@@ -2,7 +2,7 @@
 
 A window is ``width`` consecutive words. The job is one plan over texts dealt out once by id:
 
-1. *Candidates.* Each window names an anchor: the least hash of its five-word runs. A window that
+1. *Candidates.* Each window names an anchor: the least hash of its four-word runs. A window that
    two texts share has one anchor in both, so only anchors that occur in several texts matter.
    Exact copies are set aside first: all words of a later copy are covered by the first one.
 2. *Confirmed passages.* The windows of recurring anchors are counted by window (with a map-side
@@ -25,17 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_words, keyed, shingle_hashes, texts_of
+from .common import blocks, hash_words, shingle_hashes, texts_of
 
 WIDTH = 13
 #: Words of the runs whose least hash is a window's anchor.
-ANCHOR = 5
+ANCHOR = 4
 #: Stretches of one anchor that one task streams; more are salted.
 SALT = 5000
 #: Stretches of one anchor for which its patterns are one chunk.
 CHUNK = 50_000
-#: Patterns in one automaton, and words of stretches that wait for it.
-PATTERNS, WAITING = 40_000, 400_000
+#: Patterns in one automaton, and words of stretches that wait for it. A state's branches are
+#: searched one by one, so many small automata are faster than a large one.
+PATTERNS, WAITING = 400, 20_000
+#: A null id: it is larger than any other.
+UNNAMED = (1 << 63) - 1
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -47,12 +50,16 @@ def windows(texts: list[str], width: int = WIDTH, anchor: int = ANCHOR) -> tuple
     if not len(h):
         return at, at, h, h
     run = min(anchor, width)
-    runs = np.full(len(words), np.uint64(0xFFFFFFFFFFFFFFFF))
+    least = np.full(len(words), np.uint64(0xFFFFFFFFFFFFFFFF))
     g, where = shingle_hashes(words, offsets, run)
-    runs[where] = g & _LOW48
-    least = runs[at]
-    for k in range(1, width - run + 1):
-        least = np.minimum(least, runs[at + k])
+    least[where] = g & _LOW48
+    # the least of width - run + 1 neighbours, by doubling; windows stay inside their text
+    have, want = 1, width - run + 1
+    while have < want:
+        step = min(have, want - have)
+        least[:-step] = np.minimum(least[:-step], least[step:])
+        have += step
+    least = least[at]
     text = np.searchsorted(offsets, at, side="right") - 1
     return text, at - offsets[text], h, least
 
@@ -63,7 +70,7 @@ def _batch(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[s.split()[1]]) for c, s in zip(columns, schema.split(", "), strict=True)], names=names)
 
 
-_ANCHORS = "id long, th long, anchor long"
+_ANCHORS = "id long, anchor long"
 
 
 def _anchors(width: int):
@@ -72,21 +79,24 @@ def _anchors(width: int):
             text, _, _, anchor = windows(texts_of(batch), width)
             if not len(text):
                 continue
-            # each anchor once a text
+            # each anchor once a text; neighbours mostly share theirs
+            new = np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]
+            text, anchor = text[new], anchor[new]
             order = np.lexsort((anchor, text))
             text, anchor = text[order], anchor[order]
             new = np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]
             text = text[new]
-            yield _batch(_ANCHORS, batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), anchor[new].view(np.int64))
+            yield _batch(_ANCHORS, batch.column(0).take(pa.array(text)), anchor[new].view(np.int64))
 
     return run
 
 
-_STRETCHES = "id long, th long, anchor long, n long, at int, words string"
+_STRETCHES = "id long, th long, anchor long, at int, words string"
 
 
 def _stretches(width: int):
-    """Runs of windows with one recurring anchor, as the words they span."""
+    """Runs of windows with one recurring anchor, as the words they span. The anchor's number of
+    salts stands above its 48 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -98,9 +108,9 @@ def _stretches(width: int):
             for k, hits in enumerate(batch.column(3)):
                 mine = slice(edges[k], edges[k + 1])
                 a, p = anchor[mine].view(np.int64), at[mine]
-                known = np.array(hits.values.field(0), np.int64)
-                order = np.argsort(known)
-                known, counts = known[order], np.array(hits.values.field(1), np.int64)[order]
+                salted = np.array(hits.values, np.int64)
+                salted = salted[np.argsort(salted & int(_LOW48))]
+                known = salted & int(_LOW48)
                 place = np.minimum(np.searchsorted(known, a), len(known) - 1)
                 ok = np.flatnonzero(known[place] == a) if len(a) else np.zeros(0, np.int64)
                 if not len(ok):
@@ -109,14 +119,14 @@ def _stretches(width: int):
                 cuts = np.flatnonzero(np.r_[True, (a[ok[1:]] != a[ok[:-1]]) | (ok[1:] != ok[:-1] + 1)])
                 for i, j in zip(cuts, np.r_[cuts[1:], len(ok)], strict=True):
                     first, last = int(p[ok[i]]), int(p[ok[j - 1]])
-                    out.append((ids[k], ths[k], int(a[ok[i]]), int(counts[place[ok[i]]]), first, " ".join(words[first : last + width])))
+                    out.append((ids[k], ths[k], int(salted[place[ok[i]]]), first, " ".join(words[first : last + width])))
             if out:
                 yield _batch(_STRETCHES, *[list(c) for c in zip(*out, strict=True)])
 
     return run
 
 
-_WINDOWS = "id long, anchor long, n long, window long"
+_WINDOWS = "id long, anchor long, window long"
 
 
 def _stretch_windows(width: int):
@@ -125,7 +135,7 @@ def _stretch_windows(width: int):
             words, offsets = hash_words(texts_of(batch, "words"))
             h, at = shingle_hashes(words, offsets, width)
             row = pa.array(np.searchsorted(offsets, at, side="right") - 1)
-            yield _batch(_WINDOWS, *[batch.column(c).take(row) for c in (0, 2, 3)], h.view(np.int64))
+            yield _batch(_WINDOWS, *[batch.column(c).take(row) for c in (0, 2)], h.view(np.int64))
 
     return run
 
@@ -175,7 +185,7 @@ class _Shard:
         for id_, th, _, at, text in stretches:
             first = until = -1
             for end, least in self.automaton.iter(tuple([number(w, 0) for w in text.split(" ")])):
-                if id_ is None or least < id_:
+                if least < id_:
                     start = end - width + 1
                     if start > until:
                         if until >= 0:
@@ -188,7 +198,8 @@ class _Shard:
 
 
 def _locate(width: int):
-    """Rows (cell, kind, ...) sorted by cell and kind: a cell's patterns come before its stretches."""
+    """Rows (anchor, part, id, th, at, words) in order of anchor and part: a part's patterns (even
+    numbers, with least id and window hash as id and th) come before its stretches (odd)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, cell = _Shard(width), None
@@ -208,15 +219,15 @@ def _locate(width: int):
 
         for batch in batches:
             rows = zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)], strict=True)
-            for key, kind, anchor, window, least, id_, th, at, words in rows:
-                if key != cell:
+            for anchor, part, id_, th, at, words in rows:
+                if (anchor, part >> 1) != cell:
                     # a cell ends: what has gathered is searched once it is enough
                     if shard.automaton is not None or len(shard.least) > PATTERNS or shard.size > WAITING:
                         yield from flush()
                         shard = _Shard(width)
-                    cell = key
-                if kind == 0:
-                    shard.least[anchor, window] = least
+                    cell = anchor, part >> 1
+                if not part & 1:
+                    shard.least[anchor, th] = id_
                 else:
                     shard.waiting.append((id_, th, anchor, at, words))
                     shard.size += words.count(" ") + 1
@@ -256,50 +267,39 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     in a document with a smaller id; kept words are joined by one space.
 
     A null text has no words. Texts shorter than a window stay whole. Rows with one id do not
-    cover each other; a null id counts as larger than any other and covers nothing. Repeated rows
-    give equal results, once each. An empty table gives none. Other columns are not read.
+    cover each other; a null id counts as larger than any other and covers nothing (the largest
+    long stands for it and is no id of its own). Repeated rows give equal results, once each. An empty table gives none. Other columns are not read.
     """
-    from pyspark.sql import types as T
-
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(docs, id_col, text_col).repartition(n, "id", "th")
+    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED))
+    # One exchange of the texts serves all steps: each joins by id, and tells rows that share an id by th.
+    texts = docs.select(id_.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    same_text = lambda a, b: (a["id"] == b["id"]) & (a["th"].bitwiseXOR(b["th"]) == 0)
     # Later exact copies (same text, larger id): few columns, so grouped before the join.
-    marks = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.hash(text_col).alias("th2"), F.length(text_col).alias("size"))
+    marks = docs.select(id_.alias("id"), F.xxhash64(text_col).alias("th"), F.hash(text_col).alias("th2"), F.length(text_col).alias("size"))
     same = ["th", "th2", "size"]
-    firsts = marks.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(*same, "first")
-    copies = marks.join(firsts, same).where("id > first or id is null").select("id", "th").distinct().withColumn("copy", F.lit(True))
-    same_row = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    sources = texts.join(copies, same_row(texts, copies), "left_anti")
+    firsts = marks.groupBy(*same).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(*same, "first")
+    copies = marks.join(firsts, same).where("id > first").select("id", "th").distinct().withColumn("copy", F.lit(True))
+    sources = texts.join(copies, same_text(texts, copies), "left_anti")
 
     anchors = sources.mapInArrow(_anchors(width), _ANCHORS)
     recurring = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    hits = anchors.join(recurring, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "n")).alias("hits"))
-    stretches = sources.join(hits, same_row(sources, hits)).select(sources["id"], sources["th"], "text", "hits").mapInArrow(_stretches(width), _STRETCHES)
-
-    salts = lambda n: F.ceil(n / SALT)
-    chunks = lambda n: F.ceil(n / CHUNK)
-    confirmed = (
-        stretches.mapInArrow(_stretch_windows(width), _WINDOWS)
-        .groupBy("anchor", "window")
-        .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("times"), F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("unnamed"))
-        .where("least is not null and (least < most or unnamed)")
-    )
-    cell = F.xxhash64("anchor", "chunk", "salt")
-    patterns = (
-        confirmed.withColumn("chunk", F.pmod("window", chunks(F.col("n"))))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts(F.col("n")) - 1)))
-        .select(cell.alias("cell"), F.lit(0).alias("kind"), "anchor", "window", "least", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("words"))
-    )
-    routed = (
-        stretches.withColumn("salt", F.pmod(F.xxhash64("id", "at"), salts(F.col("n"))))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks(F.col("n")) - 1)))
-        .select(cell.alias("cell"), F.lit(1).alias("kind"), "anchor", F.lit(None).cast("long").alias("window"), F.lit(None).cast("long").alias("least"), "id", "th", "at", "words")
-    )
-    shards = patterns.union(routed).repartition("cell").sortWithinPartitions("cell", "kind")
+    salted = F.shiftleft(F.least(F.ceil(F.col("n") / SALT), F.lit(0x7FFF)).cast("long"), 48).bitwiseOR(F.col("anchor"))
+    hits = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list(salted).alias("hits"))
+    stretches = sources.join(hits, "id").select("id", "th", "text", "hits").mapInArrow(_stretches(width), _STRETCHES)
+
+    salts = F.shiftright("anchor", 48).cast("int")
+    chunks = F.ceil(salts * SALT / CHUNK).cast("int")
+    part = lambda kind: ((F.col("chunk") * (1 << 16) + F.col("salt")) * 2 + kind).cast("int").alias("part")
+    to = lambda last: F.explode(F.sequence(F.lit(0), last - 1))
+    confirmed = stretches.mapInArrow(_stretch_windows(width), _WINDOWS).groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    patterns = confirmed.withColumn("chunk", F.pmod("window", chunks)).withColumn("salt", to(salts))
+    patterns = patterns.select("anchor", part(0), F.col("least").alias("id"), F.col("window").alias("th"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("words"))
+    routed = stretches.withColumn("salt", F.pmod(F.xxhash64("id", "at"), salts)).withColumn("chunk", to(chunks))
+    routed = routed.select("anchor", part(1), "id", "th", "at", "words")
+    shards = patterns.union(routed).repartition("anchor", F.shiftright("part", 1)).sortWithinPartitions("anchor", "part")
     found = shards.mapInArrow(_locate(width), _FOUND).groupBy("id", "th").agg(F.collect_list(F.struct("at", "until")).alias("found"))
 
-    empty = F.lit(None).cast(T.BooleanType())
-    whole = texts.join(copies, same_row(texts, copies), "left").select(texts["id"], texts["th"], "text", F.coalesce("copy", empty).alias("copy"))
-    whole = whole.join(found, same_row(whole, found), "left").select(whole["id"], whole["th"], "text", "copy", "found")
-    return whole.mapInArrow(_remove(width), _KEPT)
+    whole = texts.join(copies, same_text(texts, copies), "left").select(texts["id"], texts["th"], "text", "copy")
+    whole = whole.join(found, same_text(whole, found), "left").select(whole["id"], whole["th"], "text", "copy", "found")
+    kept = whole.mapInArrow(_remove(width), _KEPT)
+    return kept.withColumn("id", F.when(F.col("id") != UNNAMED, F.col("id")))
