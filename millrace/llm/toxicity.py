@@ -3,7 +3,8 @@
 1. Words of labelled texts are counted by label, each once a text (a word that one text repeats
    often says little). A word is a term of the model if its log-odds under a Dirichlet prior (the
    corpus' own word distribution, as strong as ``PRIOR`` times the corpus) is at
-   least ``ODDS`` and ``Z`` standard deviations above zero. All other words together are one further outcome.
+   least ``ODDS`` and the signed root of the likelihood ratio for it against equal shares at least
+   ``Z`` (unlike a normal bound it holds for counts of zero). All other words together are one further outcome.
 2. A word scores the log of its probability in toxic over that in clean texts, so a text's
    expected score is negative unless it is toxic. A linear-time scan (Ruzzo and Tompa) finds all
    maximal scoring segments.
@@ -11,7 +12,7 @@
    text of n words. K is fitted on clean texts; segments with an expected count of at most
    ``EXPECTED`` are the significant passages.
 4. The best segments' evidence, log sum exp(S) - log(K n), is mapped to a probability by a logistic
-   curve fitted on the labelled texts.
+   curve in its asinh (long texts have evidence in the hundreds), fitted on the labelled texts.
 """
 
 from __future__ import annotations
@@ -130,8 +131,8 @@ def fit_terms(labelled: DataFrame, text_col: str = "text", label_col: str = "tox
     if not n_t or not n_c:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     alpha, strength = F.lit(PRIOR) * (F.col("dt") + F.col("dc")), PRIOR * (n_t + n_c)
-    odds = lambda y, n: F.log((y + alpha) / (F.lit(float(n) + strength) - y - alpha))
-    z = (odds(F.col("dt"), n_t) - odds(F.col("dc"), n_c)) / F.sqrt(1 / (F.col("dt") + alpha) + 1 / (F.col("dc") + alpha))
+    part = lambda y, n: F.when(y > 0, y * F.log(y / ((F.col("dt") + F.col("dc")) * F.lit(float(n)) / F.lit(float(n_t + n_c))))).otherwise(0.0)
+    z = F.sqrt(F.greatest(2 * (part(F.col("dt"), n_t) + part(F.col("dc"), n_c)), F.lit(0.0)))
     p_t, p_c = (F.col("dt") + alpha) / F.lit(n_t + strength), (F.col("dc") + alpha) / F.lit(n_c + strength)
     score = F.log(p_t / p_c)
     got = counts.where(F.col("dt") >= LEAST_TEXTS).withColumns({"z": z, "score": score, "pt": p_t, "pc": p_c}).where((F.col("z") >= Z) & (F.col("score") >= ODDS))
@@ -180,14 +181,17 @@ def calibrate(model: Model, bins: list[tuple[int, float, int]]) -> None:
     w = np.array([b[2] for b in bins], float)
     if not len(bins) or not 0 < (w * y).sum() < w.sum():
         return
-    beta = np.array([-3.0, 1.0])
-    features = np.stack([np.ones_like(x), x], axis=1)
+    features = np.stack([np.ones_like(x), np.arcsinh(x)], axis=1)
     ridge = np.diag([1e-3, 1e-2])
-    for _ in range(50):
+    loss = lambda b: (w * np.logaddexp(0, (1 - 2 * y) * (features @ b))).sum() + b @ ridge @ b / 2
+    beta = np.array([-3.0, 1.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))
         gradient = features.T @ (w * (y - p)) - ridge @ beta
         step = np.linalg.solve((features * (w * p * (1 - p))[:, None]).T @ features + ridge, gradient)
-        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        now = loss(beta)
+        while np.abs(step).max() > 1e-9 and loss(beta + step) > now:  # the loss is convex: halving ends
+            step /= 2
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -218,7 +222,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     bins = scanned.join(F.broadcast(known), scanned["id"] == known["__id"]).groupBy("__toxic", x.alias("bin")).agg(F.count("*").alias("n")).collect()
     calibrate(model, [(r[0], (r[1] + 0.5) * _BIN, r[2]) for r in bins])
     normal = F.col("evidence") - log_n - math.log(model.k)
-    score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * normal)))
+    score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.asinh(normal))))
     expected = lambda s: F.lit(model.k) * F.col("n_words") * F.exp(-s["score"])
     passages = F.filter(F.transform("segments", lambda s: F.struct(s["start"], s["until"], s["score"], expected(s).alias("expected"))), lambda s: s["expected"] <= EXPECTED)
     return scanned.select("id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_words", passages.alias("passages"))
