@@ -5,8 +5,10 @@ A window is ``width`` consecutive words. The job is one plan over texts dealt ou
 1. *Candidates.* Each window names an anchor: the least hash of its four-word runs. A window that
    two texts share has one anchor in both, so only anchors that occur in several texts matter.
    Exact copies are set aside first: all words of a later copy are covered by the first one.
-2. *Confirmed passages.* The windows of recurring anchors are counted by window (with a map-side
-   combine); those that start in two documents or more become patterns with their least id.
+2. *Confirmed passages.* Windows of recurring anchors that start in two documents or more become
+   patterns with their least id. An anchor with few stretches of text has them all in one task,
+   which confirms their windows itself; the windows of frequent anchors are counted by window
+   (with a map-side combine).
 3. *Automata.* Patterns and the stretches of text around recurring anchors meet by anchor. Each
    task compiles automata of bounded size with pyahocorasick over word numbers and streams the
    stretches through them; every occurrence is located by its actual words. A frequent anchor's
@@ -37,6 +39,8 @@ CHUNK = 50_000
 #: Patterns in one automaton, and words of stretches that wait for it. A state's branches are
 #: searched one by one, so many small automata are faster than a large one.
 PATTERNS, WAITING = 400, 20_000
+#: Words of stretches of infrequent anchors that wait for an automaton: about as many patterns.
+CONFIRMING = 2000
 #: A null id: it is larger than any other.
 UNNAMED = (1 << 63) - 1
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,7 +74,7 @@ def _batch(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[s.split()[1]]) for c, s in zip(columns, schema.split(", "), strict=True)], names=names)
 
 
-_ANCHORS = "id long, anchor long"
+_ANCHORS = "id long, anchor long, runs long"
 
 
 def _anchors(width: int):
@@ -79,14 +83,13 @@ def _anchors(width: int):
             text, _, _, anchor = windows(texts_of(batch), width)
             if not len(text):
                 continue
-            # each anchor once a text; neighbours mostly share theirs
+            # each anchor once a text, with its number of runs; neighbours mostly share theirs
             new = np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]
             text, anchor = text[new], anchor[new]
             order = np.lexsort((anchor, text))
             text, anchor = text[order], anchor[order]
-            new = np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]
-            text = text[new]
-            yield _batch(_ANCHORS, batch.column(0).take(pa.array(text)), anchor[new].view(np.int64))
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])])
+            yield _batch(_ANCHORS, batch.column(0).take(pa.array(text[new])), anchor[new].view(np.int64), np.diff(np.r_[new, len(text)]))
 
     return run
 
@@ -143,6 +146,11 @@ def _stretch_windows(width: int):
 _FOUND = "id long, th long, at int, until int"
 
 
+def is_frequent(anchor: int) -> bool:
+    """Whether an anchor, with its number of salts above its 48 bits, has more stretches than one task streams."""
+    return anchor >> 48 > 1
+
+
 class _Shard:
     """Patterns and waiting stretches of some anchors; when full, one automaton for all of them."""
 
@@ -150,7 +158,7 @@ class _Shard:
         self.width = width
         self.least: dict[tuple[int, int], int | None] = {}
         self.waiting: list[tuple] = []
-        self.size = 0
+        self.size = self.confirming = 0
         self.automaton = None
         self.numbers: dict[str, int] = {}
 
@@ -158,8 +166,24 @@ class _Shard:
         """Numbers words, takes the confirmed windows' words from the waiting stretches."""
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         self.numbers = {}
+        self.confirm([s for s in self.waiting if not is_frequent(s[2])])
         self.learn(self.waiting)
 
+    def confirm(self, stretches: list[tuple]) -> None:
+        """Finds the windows of infrequent anchors that start in several documents."""
+        words, offsets = hash_words([s[4] for s in stretches])
+        h, at = shingle_hashes(words, offsets, self.width)
+        if not len(h):
+            return
+        row = np.searchsorted(offsets, at, side="right") - 1
+        ids, anchors = np.array([s[0] for s in stretches], np.int64)[row], np.array([s[2] for s in stretches], np.int64)[row]
+        order = np.lexsort((ids, h, anchors))
+        ids, anchors, h = ids[order], anchors[order], h[order].view(np.int64)
+        starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (anchors[1:] != anchors[:-1])])
+        several = ids[starts] < ids[np.r_[starts[1:], len(ids)] - 1]
+        starts = starts[several]
+        self.least.update(zip(zip(anchors[starts].tolist(), h[starts].tolist(), strict=True), ids[starts].tolist(), strict=True))
+
     def learn(self, stretches: list[tuple]) -> None:
         """Adds the patterns that these stretches are the first to show."""
         words, offsets = hash_words([s[4] for s in stretches])
@@ -222,7 +246,7 @@ def _locate(width: int):
             for anchor, part, id_, th, at, words in rows:
                 if (anchor, part >> 1) != cell:
                     # a cell ends: what has gathered is searched once it is enough
-                    if shard.automaton is not None or len(shard.least) > PATTERNS or shard.size > WAITING:
+                    if shard.automaton is not None or len(shard.least) > PATTERNS or shard.size > WAITING or shard.confirming > CONFIRMING:
                         yield from flush()
                         shard = _Shard(width)
                     cell = anchor, part >> 1
@@ -231,7 +255,9 @@ def _locate(width: int):
                 else:
                     shard.waiting.append((id_, th, anchor, at, words))
                     shard.size += words.count(" ") + 1
-                    if shard.size > 2 * WAITING:  # a cell of many stretches is streamed in parts
+                    if not is_frequent(anchor):
+                        shard.confirming += words.count(" ") + 1
+                    elif shard.size > 2 * WAITING:  # a cell of many stretches is streamed in parts
                         yield from flush()
         yield from flush()
 
@@ -282,16 +308,18 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sources = texts.join(copies, same_text(texts, copies), "left_anti")
 
     anchors = sources.mapInArrow(_anchors(width), _ANCHORS)
-    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("texts"), F.sum("runs").alias("n")).where("texts > 1").select("anchor", "n")
     salted = F.shiftleft(F.least(F.ceil(F.col("n") / SALT), F.lit(0x7FFF)).cast("long"), 48).bitwiseOR(F.col("anchor"))
-    hits = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list(salted).alias("hits"))
-    stretches = sources.join(hits, "id").select("id", "th", "text", "hits").mapInArrow(_stretches(width), _STRETCHES)
+    hits = anchors.select("id", "anchor").join(recurring, "anchor").groupBy("id").agg(F.collect_list(salted).alias("hits"))
+    stretches_of = lambda hits: sources.join(hits, "id").select("id", "th", "text", "hits").mapInArrow(_stretches(width), _STRETCHES)
+    stretches = stretches_of(hits)
+    frequent = stretches_of(hits.withColumn("hits", F.filter("hits", lambda a: F.shiftright(a, 48) > 1)).where(F.size("hits") > 0))
 
     salts = F.shiftright("anchor", 48).cast("int")
     chunks = F.ceil(salts * SALT / CHUNK).cast("int")
     part = lambda kind: ((F.col("chunk") * (1 << 16) + F.col("salt")) * 2 + kind).cast("int").alias("part")
     to = lambda last: F.explode(F.sequence(F.lit(0), last - 1))
-    confirmed = stretches.mapInArrow(_stretch_windows(width), _WINDOWS).groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    confirmed = frequent.mapInArrow(_stretch_windows(width), _WINDOWS).groupBy("anchor", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     patterns = confirmed.withColumn("chunk", F.pmod("window", chunks)).withColumn("salt", to(salts))
     patterns = patterns.select("anchor", part(0), F.col("least").alias("id"), F.col("window").alias("th"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("words"))
     routed = stretches.withColumn("salt", F.pmod(F.xxhash64("id", "at"), salts)).withColumn("chunk", to(chunks))
