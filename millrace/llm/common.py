@@ -67,8 +67,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts hold about ``most`` bytes together, one row at least."""
+#: What a worker process keeps from task to task of one kind (such as encoders with their caches).
+worker_state: dict[str, dict] = {}
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts hold about ``most`` bytes together, one row at least.
+
+    Workers serve one operator after another: what others than ``keeps`` have kept in
+    ``worker_state`` is let go first.
+    """
+    for kind in [k for k in worker_state if k != keeps]:
+        del worker_state[kind]
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, shared_dir, texts_of
+from .common import blocks, shared_dir, texts_of, worker_state
 
 END_ID = 2
 #: Plain bytes after which a frame ends; a document is never split over frames.
@@ -50,7 +50,6 @@ _CUT = re.compile(r" (?=\S)")
 #: The byte-level pre-tokenizer's pieces (fixed by the format).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-_state: dict = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -127,10 +126,11 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    if path not in _state:
-        _state[path] = Encoder(path)
-    return _state[path]
+    """One encoder a worker process and file, for as long as the worker encodes."""
+    kept = worker_state.setdefault("tokens", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def as_u4(ids: bytes, width: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
         name, made = f"part-{part:06d}.ids.zst", f"{root}/.attempt-{part}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         own, n, writer, sink = encoder(tokenizer), 0, None, None
         end = end_id.to_bytes(own.width, "little")
-        for batch in blocks(batches):
+        for batch in blocks(batches, keeps="tokens"):
             if writer is None:
                 sink = fs.open_output_stream(made)
                 writer = Writer(sink, own.width)
