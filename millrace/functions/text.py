@@ -43,14 +43,13 @@ def client_key(name: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-@F.pandas_udf("string")
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column) -> Column:
     """NFKC, for which Spark has no function; ASCII texts don't leave the JVM's value."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfkc, "string")(text)).otherwise(text)
 
 
 def tidy(text: Column) -> Column:
