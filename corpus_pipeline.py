@@ -35,13 +35,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the documents of the mix, as often as it takes them, in training order."""
+    """Takes the documents of the mix, as often as it takes them; its files and their rows are in training order."""
     return mixing.mix(docs)
 
 
+def stored_order(docs: DataFrame) -> list:
+    """The place of each row in what the stage before wrote: its file (their names ascend with the
+    partition) and its row in the file. A table without files is in the order of its partitions."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    return [F.monotonically_increasing_id()]
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files and returns what they hold: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.read_index(tokens.write_tokens(docs, tokens.default_tokenizer()))
+    """Writes token files in the order of the rows and returns what they hold: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.read_index(tokens.write_tokens(docs, tokens.default_tokenizer(), order=stored_order(docs)))
 
 
 STAGES = [

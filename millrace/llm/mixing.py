@@ -118,9 +118,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return got.select("id", "th", "size", "source_size", "target", F.size("offsets").alias("passes"), taken.cast("long").alias("taken"), positions.alias("positions"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position_col: str | None = None, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by training
-    position. Rows not taken are left out; the columns are those of ``docs``."""
+    position. Rows not taken are left out; the columns are those of ``docs``, and last the training
+    position if ``position_col`` names it."""
     plan = plan_mix(docs, id_col, text_col, source_col, **options)
     plan = cut(plan.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.flatten(F.collect_list("positions")).alias("__all"), F.count("*").alias("__n")), "mix-plan")
     plan = plan.where(F.size("__all") > 0)
@@ -130,4 +131,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = docs.join(plan, same).withColumn("__k", rank)
     own = F.filter("__all", lambda x, i: i % F.col("__n") == F.col("__k"))
     out = out.withColumn("__position", F.explode(own))
-    return out.repartitionByRange("__position", "__id", "__th").sortWithinPartitions("__position", "__id", "__th").select(*docs.columns)
+    position = [F.col("__position").alias(position_col)] if position_col else []
+    return out.repartitionByRange("__position", "__id", "__th").sortWithinPartitions("__position", "__id", "__th").select(*docs.columns, *position)

@@ -21,6 +21,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, position_col="position", cycle=(5, 2, 1), share=1.5, most=2.0).select("doc_id", "position")
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents
@@ -117,5 +122,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op2_training_order, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id, op10_pii)}
 ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_nearest_neighbours": OP7_SQL}

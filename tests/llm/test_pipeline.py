@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import langid, tokens
+from millrace.llm import langid, queries, tokens
 from millrace.llm.decontaminate import benchmark_overlaps
 from millrace.llm.mixing import plan_mix
 
@@ -41,3 +41,23 @@ def test_every_stage_takes_odd_and_empty_tables(spark, odd, empty):
     for docs in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, "/root/testdata/sf0.001").count()
+
+
+def test_token_files_are_in_training_order(spark, texts, tmp_path):
+    rows = [(k, texts(k, 5 + k * 7 % 60), f"s{k % 3}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.source_mix(spark, docs, "")
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    positions = [p for r in plan_mix(docs).collect() for p in r["positions"]]
+    want = [r["doc_id"] for r in mixed.collect()]
+    assert len(want) == len(positions) and want != sorted(want)
+    for table in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        assert [r["doc_id"] for r in corpus_pipeline.token_output(spark, table, "").orderBy("start").collect()] == want
+
+
+def test_training_order_query_has_every_position(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op2_training_order"](spark, sf).collect()
+    plan = plan_mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert Counter((r["doc_id"], r["position"]) for r in got) == Counter((r["id"], p) for r in plan for p in r["positions"])
+    assert [r["position"] for r in got] == sorted(r["position"] for r in got)
