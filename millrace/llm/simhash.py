@@ -155,12 +155,20 @@ def bit_sliced_groups(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> np
     """For rows sorted by cell: the index of the first row with which each row is linked, directly or
     through others, inside its cell. Rows (of one or more 64-bit words) link where they differ in
     ``radius`` bits at most."""
+    parent = np.arange(len(fps))
+    for a, b in bit_sliced_pairs(cells, fps, radius):
+        _union(parent, a, b)
+    return parent
+
+
+def bit_sliced_pairs(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows sorted by cell: the indices of all pairs of a cell that differ in ``radius`` bits at
+    most, some at a time; ``_union`` over them gives the groups."""
     n = len(fps)
     fps = fps.reshape(n, -1)
     bits = 64 * fps.shape[1]
-    parent = np.arange(n)
     if n < 2:
-        return parent
+        return
     starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
     words = -(-n // 64)
@@ -174,7 +182,7 @@ def bit_sliced_groups(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> np
         word = rows // 64 + offset
         rows = rows[ends[rows] > np.maximum(word * 64, rows + 1)]
         if not len(rows):
-            return parent
+            return
         word = rows // 64 + offset
         low = np.maximum(rows + 1 - word * 64, 0).astype(np.uint64)
         high = np.minimum(ends[rows] - word * 64, 64).astype(np.uint64)
@@ -198,7 +206,7 @@ def bit_sliced_groups(cells: np.ndarray, fps: np.ndarray, radius: int = 4) -> np
         for at in range(0, len(left), 1 << 14):
             part = slice(at, at + (1 << 14))
             row, col = np.nonzero(np.unpackbits((~over[part]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            _union(parent, left[part][row], word[part][row] * 64 + col)
+            yield left[part][row], word[part][row] * 64 + col
         offset += 1
 
 
@@ -255,29 +263,125 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(classes.join(smallest, "root").select("node", "component"), "node").select("id", "th", F.col("node").alias("fp"), "component")
 
 
-#: For near-duplicates at a similarity: four fingerprint words, keys of eleven bits (23 of them). A
-#: pair at Jaccard similarity 0.8 differs in 15% of the bits and shares a key with probability 0.98.
-LONG, LONG_KEY = 4, 11
+#: For near-duplicates at a similarity: four fingerprint words, keys of ten bits (25 of them). A pair
+#: at Jaccard similarity 0.8 differs in 15% of the bits and shares a key with probability 0.995.
+LONG, LONG_KEY = 4, 10
+#: Texts whose shingle sets meet in one block when pairs are verified; larger groups are split.
+BLOCK_NODES = 1024
 
 
 def radius_for(similarity: float, words: int = LONG) -> int:
-    """Differing bits to expect of shingle sets with this Jaccard similarity."""
-    return round(64 * words * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+    """Differing bits that shingle sets with this Jaccard similarity hardly exceed: the mean and three
+    standard deviations."""
+    bits, share = 64 * words, float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(bits * share + 3 * (bits * share * (1 - share)) ** 0.5)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order."""
+    return np.unique(shingle_digests(text, shingle))
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, words: int = LONG) -> DataFrame:
+    """(id, th, node, f0, f1, ...) of a keyed table: ``node`` names the set of shingles, and the
+    fingerprint words are of that set, so repeats inside a text count once."""
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            rows = []
+            for t in texts_of(batch):
+                own = shingle_set(t, shingle)
+                rows.append([xxhash.xxh64_intdigest(own.tobytes(), 42), *[majority(mix(own ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else own) for k in range(words)]])
+            found = np.array(rows, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(words + 1)]], names=["id", "th", "node", *names])
+
+    return docs.mapInArrow(run, "id long, th long, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows (block, root, node, shingles, fingerprint words) sorted by block and root: of each
+    root's pairs within the radius those whose sets are similar enough, as far as they connect what
+    others of the block have not; a block gives fewer links than it has rows."""
+    held: list[tuple] = []
+
+    def done() -> pa.RecordBatch:
+        cells, nodes = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
+        sets, fps = [np.frombuffer(r[3], np.uint64) for r in held], np.array([r[4:] for r in held], np.int64).view(np.uint64)
+        up, out = list(range(len(held))), []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for first, second in bit_sliced_pairs(cells, fps, radius):
+            for a, b in zip(first.tolist(), second.tolist(), strict=True):
+                ra, rb = top(a), top(b)
+                x, y = sets[a], sets[b]
+                if ra == rb or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    up[ra] = rb
+                    out.append((nodes[a], nodes[b]))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[-1][0] != row[0]:
+                yield done()
+                held = []
+            held.append(row)
+    if held:
+        yield done()
+
+
+def verified_links(candidates: DataFrame, texts: DataFrame, names: list[str], shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Links that connect the nodes of one group of ``candidates`` (a, b) that are within the radius and
+    whose sets of shingles have the Jaccard similarity at least; ``texts`` has (node, fingerprint
+    words, text).
+
+    Small groups of candidates share a block; a large one is split into blocks for all pairs of its
+    parts. Pairs are made and verified inside a block and never leave it.
+    """
+    groups = cut(connected_components(candidates), "near-candidates")
+    many = max(1, -(-groups.count() // BLOCK_NODES))
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
+    nodes = groups.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    block = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(many))).otherwise(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            own = pa.array([shingle_set(t, shingle).tobytes() for t in texts_of(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, *batch.columns[2:]], names=["node", "shingles", *names])
+
+    own = texts.select("node", "text", *names).join(groups.select("node"), "node", "left_semi").mapInArrow(sets, "node long, shingles binary, " + ", ".join(f"{n} long" for n in names))
+    rows = nodes.select(block.alias("block"), "root", "node").join(own, "node").select("block", "root", "node", "shingles", *names)
+    rows = rows.repartition("block").sortWithinPartitions("block", "root", "node")
+    return rows.mapInArrow(lambda batches: _verified(batches, radius, similarity), "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id.
 
-    Documents link where fingerprints of 256 bits over shingles of five words are as near as sets
-    of the given Jaccard similarity are on average; groups are connected. Null texts are empty;
-    texts without words are copies of each other; a null id is larger than any other; of repeated
-    rows one stays. An empty table gives none. All columns stay as they are.
+    Documents link where their sets of five-word shingles have the given Jaccard similarity at
+    least; candidates are found by 256-bit fingerprints of the sets, every link is verified, groups
+    are connected. Null texts are empty; texts without words are copies of each other; a null id is
+    larger than any other; of repeated rows one stays. An empty table gives none. All columns stay
+    as they are.
     """
     names = [f"f{k}" for k in range(LONG)]
-    fps = cut(fingerprints(keyed(docs, id_col, text_col), shingle, LONG).withColumn("node", F.xxhash64(*names)), "long-fingerprints")
+    fps = cut(set_fingerprints(keyed(docs, id_col, text_col), shingle), "long-fingerprints")
     order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("th").alias("th"))
     distinct = fps.groupBy("node").agg(*[F.min(n).alias(n) for n in names], F.min(order).alias("least"))
-    links = near_links(distinct.select("node", *names), lsh_keys([F.col(n) for n in names], LONG_KEY), names, radius_for(similarity))
+    radius = radius_for(similarity)
+    candidates = cut(near_links(distinct.select("node", *names), lsh_keys([F.col(n) for n in names], LONG_KEY), names, radius), "near-candidate-links")
+    near = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    whose = distinct.join(near, "node", "left_semi").select("node", *names, F.col("least.id").alias("__id"), F.col("least.th").alias("__th"))
+    texts = keyed(docs, id_col, text_col).join(whose, F.col("id").eqNullSafe(F.col("__id")) & F.col("th").eqNullSafe(F.col("__th"))).groupBy("node", *names).agg(F.first("text").alias("text"))
+    links = cut(verified_links(candidates, texts, names, shingle, radius, similarity), "near-links")
     classes = distinct.join(connected_components(links), "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th")).distinct()
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th"))

@@ -103,3 +103,33 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_links_are_decided_by_the_similarity_of_shingles(spark):
+    rng = random.Random(3)
+    rows, near = [], {}
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = [*words[: rng.choice((225, 260, 272, 280))]]
+        other += [f"v{rng.randrange(10**6)}" for _ in range(300 - len(other))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        near[2 * k + 1] = jaccard(rows[-2][1], rows[-1][1])
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert all(2 * k in kept for k in range(300))
+    assert {i for i in near if near[i] < 0.8} <= kept
+    close = [i for i in near if near[i] >= 0.8]
+    assert len(close) > 100 and sum(i not in kept for i in close) >= 0.97 * len(close)
+
+
+def test_large_candidate_groups_are_verified_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 4)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([f"x{rng.randrange(10**6)}" if k and i == 10 * k else w for i, w in enumerate(words)])) for k in range(30)]
+    docs = spark.createDataFrame([*rows, (100, "something else altogether in here")], "doc_id long, text string")
+    assert sorted(r[0] for r in simhash.keep_one_of_each(docs).select("doc_id").collect()) == [0, 100]
