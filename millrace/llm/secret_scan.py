@@ -26,9 +26,9 @@ ROLES = {"access": "id", "ident": "id", "assign": "secret", "hex": "secret", "op
 SCOPE = 200
 _AFTER = r"""["']?\x20*[:=]\x20*["']?"""
 _WEAK_PATTERNS = {
-    "ident": rf"(?i)(?<![a-z0-9])(?:access_?key(?:_?id)?|client_?id|account_?id|user(?:name)?|login){_AFTER}[A-Za-z0-9@._-]{{4,}}",
-    "opaque": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,128}+={0,2}(?![A-Za-z0-9+/=_-])",
-    "weak_assign": rf"(?i)(?<![a-z0-9])(?:pwd|pass(?:phrase)?|auth|credentials?|private_?key){_AFTER}[A-Za-z0-9+/_.=-]{{6,}}",
+    "ident": rf"(?i)(?<![a-z0-9])(?:access_?key_?id|client_?id|account_?id|user(?:name)?|login){_AFTER}[A-Za-z0-9@._-]{{4,}}",
+    "opaque": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/=_-])",
+    "weak_assign": rf"(?i)(?<![a-z0-9])(?:pwd|pass(?:phrase)?|auth|credentials?|private_?key|secret_?access_?key|secret_?key|access_?key){_AFTER}[A-Za-z0-9+/_.=-]{{6,}}",
     "endpoint": r"(?i)(?<![a-z0-9])(?:https?|ftp|sftp|ssh|amqps?|mongodb|mysql|redis|postgres(?:ql)?)://[^\x20\x09-\x0D\"'<>]{4,}",
 }
 
@@ -42,8 +42,13 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    """The weak candidates of a text, linked or not."""
-    return F.concat(*[find_all(text, p, k) for k, p in _WEAK_PATTERNS.items()])
+    """The weak candidates of a text, linked or not. An opaque string that is the value of a named
+    candidate is that candidate, not one more."""
+    found = {k: find_all(text, p, k) for k, p in _WEAK_PATTERNS.items()}
+    named = F.concat(found["ident"], found["weak_assign"])
+    within = lambda s: F.exists(named, lambda n: (n["start"] <= s["start"]) & (n["end"] >= s["end"]))
+    found["opaque"] = F.filter(found["opaque"], lambda s: ~within(s))
+    return F.concat(*found.values())
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
