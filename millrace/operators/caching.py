@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +25,34 @@ def ttl_hits(requests: DataFrame, key: str, at: str, ttl: int = TTL_SECONDS) ->
     """Requests with ``hit`` under a time to live that a hit does not extend: an entry serves until
     ``ttl`` seconds after the miss that made it.
 
-    The rule looks back to the last miss, so each key's times are folded in order.
+    The rule looks back to the last miss, but a request at least ``ttl`` after the one before is a
+    miss whatever came earlier: it begins a segment. Segments are passed in order of time, and only
+    the last miss is kept. A request without a time is a miss.
     """
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("timestamp").cast("long").alias("at"), F.col("request_id").alias("id")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
+    order = Window.partitionBy(key).orderBy("__at", "request_id")
+    rows = requests.select(key, "request_id", F.col(at).cast("timestamp").cast("long").alias("__at"))
+    rows = rows.withColumn("__first", F.coalesce(F.col("__at") - F.lag("__at").over(order) >= ttl, F.lit(True)))
+    rows = rows.withColumn("__segment", F.count_if("__first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.repartition(key, "__segment").sortWithinPartitions(key, "__segment", "__at", "request_id", F.desc("__first"))
+    schema = rows.select(key, "request_id").withColumn("hit", F.lit(True)).schema
+    return rows.select(key, "request_id", "__at", "__first").mapInArrow(lambda batches: _pass(batches, ttl), schema)
 
-    def step(state, r):
-        hit = F.coalesce(r["at"] < state["since"] + ttl, F.lit(False))
-        return F.struct(F.when(hit, state["since"]).otherwise(r["at"]).alias("since"), F.concat(state["out"], F.array(F.struct(r["id"].alias("id"), hit.alias("hit")))).alias("out"))
 
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select(key, F.col("r.id").alias("request_id"), F.col("r.hit").alias("hit"))
+def _pass(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatch]:
+    """(key, request_id, hit) of rows (key, request_id, at, first) by segment in order of time."""
+    since = 0
+    for batch in batches:
+        n = batch.num_rows
+        at = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        first = batch.column(3).to_numpy(zero_copy_only=False)
+        hit = np.ones(n, bool)
+        starts = np.flatnonzero(first)
+        for a, b in zip(np.r_[0, starts], np.r_[starts, n], strict=True):
+            k = a if a < b and first[a] else a + int(np.searchsorted(at[a:b], since + ttl))
+            while k < b:
+                hit[k], since = False, int(at[k])
+                k = a + int(np.searchsorted(at[a:b], since + ttl))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], names=[*batch.schema.names[:2], "hit"])
 
 
 def nearest_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, threshold: float = THRESHOLD) -> DataFrame:
