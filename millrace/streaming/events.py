@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,28 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return bool(files) and not files[0].rstrip("/").endswith("/" + path.rstrip("/").rpartition("/")[2])
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns its sink's table (aggregates only)."""
-    name = f"millrace_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where driver and executors both write: under ``spark.checkpoint.dir`` if it is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='millrace-stream-')}"
+    return f"{base.rstrip('/')}/millrace-stream-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Runs a stream over what there is and returns its last result table (aggregates only).
+
+    Each micro-batch writes the table as Parquet, a folder of its own; no row passes through the driver.
+    """
+    spark = stream.sparkSession
+    folder, done = shared_folder(spark), []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/table-{batch}")
+        done.append(batch)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table-{done[-1]}")
 
 
 def tumbling(spark: SparkSession, path: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
