@@ -66,7 +66,9 @@ class Encoder:
     For byte-level BPE, the pre-tokenizer always begins a piece at a space that is followed by
     something else than space, and merges never cross pieces; so a text's ids are the ids of the
     parts between such places. Parts repeat, so each worker keeps those it has met, and the
-    model encodes the pieces of the others. Files of another kind encode each text as it is.
+    model encodes the pieces of the others. Texts that hold an added token of the file (such as an
+    end mark written out) are encoded whole by the library, which takes these out first; so are all
+    texts where the file is of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,8 +78,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         made = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in made.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         before = made.get("pre_tokenizer") or {}
         self.by_parts = made.get("normalizer") is None and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.letters = byte_letters()
@@ -89,6 +92,9 @@ class Encoder:
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def piece(self, p: str) -> bytes:
         """The ids of one piece of the pre-tokenizer."""
         ids = self.young.get(p) or self.old.get(p)
@@ -101,7 +107,7 @@ class Encoder:
         if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
             return self.piece(p)
         if _UNSURE.search(p):  # what counts as space differs between libraries
-            return self.pack(self.tokenizer.encode(p, add_special_tokens=False).ids)
+            return self.whole(p)
         return b"".join([self.piece(q) for q in _PIECES.findall(p)])
 
     @staticmethod
@@ -115,14 +121,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, without an end id, little-endian in ``width`` bytes each."""
         if not self.by_parts:
-            return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+            return [self.whole(t) for t in texts]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        young, old, split = self.young, self.old, [self.parts(t) if t else [] for t in texts]
+        whole = {k: self.whole(t) for k, t in enumerate(texts) if self.added and self.added.search(t)}
+        young, old = self.young, self.old
+        split = [self.parts(t) if t and k not in whole else [] for k, t in enumerate(texts)]
         for p in set().union(*split):
             if p not in young:
                 young[p] = old.get(p) or self.part(p)
-        return [b"".join(map(young.__getitem__, parts)) for parts in split]
+        return [whole[k] if k in whole else b"".join(map(young.__getitem__, parts)) for k, parts in enumerate(split)]
 
 
 def encoder(path: str) -> Encoder:
