@@ -1,10 +1,12 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 1. Words of labelled texts are counted by label, each once a text (a word that one text repeats
-   often says little). A word is a term of the model if its log-odds under a Dirichlet prior (the
-   corpus' own word distribution, as strong as ``PRIOR`` times the corpus) is at
-   least ``ODDS`` and the signed root of the likelihood ratio for it against equal shares at least
-   ``Z`` (unlike a normal bound it holds for counts of zero). All other words together are one further outcome.
+   often says little). A word is a candidate if the signed root of the likelihood ratio for it
+   against equal shares is at least ``Z`` (unlike a normal bound it holds for counts of zero).
+   Candidates are counted over all documents: that distribution, as strong as ``PRIOR`` times the
+   labelled words, is the Dirichlet prior of their log-odds, so a word that is common in the corpus
+   needs more evidence than a rare one. Candidates with log-odds of at least ``ODDS`` are the
+   model's terms; all other words together are one further outcome.
 2. A word scores the log of its probability in toxic over that in clean texts, so a text's
    expected score is negative unless it is toxic. A linear-time scan (Ruzzo and Tompa) finds all
    maximal scoring segments.
@@ -30,9 +32,9 @@ from .common import blocks, cut, hash_words, texts_of
 
 #: Labelled rows that are fitted on, those with the smallest id hash: bounds what is broadcast.
 FIT_ROWS = 200_000
-#: Terms of the model, those with the largest z: bounds what the driver and the tasks hold.
-TERMS = 50_000
-PRIOR, Z, LEAST_TEXTS = 0.02, 3.5, 4
+#: Candidate terms, those with the largest z: bounds what the driver and the tasks hold (16 bytes each).
+TERMS = 1 << 20
+PRIOR, Z = 0.02, 3.5
 #: Least log-odds of a term: words that only go with the language of toxic texts stay below.
 ODDS = 1.5
 EXPECTED = 0.05
@@ -60,26 +62,28 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def maximal_segments(places: list[int], scores: list[float], other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, word after, score) of a sequence whose words at
-    ``places`` have these positive scores while all others score ``other`` (at most 0)."""
-    kept: list[tuple[int, int, float, float]] = []  # first, after, running sum before, running sum at the end
+    ``places`` have these positive scores while all others score ``other`` (at most 0).
+
+    Every kept segment knows the nearest earlier one with a smaller sum before it. A search follows
+    these links, and what it has passed is never passed again, so the scan is linear.
+    """
+    kept: list[tuple[int, int, float, float, int]] = []  # first, after, running sum before, at the end, link
     total, at = 0.0, 0
     for place, score in zip(places, scores, strict=True):
         total += other * (place - at)
         first, low = place, total
         total += score
         at = place + 1
-        after, high = at, total
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= low:
-                j -= 1
-            if j < 0 or kept[j][3] >= high:
-                kept.append((first, after, low, high))
-                break
-            # extend to the left: everything from j on becomes one candidate
-            first, low = kept[j][0], kept[j][2]
-            del kept[j:]
-    return [(a, b, h - l) for a, b, l, h in kept]
+        link = len(kept) - 1
+        while link >= 0 and kept[link][2] >= low:
+            link = kept[link][4]
+        while link >= 0 and kept[link][3] < total:
+            # extend to the left: everything from the link on becomes one segment
+            first, _, low, _, before = kept[link]
+            del kept[link:]
+            link = before
+        kept.append((first, at, low, total, link))
+    return [(k[0], k[1], k[3] - k[2]) for k in kept]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,26 +126,57 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(merged())
 
 
-def fit_terms(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The terms of the model; without texts of both labels there are none."""
+def _frequencies(candidates: np.ndarray):
+    """In how many texts each of the (sorted) candidates is; null stands for all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(candidates), np.int64), 0
+        for batch in blocks(batches):
+            words, offsets = words_of(texts_of(batch))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            place = np.minimum(np.searchsorted(candidates, words), len(candidates) - 1)
+            hit = np.flatnonzero(candidates[place] == words)
+            once = np.unique(np.stack([text[hit], place[hit]], axis=1), axis=0)
+            n += np.bincount(once[:, 1], minlength=len(candidates))
+            order = np.lexsort((words, text))
+            words, text = words[order], text[order]
+            total += int(len(words) and 1 + ((words[1:] != words[:-1]) | (text[1:] != text[:-1])).sum())
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([*candidates[some].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[some].tolist(), total], pa.int64())], names=["h", "n"])
+
+    return run
+
+
+def fit_terms(labelled: DataFrame, corpus: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
+    """The terms of the model, learned from labelled texts with the words of ``corpus`` as prior;
+    without texts of both labels there are none."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
     counts = rows.mapInArrow(_count, "h long, dt long, dc long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("dt", "dc")])
     counts = cut(counts, "toxic-counts")
     n_t, n_c = counts.agg(F.sum("dt"), F.sum("dc")).first()
     if not n_t or not n_c:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    alpha, strength = F.lit(PRIOR) * (F.col("dt") + F.col("dc")), PRIOR * (n_t + n_c)
     part = lambda y, n: F.when(y > 0, y * F.log(y / ((F.col("dt") + F.col("dc")) * F.lit(float(n)) / F.lit(float(n_t + n_c))))).otherwise(0.0)
     z = F.sqrt(F.greatest(2 * (part(F.col("dt"), n_t) + part(F.col("dc"), n_c)), F.lit(0.0)))
-    p_t, p_c = (F.col("dt") + alpha) / F.lit(n_t + strength), (F.col("dc") + alpha) / F.lit(n_c + strength)
-    score = F.log(p_t / p_c)
-    got = counts.where(F.col("dt") >= LEAST_TEXTS).withColumns({"z": z, "score": score, "pt": p_t, "pc": p_c}).where((F.col("z") >= Z) & (F.col("score") >= ODDS))
-    terms = got.orderBy(F.desc("z"), "h").limit(TERMS).select("h", "score", "pt", "pc").collect()
-    if not terms:
+    more = F.col("dt") * F.lit(float(n_c)) > F.col("dc") * F.lit(float(n_t))
+    got = counts.withColumn("z", z).where(more & (F.col("z") >= Z)).orderBy(F.desc("z"), "h").limit(TERMS).select("h", "dt", "dc").collect()
+    if not got:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    h = np.array([r[0] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    h, dt, dc = h[order], *(np.array([r[k] for r in got], float)[order] for k in (1, 2))
+    seen = dict(corpus.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_frequencies(h), "h long, n long").groupBy("h").agg(F.sum("n")).collect())
+    strength = PRIOR * (n_t + n_c)
+    alpha = strength * np.array([seen.get(k, 0) for k in h.view(np.int64).tolist()], float) / max(1, seen.get(None, 0))
+    p_t, p_c = (dt + alpha) / (n_t + strength), (dc + alpha) / (n_c + strength)
+    # A word that no document has (labels of another corpus) has no prior and no evidence of clean texts.
+    score = np.log(p_t / np.maximum(p_c, 1e-300))
+    use = (score >= ODDS) & (alpha > 0)
+    h, score, p_t, p_c = h[use], score[use], p_t[use], p_c[use]
+    if not len(h):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    terms.sort(key=lambda r: np.int64(r[0]).view(np.uint64))
-    other = math.log(max(1e-9, 1 - sum(r[2] for r in terms)) / max(1e-9, 1 - sum(r[3] for r in terms)))
-    return Model(np.array([r[0] for r in terms], np.int64).view(np.uint64), np.array([r[1] for r in terms]), min(other, -1e-6))
+    other = math.log(max(1e-9, 1 - p_t.sum()) / max(1e-9, 1 - p_c.sum()))
+    return Model(h, score, min(other, -1e-6))
 
 
 def _scan(model: Model):
@@ -214,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # at most fit_rows rows of two numbers
     labelled = rows.join(F.broadcast(known), rows["id"] == known["__id"])
-    model = fit_terms(labelled, "text", "__toxic")
+    model = fit_terms(labelled, rows, "text", "__toxic")
     scanned = rows.mapInArrow(_scan(model), "id long, n_words long, evidence double, segments array<struct<start:long,until:long,score:double>>")
     scanned = cut(scanned, "toxic-segments")
     log_n = F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,26 @@ def test_segments_match_the_definition():
         assert np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_the_scan_is_linear():
+    # isolated hits: totals fall, so no segment joins another and every search begins at the last one
+    n = 100_000
+    start = time.perf_counter()
+    assert len(t.maximal_segments(list(range(0, 10 * n, 10)), [1.0] * n, -0.7)) == n
+    # hits that rise: each joins all before it
+    assert t.maximal_segments(list(range(0, 2 * n, 2)), [1.0] * n, -0.7)[0][:2] == (0, 2 * n - 1)
+    assert time.perf_counter() - start < 5
+
+
+def test_the_prior_covers_all_documents(spark, texts):
+    rows = [(k, texts(k, 30) + (" vile" if k % 2 else " calm")) for k in range(60)]
+    labelled = spark.createDataFrame([(r[1], r[0] % 2) for r in rows], "text string, toxic int")
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    common = small.union(spark.createDataFrame([(k, f"vile {texts(k, 30)}") for k in range(100, 2000)], small.schema))
+    vile = t.words_of(["vile"])[0][0]
+    score = {name: dict(zip(m.terms.tolist(), m.scores.tolist(), strict=True))[int(vile)] for name, m in (("rare", t.fit_terms(labelled, small)), ("common", t.fit_terms(labelled, common)))}
+    assert score["rare"] > score["common"] > 0
+
+
 def test_held_out_accuracy(spark):
     from millrace.llm.queries import op1_toxicity
 
