@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import SPAN, count_kind, find_all, joined
+from .spans import SPAN, bound, count_kind, find_all, joined, with_surroundings
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "name", "handle", "local_phone", "short_card")
@@ -34,8 +34,8 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _ADDED_PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}[\p{L}'-]{1,30}(?:\x20\p{Lu}[\p{L}'-]{1,30})?",
-    "handle": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64}\x20?[(\[]at[)\]]\x20?[a-z0-9-]{2,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z]{2,12})+",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}[\p{L}'-]++(?:\x20\p{Lu}[\p{L}'-]++)?",
+    "handle": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,}+\x20?[(\[]at[)\]]\x20?[a-z0-9-]{2,}+(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[a-z]{2,12})+",
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20./-])[0-9]{3,4}(?:[\x20-][0-9]{2,4}){1,3}(?![0-9])",
     "short_card": r"(?<![0-9-])(?:3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}|3[068][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4})(?![0-9])",
 }
@@ -197,16 +197,15 @@ def train_classifier(rows: Sequence[tuple[str, tuple[int, ...], int, int]], post
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, base, added), a row for each row of ``docs``: arrays of (kind, start, end, match),
-    positions in code points, end exclusive. ``added`` has the candidates, apart from those that
+    positions in code points, end exclusive, sorted by kind and start. ``added`` has the candidates, apart from those that
     overlap a base span or lie in another one, to which the classifier gives ``threshold`` or more.
 
     A null text counts as empty; repeated rows each have their spans; no candidates, no fit. An
     empty table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    more = F.concat(*[find_all(text, p, k) for k, p in _ADDED_PATTERNS.items()])
-    surrounded = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), text.substr(F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("left"), text.substr(s["end"] + 1, F.lit(1)).alias("right")))
-    found = docs.select(F.col(id_col).cast("long").alias("id"), surrounded(F.concat(matches(text), more)).alias("found"))
+    spans = F.concat(matches(text), *[find_all(text, p, k) for k, p in _ADDED_PATTERNS.items()])
+    found = docs.select(F.col(id_col).cast("long").alias("id"), bound(spans, lambda all_: with_surroundings(text, all_, CONTEXT)).alias("found"))
     # Written once: the texts are searched once, and each row has a number that stays.
     found = cut(found.withColumn("row", F.monotonically_increasing_id()), "pii-candidates")
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s"))
@@ -224,10 +223,11 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     for j, name in enumerate(LABELERS):
         logit = logit + of(F.concat(F.lit(f"{name}="), F.col("votes")[j].cast("string")))
     score = 1 / (1 + F.exp(-logit))
-    # What stands before and after a span in its text, in one ordered pass: an added span goes if a
-    # base span overlaps it or another added span holds it.
+    # What stands before and after a span in its text, in a pass in either order (frames grow by a row
+    # at a time): an added span goes if a base span overlaps it or another added span holds it.
     order = Window.partitionBy("row").orderBy("s.start", F.desc("s.end"), "s.kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("s.start"), "s.end", F.desc("s.kind")).rowsBetween(Window.unboundedPreceding, -1)
     strong, added = F.col("strong"), ~F.col("strong") & F.col("s.kind").isin(*ADDED)
     kept = judged.where(strong | (added & (score >= threshold))).withColumns({
         "base_end": F.max(F.when(strong, F.col("s.end"))).over(before),
@@ -236,7 +236,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     })
     clear = ~F.coalesce((F.col("base_end") > F.col("s.start")) | (F.col("base_start") < F.col("s.end")), F.lit(False)) & ~F.coalesce(F.col("held_to") >= F.col("s.end"), F.lit(False))
     plain = F.struct("s.kind", "s.start", "s.end", "s.match")
-    kept = kept.groupBy("row").agg(F.collect_list(F.when(strong, plain)).alias("base"), F.collect_list(F.when(added & clear, plain)).alias("added"))
+    kept = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.when(strong, plain))).alias("base"), F.sort_array(F.collect_list(F.when(added & clear, plain))).alias("added"))
     none = F.array().cast(SPAN)
     return found.select("row", "id").join(kept, "row", "left").select("id", F.coalesce(F.col("base").cast(SPAN), none).alias("base"), F.coalesce(F.col("added").cast(SPAN), none).alias("added"))
 

@@ -42,22 +42,25 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    """The weak candidates of a text, linked or not. An opaque string that is the value of a named
-    candidate is that candidate, not one more."""
-    found = {k: find_all(text, p, k) for k, p in _WEAK_PATTERNS.items()}
-    named = F.concat(found["ident"], found["weak_assign"])
-    within = lambda s: F.exists(named, lambda n: (n["start"] <= s["start"]) & (n["end"] >= s["end"]))
-    found["opaque"] = F.filter(found["opaque"], lambda s: ~within(s))
-    return F.concat(*found.values())
+    """The weak candidates of a text, linked or not."""
+    return F.concat(*[find_all(text, p, k) for k, p in _WEAK_PATTERNS.items()])
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Of rows (row, kind, start, end, match, strong), the weak ones whose complementary parts are
-    within the scope and that overlap no strong span."""
-    order = Window.partitionBy("row").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    within the scope and that overlap no strong span. An opaque string that is the value of a named
+    candidate is that candidate, not one more.
+
+    What is ahead of a span is taken in reverse order, so every frame grows by a row at a time.
+    """
+    key = Window.partitionBy("row")
+    before = key.orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = key.orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     role = F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), F.col("kind"))
-    rows = parts.withColumn("role", role)
+    # a named candidate has its name before the value, so it begins before the opaque string
+    named = F.max(F.when(F.col("kind").isin("ident", "weak_assign"), F.col("end"))).over(before)
+    rows = parts.withColumn("role", role).withColumn("named", named)
+    rows = rows.where((F.col("kind") != "opaque") | F.coalesce(F.col("named") < F.col("end"), F.lit(True)))
     near = {}
     for strong in (True, False):
         for r in ("id", "secret", "endpoint"):
@@ -90,7 +93,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unsure = found.where(F.size("weak") > 0)
     flat = lambda c, strong: unsure.select("row", F.inline(c)).withColumn("strong", F.lit(strong))
     added = linked(flat("base", True).union(flat("weak", False)), scope)
-    added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "match")).alias("added"))
+    added = added.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "match"))).alias("added"))
     none = F.expr("filter(base, s -> false)")
     return found.join(added, "row", "left").select("id", "base", F.coalesce("added", none).alias("added"))
 
