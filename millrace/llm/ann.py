@@ -2,7 +2,9 @@
 
 Vectors are cut in two halves, each quantised with its own centroids (fitted on a bounded sample);
 a pair of centroids is a cell. A query walks over pairs by summed distance with a heap until its
-cells hold enough vectors; queries meet the vectors of their cells, which are reranked exactly.
+cells hold enough vectors, and reranks exactly the entries of these cells. How many are enough is
+measured: on the sample, against brute force, for the recall that is asked for. Vectors with
+structure need few; vectors without any (as random ones) need a large share whatever the index.
 """
 
 from __future__ import annotations
@@ -17,18 +19,19 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Centroids of each half: the number of cells is its square.
-CENTROIDS = 32
-#: Rows on which the centroids are fitted, taken by hash of the id.
-FIT_ROWS = 20_000
-ROUNDS = 12
-#: Share of all vectors that a query's cells must hold.
-PROBE = 0.55
+#: Centroids of each half are about the square root of the number of vectors, so that there are about
+#: as many cells; at most ``CENTROIDS`` (the codebooks and the cells' counts are held by every task).
+CENTROIDS = 1024
+#: Rows on which the centroids are fitted, taken by hash of the id, and those that ask to calibrate.
+FIT_ROWS, ASKING = 20_000, 256
+ROUNDS = 10
+#: Recall that the share of vectors to rerank is calibrated for.
+RECALL = 0.93
 NEIGHBOURS = 20
-#: Vectors of a cell that one task reranks at once; larger cells are split.
-CELL_ROWS = 8192
-#: Elements of a score block.
-SCORES = 1 << 21
+#: Vectors, and queries, that one task holds or streams; larger tables have more parts.
+PART_ROWS, QUERY_ROWS = 2048, 1 << 16
+#: Queries that are scored at once.
+BLOCK = 256
 
 
 def usable(vector: Column) -> Column:
@@ -57,26 +60,33 @@ def distances(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-    """Cells in order of first[i] + second[j] until they hold ``wanted`` vectors (multi-sequence walk)."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, out, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
+    """Cells with vectors in order of first[i] + second[j] until they hold ``wanted`` (multi-sequence walk).
+
+    The heap has the next pair of every row that has begun; a row begins when the one before it has.
+    """
+    a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
+    x, y = first[a].tolist(), second[b].tolist()
+    n, held, out = len(b), 0, []
+    count = sizes.reshape(len(a), n)[np.ix_(a, b)].tolist()
+    heap = [(x[0] + y[0], 0, 0)]
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(second) + int(b[j])
-        if sizes[cell]:
-            out.append(cell)
-            held += int(sizes[cell])
-        for i2, j2 in ((i + 1, j), (i, j + 1)):
-            if i2 < len(a) and j2 < len(b) and (i2, j2) not in seen:
-                seen.add((i2, j2))
-                heapq.heappush(heap, (first[a[i2]] + second[b[j2]], i2, j2))
+        _, i, j = heap[0]
+        if j + 1 < n:
+            heapq.heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < len(a):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+        if count[i][j]:
+            out.append(a[i] * n + b[j])
+            held += count[i][j]
     return out
 
 
 class MultiIndex:
     """The two codebooks: bounded by twice ``CENTROIDS`` half vectors."""
 
-    def __init__(self, sample: np.ndarray, k: int = CENTROIDS) -> None:
+    def __init__(self, sample: np.ndarray, k: int) -> None:
         self.half = sample.shape[1] // 2
         self.books = fit_centroids(sample[:, : self.half], k), fit_centroids(sample[:, self.half :], k)
         self.cells = len(self.books[0]) * len(self.books[1])
@@ -85,10 +95,34 @@ class MultiIndex:
         first = distances(vectors[:, : self.half], self.books[0]).argmin(axis=1)
         return first * len(self.books[1]) + distances(vectors[:, self.half :], self.books[1]).argmin(axis=1)
 
+    def halves(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each half's distances to its centroids: for inner products, the negative inner product. Summed
+        in a fixed order, so that all tasks agree on them to the last bit."""
+        return -inner_products(queries[:, : self.half], self.books[0]), -inner_products(queries[:, self.half :], self.books[1])
+
     def probe(self, queries: np.ndarray, sizes: np.ndarray, wanted: int) -> list[list[int]]:
-        """Cells for each query. For inner products, a pair's distance is the negative inner product."""
-        first, second = (-queries[:, s] @ book.T for s, book in zip((slice(None, self.half), slice(self.half, None)), self.books, strict=True))
-        return [walk(f, s, sizes, wanted) for f, s in zip(first, second, strict=True)]
+        """Cells for each query."""
+        return [walk(f, s, sizes, wanted) for f, s in zip(*self.halves(queries), strict=True)]
+
+    def share(self, sample: np.ndarray, total: int, k: int, recall: float) -> float:
+        """The share of all vectors that a query's cells must hold, so that of the sample's nearest
+        vectors ``recall`` are among them. As many are asked for as are within the same distance as
+        ``k`` of ``total``, one at least."""
+        n, k = len(sample), max(1, round(k * min(1.0, len(sample) / max(1, total))))
+        asking = sample[:: max(1, n // ASKING)][:ASKING]
+        own = np.arange(n)[:: max(1, n // ASKING)][:ASKING]
+        if n <= k + 1:
+            return 1.0
+        exact = asking @ sample.T
+        exact[np.arange(len(own)), own] = -np.inf
+        nearest = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+        cells = self.assign(sample)
+        first, second = self.halves(asking)
+        near = first[:, cells // len(self.books[1])] + second[:, cells % len(self.books[1])]
+        limits = np.take_along_axis(near, nearest, axis=1)
+        near.sort(axis=1)
+        ranks = np.concatenate([np.searchsorted(r, x, "right") for r, x in zip(near, limits, strict=True)]) / n
+        return float(np.quantile(ranks, recall))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -107,21 +141,28 @@ def _assign(index: MultiIndex):
 
 
 def _probe(index: MultiIndex, sizes: np.ndarray, wanted: int, first: np.ndarray, parts: np.ndarray):
-    """A row for each query and part: the query's cells there."""
+    """A row for each query and part in which it has cells, with the distance of its last cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, where, cells = [], [], []
-            for row, found in enumerate(index.probe(_matrix(batch.column(1)), sizes, wanted) if batch.num_rows else []):
-                mine: dict[int, list[int]] = {}
-                for c in found:
-                    for part in range(first[c], first[c] + parts[c]):
-                        mine.setdefault(part, []).append(c)
-                rows += [row] * len(mine)
-                where += mine
-                cells += mine.values()
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(cells, pa.list_(pa.int32()))], names=["part", "id", "v", "cells"])
+            for at in range(0, batch.num_rows, BLOCK):
+                block = batch.slice(at, BLOCK)
+                queries = _matrix(block.column(1))
+                near, far = index.halves(queries)
+                rows, where, limits = [], [], []
+                for row, found in enumerate(walk(f, s, sizes, wanted) for f, s in zip(near, far, strict=True)):
+                    if not found:
+                        continue
+                    cells = np.array(found)
+                    last = near[row, found[-1] // far.shape[1]] + far[row, found[-1] % far.shape[1]]
+                    begin, n = first[cells], parts[cells]
+                    mine = np.unique(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    rows.append(np.full(len(mine), row))
+                    where.append(mine)
+                    limits.append(np.full(len(mine), last))
+                if rows:
+                    take = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where), pa.int32()), block.column(0).take(take), block.column(1).take(take), pa.array(np.concatenate(limits))], names=["part", "id", "v", "last"])
 
     return run
 
@@ -149,99 +190,111 @@ def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest scores of each row, ties to the smaller id; -1 fills up. ids ascend."""
-    k = min(k, scores.shape[1])
-    limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    out = np.full((len(scores), k), -1)
-    for r, t in enumerate(limit):
-        above = np.flatnonzero(scores[r] > t)
-        equal = np.flatnonzero(scores[r] == t)[: k - len(above)]
-        mine = np.concatenate([above, equal])
-        mine = mine[np.lexsort((ids[mine], -scores[r, mine]))]
-        out[r, : len(mine)] = mine
-    return out
-
-
 _HITS = "query_id long, vec_id long, score double"
 
 
-def _rerank(k: int):
-    """Rows (part, kind, id, v, cells) sorted by part, kind, id: a part's vectors (bounded), then its
-    queries, streamed. Each query meets the vectors of its own cells."""
+class _Part:
+    """The vectors of one part, by cell."""
+
+    def __init__(self, index: MultiIndex, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray) -> None:
+        order = np.lexsort((ids, cells))
+        self.index, self.ids, self.vectors = index, ids[order], vectors[order]
+        self.cells, self.sizes = np.unique(cells, return_counts=True)
+
+    def search(self, qids: np.ndarray, queries: np.ndarray, last: np.ndarray, k: int) -> pa.RecordBatch:
+        """Each query's k best entries of its cells, which are those up to the distance of its last one."""
+        first, second = self.index.halves(queries)
+        near = first[:, self.cells // second.shape[1]] + second[:, self.cells % second.shape[1]] <= last[:, None]
+        rows, columns = [], []
+        for row in range(len(qids)):
+            mine = np.flatnonzero(np.repeat(near[row], self.sizes))
+            mine = mine[self.ids[mine] != qids[row]]  # not the query's own row
+            if len(mine) > k:
+                scores = self.vectors[mine] @ queries[row]
+                # the k-th largest, less what another order of summing may change
+                mine = mine[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * (1 + np.abs(scores).max())]
+            rows.append(np.full(len(mine), row))
+            columns.append(mine)
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
+        scores = np.zeros(len(rows))
+        for d in range(queries.shape[1]):  # summed in the order of components, so equal vectors score equally
+            scores += queries[rows, d] * self.vectors[columns, d]
+        order = np.lexsort((self.ids[columns], -scores, rows))
+        rows, columns, scores = rows[order], columns[order], scores[order]
+        starts = np.searchsorted(rows, np.arange(len(qids)))
+        ok = np.arange(len(rows)) - starts[rows] < k
+        return pa.RecordBatch.from_arrays([pa.array(qids[rows[ok]]), pa.array(self.ids[columns[ok]]), pa.array(scores[ok])], names=["query_id", "vec_id", "score"])
+
+
+def _rerank(index: MultiIndex, k: int):
+    """Rows (part, turn, kind, id, v, cell, last) sorted by part, turn, kind: a part's vectors
+    (bounded), then queries, streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-
-        def score(qids: np.ndarray, queries: np.ndarray, cells: pa.Array) -> Iterator[pa.RecordBatch]:
-            wanted, owner = cells.flatten().to_numpy(), np.repeat(np.arange(len(qids)), cells.value_lengths().to_numpy())
-            ids, vectors, own = (np.concatenate([h[x] for h in held]) for x in range(3))
-            for c in np.unique(wanted):
-                mine, asking = np.flatnonzero(own == c), owner[wanted == c]
-                if not len(mine):
-                    continue
-                step = max(1, SCORES // len(mine))
-                for at in range(0, len(asking), step):
-                    q = asking[at : at + step]
-                    scores = inner_products(queries[q], vectors[mine])
-                    scores[qids[q][:, None] == ids[mine][None, :]] = -np.inf  # not the query's own row
-                    columns = best(scores, ids[mine], k)
-                    rows = np.repeat(np.arange(len(q)), columns.shape[1])
-                    columns = columns.ravel()
-                    got = scores[rows, columns]
-                    ok = (columns >= 0) & (got > -np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[q][rows[ok]]), pa.array(ids[mine][columns[ok]]), pa.array(got[ok])], names=["query_id", "vec_id", "score"])
-
+        group, held, part = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts, kinds, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            matrix = _matrix(batch.column(3))
-            edges = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])
+            parts, turns, kinds, ids = (batch.column(c).to_numpy() for c in range(4))
+            matrix = _matrix(batch.column(4))
+            edges = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (turns[1:] != turns[:-1]) | (kinds[1:] != kinds[:-1])])
             for a, b in zip(edges, np.r_[edges[1:], len(parts)], strict=True):
-                cells = batch.column(4).slice(a, b - a)
-                if parts[a] != part:
-                    part, held = parts[a], []
+                if (parts[a], turns[a]) != group:
+                    group, held, part = (parts[a], turns[a]), [], None
                 if kinds[a] == 0:
-                    held.append((rows[a:b], matrix[a:b], cells.flatten().to_numpy()))
+                    held.append((ids[a:b], matrix[a:b], batch.column(5).slice(a, b - a).to_numpy()))
                 elif held:
-                    yield from score(rows[a:b], matrix[a:b], cells)
+                    part = part or _Part(index, *[np.concatenate([h[x] for h in held]) for x in range(3)])
+                    last = batch.column(6).slice(a, b - a).to_numpy()
+                    for at in range(0, b - a, BLOCK):
+                        some = slice(a + at, min(a + at + BLOCK, b))
+                        yield part.search(ids[some], matrix[some], last[at : at + BLOCK], k)
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, probe: float = PROBE, centroids: int = CENTROIDS, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = RECALL, share: float | None = None, centroids: int | None = None, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors by inner product.
 
     Every vector is indexed; the codebooks are fitted on the ``fit_rows`` rows with the smallest
-    id hashes. A query's own id is never its neighbour. Ranks go by score, ties by smaller id; fewer
-    than k candidates give fewer rows. Vectors that are null, zero, of another length than the
-    first by id, or hold null or non-finite components take no part, and neither do null ids. Rows
-    that repeat an id are candidates each. Empty tables give no rows. Other columns are not read.
-
-    Cells are packed into parts of about ``cell_rows`` vectors; larger cells are split by id hash and
-    each part meets the cell's queries, so no task holds a large cell. To the driver go the sample and one count a cell.
+    id hashes, and on them the ``share`` of all vectors that a query reranks is calibrated for
+    ``recall`` unless it is given. A query's own id is never its neighbour. Ranks go by score, ties
+    by smaller id; fewer than k candidates give fewer rows. Vectors that are null, zero, of another
+    length than the first by id hash, or hold null or non-finite components take no part, and neither do
+    null ids. Rows that repeat an id are candidates each. Empty tables give no rows. Other columns
+    are not read.
+
+    Cells are packed into parts of about ``part_rows`` vectors; larger cells are split by id hash.
+    Each part meets its queries in turns of about ``query_rows``, so no task holds a large cell or
+    streams all queries. To the driver go the sample and one count a cell.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     base, asked = pick(vectors), pick(queries)
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
+    rows = base.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    if not rows:
         return spark.createDataFrame([], schema)
-    width = len(sample[0][1])
+    width = len(rows[0][1])
     base, asked = base.where(F.size("v") == width), asked.where(F.size("v") == width)
-    index = MultiIndex(np.array([r[1] for r in sample if len(r[1]) == width]), centroids)
+    total, n_asked = base.count(), asked.count()
+    sample = np.array([r[1] for r in rows if len(r[1]) == width])
+    index = MultiIndex(sample, centroids or min(CENTROIDS, max(2, round(total**0.5))))
     filed = cut(base.mapInArrow(_assign(index), "id long, v array<double>, cell int"), "multi-index")
     sizes = np.zeros(index.cells, np.int64)
     for cell, n in filed.groupBy("cell").count().collect():
         sizes[cell] = n
-    wanted = max(int(np.ceil(probe * sizes.sum())), 50 * k)
-    first, parts = pack_cells(sizes, cell_rows)
-    right = asked.mapInArrow(_probe(index, sizes, wanted, first, parts), "part int, id long, v array<double>, cells array<int>")
-    start, split = (F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1) for values in (first, parts))
-    left = filed.select((start + F.pmod(F.xxhash64("id"), split)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v", F.array("cell").alias("cells"))
-    met = left.union(right.select("part", F.lit(1).alias("kind"), "id", "v", "cells")).repartition("part").sortWithinPartitions("part", "kind", "id")
-    hits = met.mapInArrow(_rerank(k), _HITS)
+    wanted = int(np.ceil((index.share(sample, total, k, recall) if share is None else share) * total))
+    first, parts = pack_cells(sizes, part_rows)
+    turns = max(1, -(-n_asked // query_rows))
+    tasks = int(first[-1] + parts[-1]) * turns
+    places = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(sizes)], "cell int, first int, parts int")
+    # one row a cell
+    left = filed.join(F.broadcast(places), "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    left = left.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"), "turn", F.lit(0).alias("kind"), "id", "v", "cell", F.lit(0.0).alias("last"))
+    right = asked.mapInArrow(_probe(index, sizes, wanted, first, parts), "part int, id long, v array<double>, last double")
+    right = right.select("part", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "id", "v", F.lit(0).alias("cell"), "last")
+    met = left.union(right).repartition(2 * tasks, "part", "turn").sortWithinPartitions("part", "turn", "kind")
+    hits = met.mapInArrow(_rerank(index, k), _HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
