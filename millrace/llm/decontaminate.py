@@ -3,7 +3,8 @@
 Benchmark and documents are read as lower-case words. Fixed masks over eight consecutive words
 keep five positions and ignore the others; equal hashes of the kept words are hits. Each hit puts
 a benchmark item on a diagonal of a document, where words are compared one by one: an overlap is
-every window of 13 words (all of an item that has 8 to 12) of which at least 80% agree.
+every window of 13 words (all of an item that has 8 to 12) of which at least 80% agree. Items of
+fewer words are hit by a mask over all of them and must agree in every word.
 
 The three masks hit every such window: test cases enumerate all ways to replace up to two of 13
 (11, 10) words, one of 9 or 8. So a verified overlap is never lost to the seeds.
@@ -24,8 +25,10 @@ from .common import blocks, hash_words, keyed, mix, texts_of
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
 WINDOW = 13
-#: Items with fewer words can't be told from chance and are not searched.
+#: Items with fewer words can't be told from chance: they are searched exactly, and do not remove documents.
 LEAST_WORDS = 8
+#: Pairs of equal seeds that are looked at together.
+PAIRS = 1 << 22
 SIMILARITY = 0.8
 #: Bytes of benchmark text that are sent to the tasks at once; more are searched in further blocks.
 BLOCK = 32 << 20
@@ -34,7 +37,7 @@ _PART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _TOKENS = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _BITS = 20
 
-_OUT = "id long, th long, item_id long, start long, until long, n_match long, passage string"
+_OUT = "id long, th long, item_id long, start long, until long, n_match long, item_words long, passage string"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -43,7 +46,7 @@ def tokens(text: str | None) -> list[str]:
 
 def need(n: int, similarity: float = SIMILARITY) -> int:
     """Words that must agree in a window of ``n``."""
-    return int(np.ceil(similarity * n - 1e-9))
+    return n if n < LEAST_WORDS else int(np.ceil(similarity * n - 1e-9))
 
 
 def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -62,37 +65,45 @@ class Index:
     """Seed hashes of one block of benchmark items, bounded by ``BLOCK``."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        items = [i for i in items if len(tokens(i[1])) >= LEAST_WORDS]
+        items = [i for i in items if tokens(i[1])]
         self.ids = [i[0] for i in items]
         self.words, self.offsets = hash_words([(i[1] or "").lower() for i in items], _PART)
+        sizes = np.diff(self.offsets)
+        self.item = np.repeat(np.arange(len(items)), sizes)
         self.seeds = []
-        for mask in MASKS:
+        short = [(tuple(range(n)), self.offsets[:-1][sizes == n]) for n in np.unique(sizes[sizes < LEAST_WORDS]).tolist()]
+        for mask, only in [*((m, None) for m in MASKS), *short]:
             h = seeds(self.words, mask)
-            order = np.argsort(h, kind="stable")
+            own = np.flatnonzero(sizes[self.item[: len(h)]] >= LEAST_WORDS) if only is None else only
+            order = own[np.argsort(h[own], kind="stable")]
             filled = np.zeros(1 << _BITS, bool)
-            filled[h >> np.uint64(64 - _BITS)] = True
-            self.seeds.append((mask, h[order], order, filled))
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (position in words, position in the benchmark) whose masked hashes are equal."""
-        found = []
-        for mask, known, order, filled in self.seeds:
+            filled[h[order] >> np.uint64(64 - _BITS)] = True
+            self.seeds.append((mask, h, h[order], order, filled))
+
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (position in words, position in the benchmark) whose masked hashes are equal, of each
+        run along a diagonal the first one."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        begins = np.repeat(offsets[:-1], np.diff(offsets))
+        for mask, theirs, known, order, filled in self.seeds:
             h = seeds(words, mask)
             at = np.flatnonzero(filled[h >> np.uint64(64 - _BITS)])
             low = np.searchsorted(known, h[at], "left")
             n = np.searchsorted(known, h[at], "right") - low
             at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            if len(at):
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append((np.repeat(at, n), order[np.repeat(low, n) + step]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            parts = np.cumsum(n) // PAIRS
+            for part in np.unique(parts):
+                a, l, m = at[parts == part], low[parts == part], n[parts == part]
+                own, other = np.repeat(a, m), order[np.repeat(l, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                inside = (own > begins[own]) & (other > self.offsets[self.item[other]])
+                new = ~inside | (h[own - 1] != theirs[other - 1])
+                found.append((own[new], other[new]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def overlaps(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Verified overlaps as (text, item, first word, word after, words that agree), one for
         each text and item: that with most agreeing words, the earliest of them."""
-        at, there = self.hits(words)
+        at, there = self.hits(words, offsets)
         if not len(at):
             return []
         text = np.searchsorted(offsets, at, side="right") - 1
@@ -136,20 +147,21 @@ def _scan(index: Index):
             if found:
                 rows = pa.array([f[0] for f in found])
                 passages = [" ".join(tokens(texts[t])[a:b]) for t, _, a, b, _ in found]
-                columns = [pa.array([index.ids[f[1]] for f in found], pa.int64()), *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)], pa.array(passages, pa.string())]
+                sizes = np.diff(index.offsets)
+                columns = [pa.array([index.ids[f[1]] for f in found], pa.int64()), *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)], pa.array([int(sizes[f[1]]) for f in found], pa.int64()), pa.array(passages, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=[c.split()[0] for c in _OUT.split(", ")])
 
     return run
 
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, th, item_id, start, until, n_match, passage): for every document and benchmark item that
+    """(id, th, item_id, start, until, n_match, item_words, passage): for every document and benchmark item that
     share an overlap, the largest one, as word positions of the document and as words.
 
     The benchmark is the query set: it is measured first and searched in blocks of at most
     ``block`` bytes of text (a single longer item is a block of its own), each against all
     documents, so what a task holds stays bounded. Null texts have no words; items under
-    ``LEAST_WORDS`` words aren't searched; repeated rows are each searched; an empty table on
+    ``LEAST_WORDS`` words must occur word by word; repeated rows are each searched; an empty table on
     either side gives no rows. Other columns are not read.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
@@ -163,7 +175,12 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return reduce(DataFrame.union, parts)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that overlap with a benchmark item; all other rows stay as they are."""
-    bad = benchmark_overlaps(docs, benchmark, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without the documents that overlap with a benchmark item of ``least_words`` words or
+    more; all other rows and all columns stay as they are."""
+    bad = benchmark_overlaps(docs, benchmark, id_col, text_col).where(F.col("item_words") >= least_words).select(F.col("id").alias(BAD_ID), F.col("th").alias(BAD_TH)).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[BAD_ID]) & (F.xxhash64(docs[text_col]) == bad[BAD_TH]), "left_anti")
+
+
+#: Names that no table has by accident; the anti-join drops them.
+BAD_ID, BAD_TH = "__overlap_id", "__overlap_th"
