@@ -88,13 +88,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     target by less than one document, and a document is taken at most ceil(``most``) times.
     ``positions`` has a training time in [0, 1] for each time it is taken.
 
+    Rows are queued by a hash of the id, or of the text where the id is null, so these spread alike.
     A null text has size 0, and size-0 documents are taken with the target not yet reached at their
     place (they add no words). A null source is a source of its own, last in order. Ties and
     repeated rows are ordered by hash, id and text hash; identical rows are interchangeable, and
     the reruns agree. An empty table gives none. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = cut(rows.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))), "mix")
+    rows = cut(rows.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text "), F.col("th").cast("string")))).cast("binary"))), "mix")
     n = max(1, -(-rows.count() // bucket_rows))
     bits = (n - 1).bit_length()
     bucket = F.shiftright(F.conv(F.substring("order", 1, 15), 16, 10).cast("long"), 60 - bits)
@@ -118,6 +119,41 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return got.select("id", "th", "size", "source_size", "target", F.size("offsets").alias("passes"), taken.cast("long").alias("taken"), positions.alias("positions"))
 
 
+def training_order(plan: DataFrame) -> DataFrame:
+    """(id, th, size, position, begin), a row for each time a row of ``plan`` is taken, range-sorted by
+    training position (ties by id and text hash): ``begin`` is the number of words of the mix before it.
+
+    The sorted mix is written with the number of its range; only the ranges' sums are ordered.
+    """
+    rows = plan.select("id", "th", "size", F.explode("positions").alias("position"))
+    by = ["position", "id", "th"]
+    rows = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range", F.spark_partition_id()), "mix-order")
+    ranges = rows.groupBy("range").agg(F.sum("size").alias("words"))
+    ahead = F.coalesce(F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition of the sort
+    placed = rows.withColumn("inside", inside).join(F.broadcast(ranges.select("range", ahead.alias("ahead"))), "range")
+    return placed.select("id", "th", "size", "position", (F.col("ahead") + F.col("inside")).alias("begin"))
+
+
+def taken_in_order(plan: DataFrame) -> DataFrame:
+    """(id, size, source_size, target, taken, first_position, last_position, first_begin, last_begin), a
+    row for each row of ``plan``: what the range-sorted mix takes of it, where in training, and how
+    many words of the mix come before. Rows that aren't taken have 0 and nulls; identical rows share
+    out their places in order."""
+    plan = cut(plan, "mix-plan")
+    taken = training_order(plan)
+    key = ["id", "th"]
+    # Identical rows are interchangeable: each of them has as many places as its passes.
+    some = plan.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("positions")))
+    taken = taken.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("position", "begin")))
+    until = F.sum("passes").over(Window.partitionBy(*key).orderBy("copy").rowsBetween(Window.unboundedPreceding, 0))
+    some = some.withColumn("until", until).withColumn("after", F.col("until") - F.col("passes")).withColumnsRenamed({"id": "id_p", "th": "th_p"}).drop("taken", "positions")
+    met = some.join(taken.drop("size"), F.col("id_p").eqNullSafe(F.col("id")) & F.col("th_p").eqNullSafe(F.col("th")) & (F.col("place") > F.col("after")) & (F.col("place") <= F.col("until")), "left")
+    got = met.groupBy("id_p", "th_p", "copy", "size", "source_size", "target").agg(F.count("position").alias("times"), *[f(c).alias(f"{n}_{c}") for c in ("position", "begin") for n, f in (("first", F.min), ("last", F.max))])
+    return got.select(F.col("id_p").alias("id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "first_position", "last_position", "first_begin", "last_begin")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position_col: str | None = None, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, range-sorted by training
     position. Rows not taken are left out; the columns are those of ``docs``, and last the training

@@ -17,13 +17,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.plan_mix(table(spark, sf_dir, "documents"), cycle=(5, 2, 1), share=1.5, most=2.0)
-    return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
-
-
-def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, position_col="position", cycle=(5, 2, 1), share=1.5, most=2.0).select("doc_id", "position")
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"), cycle=(5, 2, 1), share=1.5, most=2.0)
+    return mixing.taken_in_order(plan).withColumnRenamed("id", "doc_id")
 
 
 OP2_SQL = r"""
@@ -38,14 +33,30 @@ WITH d AS (
     (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, CASE WHEN f IS NULL THEN most ELSE least(f * weight, most) END AS target
+  SELECT source, source_size, place, CASE WHEN f IS NULL THEN most ELSE least(f * weight, most) END AS target
   FROM o, (SELECT first(level ORDER BY stop, place) FILTER (level <= stop) AS f FROM o)
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0::DOUBLE AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  -- the schedules' linear pieces: weight w0 at t0 to w1 at t1, share of the integral before (done) and in it (part)
+  SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, 0.0, 1.0, 2.0, 0.5, 0.0, 1.0),
+    (2, 0.0, 0.5, 0.5, 1.0, 0.0, 0.375::DOUBLE / 1.125::DOUBLE), (2, 0.5, 1.0, 1.0, 2.0, 0.375::DOUBLE / 1.125::DOUBLE, 0.75::DOUBLE / 1.125::DOUBLE)) AS c(schedule, t0, t1, w0, w1, done, part)
+), f AS (
+  SELECT doc_id, size, place, CASE WHEN target > 0 THEN (middle + k * source_size) / target ELSE 0.0::DOUBLE END AS fraction
+  FROM q, (SELECT unnest([0, 1]) AS k) WHERE middle + k * source_size < target
+), x AS (
+  SELECT f.*, c.*, least(greatest((fraction - done) / part, 0.0::DOUBLE), 1.0::DOUBLE) AS x, w1 - w0 AS slope, (w0 + w1) / 2 AS area
+  FROM f JOIN c ON f.place % 3 = c.schedule AND c.done <= f.fraction
+  QUALIFY row_number() OVER (PARTITION BY doc_id, fraction ORDER BY done DESC) = 1
+), p AS (
+  SELECT doc_id, size, t0 + (t1 - t0) * least(greatest(CASE WHEN abs(slope) < 1e-12 THEN x ELSE (sqrt(greatest(w0 * w0 + 2 * slope * area * x, 0.0::DOUBLE)) - w0) / slope END, 0.0::DOUBLE), 1.0::DOUBLE) AS position FROM x
+), g AS (
+  SELECT doc_id, count(*) AS times, min(position) AS first_position, max(position) AS last_position, min(b) AS first_begin, max(b) AS last_begin
+  FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY position, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM p) GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target, (size * ((middle < target)::INT + (middle + source_size < target)::INT))::BIGINT AS taken FROM q
+SELECT q.doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken, first_position, last_position, first_begin, last_begin FROM q LEFT JOIN g ON q.doc_id = g.doc_id
 """
 
 
@@ -109,5 +120,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op2_training_order, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id, op10_pii)}
 ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}

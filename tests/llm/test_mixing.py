@@ -59,9 +59,35 @@ def test_taken_words_come_near_targets(spark, texts):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["id"]: r["passes"] for r in plan if r["passes"]})
 
 
+def test_the_query_comes_from_the_sorted_mix(spark, texts):
+    rows = [(k, texts(k, 5 + k * 7 % 60), f"s{min(k % 10, 4)}") for k in range(300)] + [(7, texts(7, 54), "s4")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(df, bucket_rows=20)
+    order = mixing.training_order(plan).collect()
+    at = 0
+    for r in sorted(order, key=lambda r: (r["position"], r["id"], r["th"], r["begin"])):
+        assert r["begin"] == at
+        at += r["size"]
+    positions = sorted(p for r in plan.collect() for p in r["positions"])
+    assert sorted(r["position"] for r in order) == positions
+    got = mixing.taken_in_order(plan).collect()
+    assert sorted((r["id"], r["taken"]) for r in got) == sorted((r["id"], r["taken"]) for r in plan.collect())
+    assert all((r["first_position"] is None) == (r["taken"] == 0) or r["size"] == 0 for r in got)
+    assert "sqrt" in mixing.taken_in_order(plan)._jdf.queryExecution().optimizedPlan().toString().lower() + plan._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_null_ids_spread_over_buckets(spark, texts):
+    df = spark.createDataFrame([(None, texts(k, 20), "a") for k in range(400)], "doc_id long, text string, source string")
+    plan = mixing.plan_mix(df, bucket_rows=10).collect()
+    words = sum(r["size"] for r in plan)
+    assert abs(sum(r["taken"] for r in plan) - 1.5 * words) <= 40 and {r["passes"] for r in plan} == {1, 2}
+
+
 def test_odd_rows(odd, empty):
     plan = mixing.plan_mix(odd).collect()
     assert len(plan) == odd.count() and all(r["taken"] <= 2 * r["size"] for r in plan)
+    got = mixing.taken_in_order(mixing.plan_mix(odd)).collect()
+    assert sorted((r["id"] or -1, r["taken"]) for r in got) == sorted((r["id"] or -1, r["taken"]) for r in plan)
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns and mixed.count() == sum(r["passes"] for r in plan)
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
