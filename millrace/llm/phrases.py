@@ -41,8 +41,8 @@ CHUNK = 50_000
 PATTERNS, WAITING = 400, 20_000
 #: Words of stretches of infrequent anchors that wait for an automaton: about as many patterns.
 CONFIRMING = 2000
-#: A null id: it is larger than any other.
-UNNAMED = (1 << 63) - 1
+#: Rows without an id stand after all others, by this and their text's hash: so they spread like ids.
+UNNAMED = 1 << 62
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -293,10 +293,11 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     in a document with a smaller id; kept words are joined by one space.
 
     A null text has no words. Texts shorter than a window stay whole. Rows with one id do not
-    cover each other; a null id counts as larger than any other and covers nothing (the largest
-    long stands for it and is no id of its own). Repeated rows give equal results, once each. An empty table gives none. Other columns are not read.
+    cover each other. Null ids count as larger than any other (ids are below 2^62), ordered among
+    themselves by text hash. Repeated rows give equal results, once each. An empty table gives
+    none. Other columns are not read.
     """
-    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED))
+    id_ = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
     # One exchange of the texts serves all steps: each joins by id, and tells rows that share an id by th.
     texts = docs.select(id_.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     same_text = lambda a, b: (a["id"] == b["id"]) & (a["th"].bitwiseXOR(b["th"]) == 0)
@@ -330,4 +331,4 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     whole = texts.join(copies, same_text(texts, copies), "left").select(texts["id"], texts["th"], "text", "copy")
     whole = whole.join(found, same_text(whole, found), "left").select(whole["id"], whole["th"], "text", "copy", "found")
     kept = whole.mapInArrow(_remove(width), _KEPT)
-    return kept.withColumn("id", F.when(F.col("id") != UNNAMED, F.col("id")))
+    return kept.withColumn("id", F.when(F.col("id") < UNNAMED, F.col("id")))

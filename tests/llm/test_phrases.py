@@ -1,23 +1,28 @@
 import re
 
+import xxhash
+
 from millrace.llm import phrases
 
 
+def place(i, t):
+    """Where a row stands: by id; rows without an id after all others, by their text's hash."""
+    return i if i is not None else phrases.UNNAMED | (xxhash.xxh64_intdigest((t or "").encode(), 42) & (phrases.UNNAMED - 1))
+
+
 def brute(rows, width):
     """(id, kept words, n) of (id, text) rows, straight from the definition."""
-    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    words = [(i, place(i, t), re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first = {}
-    for i, w in words:
+    for _, p, w in words:
         for k in range(len(w) - width + 1):
             key = tuple(w[k : k + width])
-            if i is not None:
-                first[key] = min(first.get(key, i), i)
+            first[key] = min(first.get(key, p), p)
     out = []
-    for i, w in words:
+    for i, p, w in words:
         gone = set()
         for k in range(len(w) - width + 1):
-            low = first.get(tuple(w[k : k + width]))
-            if low is not None and (i is None or low < i):
+            if first[tuple(w[k : k + width])] < p:
                 gone.update(range(k, k + width))
         out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone), len(w)))
     return sorted(out, key=str)
@@ -50,3 +55,9 @@ def test_odd_rows(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert run(odd, 13) == brute(rows, 13)
     assert phrases.drop_repeated_passages(empty).count() == 0
+
+
+def test_rows_without_id_spread(spark, texts):
+    shared = texts(50, 40)
+    rows = [(None, f"{texts(k, 10)} {shared if k % 2 else ''}") for k in range(60)] + [(None, texts(1, 30))] * 3 + [(None, None)] * 20 + [(3, shared)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), 13) == brute(rows, 13)
