@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_words, keyed, mix, texts_of
+from .common import blocks, fresh, hash_words, keyed, mix, texts_of
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
 WINDOW = 13
@@ -178,9 +178,6 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the documents that overlap with a benchmark item of ``least_words`` words or
     more; all other rows and all columns stay as they are."""
-    bad = benchmark_overlaps(docs, benchmark, id_col, text_col).where(F.col("item_words") >= least_words).select(F.col("id").alias(BAD_ID), F.col("th").alias(BAD_TH)).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[BAD_ID]) & (F.xxhash64(docs[text_col]) == bad[BAD_TH]), "left_anti")
-
-
-#: Names that no table has by accident; the anti-join drops them.
-BAD_ID, BAD_TH = "__overlap_id", "__overlap_th"
+    own_id, own_th = fresh(docs, "overlap_id", "overlap_th")
+    bad = benchmark_overlaps(docs, benchmark, id_col, text_col).where(F.col("item_words") >= least_words).select(F.col("id").alias(own_id), F.col("th").alias(own_th)).distinct()
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text_col)) == F.col(own_th)), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, fresh
 
 #: N-grams in a profile, and n-grams of a document that are compared with it.
 PROFILE = 400
@@ -126,13 +126,14 @@ def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", lang_
     """``docs`` with the predicted language and its score (0 to 1) as two columns more.
 
     ``und`` and score 0 where the text is null or has no letter, or where there is no profile. All
-    rows and other columns stay as they are; ties go to the first language by name. Only the
+    rows and other columns stay as they are, columns of the two names are replaced; ties go to the first language by name. Only the
     profiles (languages times ``size`` rows) pass through the driver.
     """
     known = Profiles([tuple(r) for r in profiles.select("lang", "rank", "gram").collect()], size)
 
-    kept = docs.withColumn("__judged", judged_column(known, F.col(text_col)))
-    return kept.withColumns({lang_name: F.col("__judged.lang"), score_name: F.col("__judged.score")}).drop("__judged")
+    (own,) = fresh(docs, "judged")
+    kept = docs.withColumn(own, judged_column(known, F.col(text_col)))
+    return kept.withColumns({lang_name: F.col(f"{own}.lang"), score_name: F.col(f"{own}.score")}).drop(own)
 
 
 def judged_column(known: Profiles, text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 #: Rows of one source bucket, on average.
 BUCKET_ROWS = 2000
@@ -159,13 +159,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     position. Rows not taken are left out; the columns are those of ``docs``, and last the training
     position if ``position_col`` names it."""
     plan = plan_mix(docs, id_col, text_col, source_col, **options)
-    plan = cut(plan.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.flatten(F.collect_list("positions")).alias("__all"), F.count("*").alias("__n")), "mix-plan")
-    plan = plan.where(F.size("__all") > 0)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th"))
+    id_, th, all_, n, k, at = fresh(docs, "mix_id", "mix_th", "mix_all", "mix_n", "mix_k", "mix_at")
+    plan = cut(plan.groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.flatten(F.collect_list("positions")).alias(all_), F.count("*").alias(n)), "mix-plan")
+    plan = plan.where(F.size(all_) > 0)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(th))
     # Identical rows (equal id and text) are interchangeable: the positions of all are shared out among them.
-    rank = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th")) - 1
-    out = docs.join(plan, same).withColumn("__k", rank)
-    own = F.filter("__all", lambda x, i: i % F.col("__n") == F.col("__k"))
-    out = out.withColumn("__position", F.explode(own))
-    position = [F.col("__position").alias(position_col)] if position_col else []
-    return out.repartitionByRange("__position", "__id", "__th").sortWithinPartitions("__position", "__id", "__th").select(*docs.columns, *position)
+    rank = F.row_number().over(Window.partitionBy(id_, th).orderBy(th)) - 1
+    out = docs.join(plan, same).withColumn(k, rank)
+    own = F.filter(all_, lambda x, i: i % F.col(n) == F.col(k))
+    out = out.withColumn(at, F.explode(own))
+    position = [F.col(at).alias(position_col)] if position_col else []
+    return out.repartitionByRange(at, id_, th).sortWithinPartitions(at, id_, th).select(*docs.columns, *position)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, keyed, mix, texts_of
+from .common import blocks, cut, fresh, keyed, mix, texts_of
 from .components import connected_components
 
 #: Largest number of fingerprints in one cell; more are split.
@@ -379,11 +379,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     radius = radius_for(similarity)
     candidates = cut(near_links(distinct.select("node", *names), lsh_keys([F.col(n) for n in names], LONG_KEY), names, radius), "near-candidate-links")
     near = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    whose = distinct.join(near, "node", "left_semi").select("node", *names, F.col("least.id").alias("__id"), F.col("least.th").alias("__th"))
-    texts = keyed(docs, id_col, text_col).join(whose, F.col("id").eqNullSafe(F.col("__id")) & F.col("th").eqNullSafe(F.col("__th"))).groupBy("node", *names).agg(F.first("text").alias("text"))
+    whose = distinct.join(near, "node", "left_semi").select("node", *names, F.col("least.id").alias("least_id"), F.col("least.th").alias("least_th"))
+    texts = keyed(docs, id_col, text_col).join(whose, F.col("id").eqNullSafe(F.col("least_id")) & F.col("th").eqNullSafe(F.col("least_th"))).groupBy("node", *names).agg(F.first("text").alias("text"))
     links = cut(verified_links(candidates, texts, names, shingle, radius, similarity), "near-links")
     classes = distinct.join(connected_components(links), "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
-    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.th").alias("__th")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th"))
-    rank = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
-    return docs.join(kept, same).withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
+    id_, th, place = fresh(docs, "kept_id", "kept_th", "kept_place")
+    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias(id_), F.col("least.th").alias(th)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(th))
+    rank = F.row_number().over(Window.partitionBy(id_, th).orderBy(th))
+    return docs.join(kept, same).withColumn(place, rank).where(F.col(place) == 1).select(*docs.columns)

@@ -24,8 +24,8 @@ def odd(spark):
         (6, text(6, 5000), "en", "c"), (7, text(7, 40), None, "a"), (7, text(7, 40), None, "a"), (8, text(8, 30), "en", None), (8, text(9, 30), "en", "c"),
         (None, text(10, 50), "en", "a"), (None, None, None, None), (11, "12 %% 34", "de", "c"), (12, "x" * 3000, "de", "c"), (13, "été über ñandú " * 20, "fr", "b"),
     ]
-    rows = [(*r, len(r[1] or ""), "id", 1, "th", "fp", "cell", "size") for r in rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, th int, bucket string, fp string, cell string, size string").coalesce(2)
+    rows = [(*r, len(r[1] or ""), "id", 1, "th", "fp", "cell", "size", "judged", 0.5, "xx", 7, 8, "node") for r in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, th int, bucket string, fp string, cell string, size string, judged string, score double, lang_pred string, kept_id int, mix_at int, node string").coalesce(2)
 
 
 @pytest.fixture(scope="session")
