@@ -28,10 +28,12 @@ ROUNDS = 10
 #: Recall that the share of vectors to rerank is calibrated for.
 RECALL = 0.93
 NEIGHBOURS = 20
-#: Vectors, and queries, that one task holds or streams; larger tables have more parts.
-PART_ROWS, QUERY_ROWS = 2048, 1 << 16
-#: Queries that are scored at once.
-BLOCK = 256
+#: Groups of cells; each gives a query's best of its own, whatever the size of the table.
+GROUPS = 16
+#: Queries that one task holds; more take turns. Their best entries so far are cut back to k at ``HITS``.
+QUERY_ROWS, HITS = 1 << 14, 1 << 20
+#: Queries, and vectors, that are scored at once.
+BLOCK, VECTORS = 256, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -141,25 +143,23 @@ def _assign(index: MultiIndex):
 
 
 def _probe(index: MultiIndex, sizes: np.ndarray, wanted: int, first: np.ndarray, parts: np.ndarray):
-    """A row for each query and part in which it has cells, with the distance of its last cell."""
+    """A row for each query and group in which it has cells, with the distance of its last cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 block = batch.slice(at, BLOCK)
-                queries = _matrix(block.column(1))
-                near, far = index.halves(queries)
+                near, far = index.halves(_matrix(block.column(1)))
                 rows, where, limits = [], [], []
                 for row, found in enumerate(walk(f, s, sizes, wanted) for f, s in zip(near, far, strict=True)):
                     if not found:
                         continue
                     cells = np.array(found)
-                    last = near[row, found[-1] // far.shape[1]] + far[row, found[-1] % far.shape[1]]
                     begin, n = first[cells], parts[cells]
                     mine = np.unique(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                     rows.append(np.full(len(mine), row))
                     where.append(mine)
-                    limits.append(np.full(len(mine), last))
+                    limits.append(np.full(len(mine), near[row, cells[-1] // far.shape[1]] + far[row, cells[-1] % far.shape[1]]))
                 if rows:
                     take = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where), pa.int32()), block.column(0).take(take), block.column(1).take(take), pa.array(np.concatenate(limits))], names=["part", "id", "v", "last"])
@@ -193,67 +193,100 @@ def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 _HITS = "query_id long, vec_id long, score double"
 
 
-class _Part:
-    """The vectors of one part, by cell."""
-
-    def __init__(self, index: MultiIndex, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray) -> None:
-        order = np.lexsort((ids, cells))
-        self.index, self.ids, self.vectors = index, ids[order], vectors[order]
-        self.cells, self.sizes = np.unique(cells, return_counts=True)
-
-    def search(self, qids: np.ndarray, queries: np.ndarray, last: np.ndarray, k: int) -> pa.RecordBatch:
-        """Each query's k best entries of its cells, which are those up to the distance of its last one."""
-        first, second = self.index.halves(queries)
-        near = first[:, self.cells // second.shape[1]] + second[:, self.cells % second.shape[1]] <= last[:, None]
-        rows, columns = [], []
-        for row in range(len(qids)):
-            mine = np.flatnonzero(np.repeat(near[row], self.sizes))
-            mine = mine[self.ids[mine] != qids[row]]  # not the query's own row
-            if len(mine) > k:
-                scores = self.vectors[mine] @ queries[row]
-                # the k-th largest, less what another order of summing may change
-                mine = mine[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 * (1 + np.abs(scores).max())]
-            rows.append(np.full(len(mine), row))
-            columns.append(mine)
-        rows, columns = np.concatenate(rows), np.concatenate(columns)
-        scores = np.zeros(len(rows))
-        for d in range(queries.shape[1]):  # summed in the order of components, so equal vectors score equally
-            scores += queries[rows, d] * self.vectors[columns, d]
-        order = np.lexsort((self.ids[columns], -scores, rows))
-        rows, columns, scores = rows[order], columns[order], scores[order]
-        starts = np.searchsorted(rows, np.arange(len(qids)))
-        ok = np.arange(len(rows)) - starts[rows] < k
-        return pa.RecordBatch.from_arrays([pa.array(qids[rows[ok]]), pa.array(self.ids[columns[ok]]), pa.array(scores[ok])], names=["query_id", "vec_id", "score"])
+def top(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, rows))
+    r = rows[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+    rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+    return order[rank < k]
+
+
+class _Turn:
+    """The queries of one turn, and their best entries among the vectors of a group so far."""
+
+    def __init__(self, index: MultiIndex, k: int) -> None:
+        self.index, self.k = index, k
+        self.asked: list[tuple] = []
+        self.found: list[tuple] = []
+        self.size = 0
+
+    def gather(self) -> None:
+        if len(self.asked) > 1:
+            self.asked = [tuple(np.concatenate([a[x] for a in self.asked]) for x in range(3))]
+
+    def search(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray) -> None:
+        """Reranks these vectors for all queries whose cells they are in: cells up to the last one's distance."""
+        self.gather()
+        qids, queries, last = self.asked[0]
+        own, place = np.unique(cells, return_inverse=True)
+        for at in range(0, len(qids), BLOCK):
+            q = slice(at, at + BLOCK)
+            first, second = self.index.halves(queries[q])
+            near = first[:, own // second.shape[1]] + second[:, own % second.shape[1]] <= last[q, None]
+            rows, columns = [], []
+            for row in np.flatnonzero(near.any(axis=1)):
+                mine = np.flatnonzero(near[row, place])
+                mine = mine[ids[mine] != qids[at + row]]  # not the query's own row
+                if len(mine) > self.k:
+                    scores = vectors[mine] @ queries[at + row]
+                    # the k-th largest, less what another order of summing may change
+                    mine = mine[scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k] - 1e-9 * (1 + np.abs(scores).max())]
+                rows.append(np.full(len(mine), at + row))
+                columns.append(mine)
+            if not rows:
+                continue
+            rows, columns = np.concatenate(rows), np.concatenate(columns)
+            scores = np.zeros(len(rows))
+            for d in range(queries.shape[1]):  # summed in the order of components, so equal vectors score equally
+                scores += queries[rows, d] * vectors[columns, d]
+            self.found.append((rows, ids[columns], scores))
+            self.size += len(rows)
+        if self.size > HITS:
+            self.shrink()
+
+    def shrink(self) -> None:
+        rows, ids, scores = (np.concatenate([f[x] for f in self.found]) for x in range(3))
+        best = top(rows, ids, scores, self.k)
+        self.found, self.size = [(rows[best], ids[best], scores[best])], len(best)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            self.shrink()
+            rows, ids, scores = self.found[0]
+            yield pa.RecordBatch.from_arrays([pa.array(self.asked[0][0][rows]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
 
 def _rerank(index: MultiIndex, k: int):
-    """Rows (part, turn, kind, id, v, cell, last) sorted by part, turn, kind: a part's vectors
-    (bounded), then queries, streamed."""
+    """Rows (part, turn, kind, id, v, cell, last) sorted by part, turn, kind, cell: the queries of a turn
+    (bounded), then the group's vectors, streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, part = None, [], None
+        key, turn = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts, turns, kinds, ids = (batch.column(c).to_numpy() for c in range(4))
+            parts, turns, kinds, ids, cells, last = (batch.column(c).to_numpy() for c in (0, 1, 2, 3, 5, 6))
             matrix = _matrix(batch.column(4))
             edges = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (turns[1:] != turns[:-1]) | (kinds[1:] != kinds[:-1])])
             for a, b in zip(edges, np.r_[edges[1:], len(parts)], strict=True):
-                if (parts[a], turns[a]) != group:
-                    group, held, part = (parts[a], turns[a]), [], None
+                if (parts[a], turns[a]) != key:
+                    if turn:
+                        yield from turn.result()
+                    key, turn = (parts[a], turns[a]), _Turn(index, k)
                 if kinds[a] == 0:
-                    held.append((ids[a:b], matrix[a:b], batch.column(5).slice(a, b - a).to_numpy()))
-                elif held:
-                    part = part or _Part(index, *[np.concatenate([h[x] for h in held]) for x in range(3)])
-                    last = batch.column(6).slice(a, b - a).to_numpy()
-                    for at in range(0, b - a, BLOCK):
-                        some = slice(a + at, min(a + at + BLOCK, b))
-                        yield part.search(ids[some], matrix[some], last[at : at + BLOCK], k)
+                    turn.asked.append((ids[a:b], matrix[a:b], last[a:b]))
+                elif turn.asked:
+                    for at in range(a, b, VECTORS):
+                        some = slice(at, min(at + VECTORS, b))
+                        turn.search(ids[some], matrix[some], cells[some])
+        if turn:
+            yield from turn.result()
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = RECALL, share: float | None = None, centroids: int | None = None, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = RECALL, share: float | None = None, centroids: int | None = None, fit_rows: int = FIT_ROWS, groups: int = GROUPS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors by inner product.
 
     Every vector is indexed; the codebooks are fitted on the ``fit_rows`` rows with the smallest
@@ -264,9 +297,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     null ids. Rows that repeat an id are candidates each. Empty tables give no rows. Other columns
     are not read.
 
-    Cells are packed into parts of about ``part_rows`` vectors; larger cells are split by id hash.
-    Each part meets its queries in turns of about ``query_rows``, so no task holds a large cell or
-    streams all queries. To the driver go the sample and one count a cell.
+    Neighbouring cells make up ``groups`` groups of about equal size; larger cells are split by id
+    hash. A task holds about ``query_rows`` queries and streams the vectors of one group, so
+    it holds no large cell, and a query has at most k rows from each group. To the driver go the
+    sample and one count a cell.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -285,16 +319,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     for cell, n in filed.groupBy("cell").count().collect():
         sizes[cell] = n
     wanted = int(np.ceil((index.share(sample, total, k, recall) if share is None else share) * total))
-    first, parts = pack_cells(sizes, part_rows)
+    first, parts = pack_cells(sizes, max(1, -(-total // groups)))
     turns = max(1, -(-n_asked // query_rows))
     tasks = int(first[-1] + parts[-1]) * turns
     places = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(sizes)], "cell int, first int, parts int")
     # one row a cell
     left = filed.join(F.broadcast(places), "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    left = left.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"), "turn", F.lit(0).alias("kind"), "id", "v", "cell", F.lit(0.0).alias("last"))
+    left = left.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"), "turn", F.lit(1).alias("kind"), "id", "v", "cell", F.lit(0.0).alias("last"))
     right = asked.mapInArrow(_probe(index, sizes, wanted, first, parts), "part int, id long, v array<double>, last double")
-    right = right.select("part", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "id", "v", F.lit(0).alias("cell"), "last")
-    met = left.union(right).repartition(2 * tasks, "part", "turn").sortWithinPartitions("part", "turn", "kind")
+    right = right.select("part", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(0).alias("kind"), "id", "v", F.lit(0).alias("cell"), "last")
+    met = left.union(right).repartition(2 * tasks, "part", "turn").sortWithinPartitions("part", "turn", "kind", "cell")
     hits = met.mapInArrow(_rerank(index, k), _HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,14 +23,17 @@ def test_walk_visits_cells_in_order():
     assert len(ann.walk(a, b, np.ones(35, int), 4)) == 4
 
 
-def test_all_cells_give_the_exact_result(spark):
+@pytest.mark.parametrize("groups", [1, 7])
+def test_all_cells_give_the_exact_result(spark, groups, monkeypatch):
+    monkeypatch.setattr(ann, "HITS", 100)
+    monkeypatch.setattr(ann, "VECTORS", 32)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(50)]  # equal vectors
     rows += [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [1.0, None] + [0.0] * 6), (404, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(rows, range(0, 410, 20), 10)
-    got = ann.nearest(df, df.where("vec_id % 20 = 0"), k=10, share=1.0, centroids=4, part_rows=16, query_rows=8).orderBy("query_id", "rank").collect()
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), k=10, share=1.0, centroids=4, groups=groups, query_rows=8).orderBy("query_id", "rank").collect()
     assert [tuple(r)[:3] for r in got] == [w[:3] for w in want]
     assert np.allclose([r[3] for r in got], [w[3] for w in want])
 
