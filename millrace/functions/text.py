@@ -18,8 +18,13 @@ LEGAL_FORMS = r"\b(?:s ?l|s ?a|inc|ltd|llc|plc|corp|corporation|company|gmbh|srl
 SHORTEST_UNIT = 25
 
 
+# Fixed value: Unicode white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_placeholder(text: Column) -> Column:

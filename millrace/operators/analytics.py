@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Half-open token buckets, and the ladder of latency limits.
@@ -10,9 +10,19 @@ TOKEN_BUCKETS = [0, 3500, 4500, 5500, 6500, 9000]
 LIMITS = [4000, 6000, 8000, 10000, 15000]
 
 
-def nearest_rank(value: str, percent: int) -> Column:
-    """The value at place ceil(p n / 100) in order."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})")
+def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
+    """(by, p50, ...): nearest-rank percentiles, the value at place ceil(p n / 100) in order.
+
+    Equal values are counted before the shuffle and running counts are taken in sorted order, so no
+    task holds a group's values in memory. Groups without a value are left out.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*by)
+    placed = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy("__value").rowsBetween(Window.unboundedPreceding, 0))})
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    same = [placed[c].eqNullSafe(total[c]) for c in by]
+    both = placed.join(total, same).select(*[placed[c] for c in by], "__value", "__upto", "__all")
+    return both.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") * 100 >= F.col("__all") * p, F.col("__value"))).alias(f"p{p}") for p in percents])
 
 
 def bucket(value: Column, edges: list[int]) -> Column:
@@ -24,14 +34,17 @@ def bucket(value: Column, edges: list[int]) -> Column:
 
 
 def latency_summary(rows: DataFrame, by: list[str], latency: str, cost: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), nearest_rank(latency, 50).alias("p50"), nearest_rank(latency, 95).alias("p95"), F.round(F.sum(cost), 6).alias("cost"))
+    """Groups with their number, latency percentiles and summed cost."""
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum(cost), 6).alias("cost"))
+    found = percentiles(rows, by, latency, (50, 95))
+    return sums.join(found, [sums[c].eqNullSafe(found[c]) for c in by], "left").select(*[sums[c] for c in by], "n", "p50", "p95", "cost")
 
 
 def crossings(rows: DataFrame, latency: str, at: str, limits: list[int]) -> DataFrame:
     """For each limit: rows within it, their share, and the first step whose median exceeds it (0: none)."""
     steps = F.explode(F.array(*[F.lit(x) for x in limits])).alias("limit_ms")
     whole = rows.agg(F.count(latency).alias("n"), *[F.count_if(F.col(latency) <= x).alias(f"ok_{x}") for x in limits])
-    medians = rows.groupBy(at).agg(nearest_rank(latency, 50).alias("p50"))
+    medians = percentiles(rows, [at], latency, (50,))
     first = medians.agg(*[F.min(F.when(F.col("p50") > x, F.col(at))).alias(f"at_{x}") for x in limits])
     pick = lambda prefix: F.element_at(F.create_map(*[v for x in limits for v in (F.lit(x), F.col(f"{prefix}_{x}"))]), F.col("limit_ms"))
     # both sides are one row

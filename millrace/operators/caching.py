@@ -13,6 +13,8 @@ from ..functions.vectors import cosine
 
 TTL_SECONDS = 86_400
 THRESHOLD = 0.85
+#: Cached vectors of a bucket that meet a query at once.
+BLOCK = 4096
 
 
 def exact_hits(requests: DataFrame, key: str, at: str) -> DataFrame:
@@ -55,10 +57,17 @@ def _pass(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], names=[*batch.schema.names[:2], "hit"])
 
 
-def nearest_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Each query's most similar cached vector of its bucket (ties: smallest id) and whether it is a hit."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col(bucket).alias("b"), F.col("embedding").alias("q"))
-    c = cached.select("vec_id", F.col(bucket).alias("b"), F.col("embedding").alias("c"))
-    pairs = q.join(c, "b").where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("c")), 6).alias("similarity"))
+def nearest_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, threshold: float = THRESHOLD, block: int = BLOCK, log_only: bool = False) -> DataFrame:
+    """Each query's most similar cached vector of its bucket (ties: smallest id) and whether it is a hit
+    (never if ``log_only``).
+
+    A large bucket's cached vectors are dealt over blocks of about ``block`` rows; a query meets
+    every block of its bucket, and the best of each block are combined.
+    """
+    sizes = cached.groupBy(F.col(bucket).alias("b")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col(bucket).alias("b"), F.col("embedding").alias("q")).join(sizes, "b").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    c = cached.select("vec_id", F.col(bucket).alias("b"), F.col("embedding").alias("c")).join(sizes, "b").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    pairs = q.join(c, ["b", "block"]).where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("c")), 6).alias("similarity"))
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("vec_id", "similarity"), F.struct("similarity", (-F.col("vec_id")).alias("o"))).alias("m"))
-    return best.select("query_id", "m.vec_id", "m.similarity", (F.col("m.similarity") >= threshold).alias("hit"))
+    hit = F.lit(False) if log_only else F.col("m.similarity") >= threshold
+    return best.select("query_id", "m.vec_id", "m.similarity", hit.alias("hit"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Tagged lines of transcripts, page marks.
 TAGGED = r"^\[?(\d{1,2}:\d{2}(?::\d{2})?)\]?\s+([^:]{1,80}):\s+(.*)$"
 PAGE = r"(?m)^--- Page (\d+) ---$"
 
@@ -31,8 +32,8 @@ def transcript_units(df: DataFrame, text: str = "text") -> DataFrame:
 def pages(df: DataFrame, text: str = "text") -> DataFrame:
     """A unit for each page between page marks; a text without marks is one unit ``whole``."""
     pieces, numbers = F.split(F.col(text), PAGE), F.regexp_extract_all(F.col(text), F.lit(PAGE), F.lit(1))
-    marked = df.where(F.size(numbers) > 0).select(*df.columns, F.explode(F.arrays_zip(F.slice(pieces, 2, 1 << 20).alias("body"), numbers.alias("number"))).alias("p"))
-    marked = marked.select(*df.columns, F.format_string("page-%04d", F.col("p.number").cast("int")).alias("unit_key"), F.trim(F.regexp_replace("p.body", r"^\n|\n$", "")).alias("content"))
+    marked = df.where(F.size(numbers) > 0).select(*df.columns, F.explode(F.arrays_zip(F.slice(pieces, F.lit(2), F.size(numbers)).alias("body"), numbers.alias("number"))).alias("p"))
+    marked = marked.select(*df.columns, F.format_string("page-%04d", F.col("p.number").cast("int")).alias("unit_key"), F.trim(F.regexp_replace("p.body", r"^\n|\n\z", "")).alias("content"))
     rest = df.where(F.size(numbers) == 0).select(*df.columns, F.lit("whole").alias("unit_key"), F.col(text).alias("content"))
     return marked.unionByName(rest)
 

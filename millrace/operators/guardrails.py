@@ -58,20 +58,34 @@ def _any(text: Column, patterns: list[str]) -> Column:
     return out
 
 
+# A part that every match of the injection pattern at this place has in lower case (of letters that
+# only have one lower-case form), so that most texts are told by a search for bytes.
+_PARTS = ["gnor", "gnora", "<", "new", "nueva", "forget", "olv", "you", "ahora", "regard", ("ma", "haz")]
+
+
 def injection_match(text: Column) -> Column:
     """The first injection pattern's first match, at most 80 characters; null if none matches."""
-    return F.left(F.coalesce(*[F.regexp_substr(text, F.lit(p)) for p in INJECTION]), F.lit(80))
+    low = F.lower(text)
+
+    def found(pattern: str, parts: str | tuple[str, ...]) -> Column:
+        some = F.lit(False)
+        for p in (parts,) if isinstance(parts, str) else parts:
+            some = some | F.contains(low, F.lit(p))
+        return F.when(some, F.regexp_substr(text, F.lit(pattern)))
+
+    return F.left(F.coalesce(*[found(p, q) for p, q in zip(INJECTION, _PARTS, strict=True)]), F.lit(80))
 
 
 def personal_kind(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), k) for k, p in PERSONAL])
+    """The first kind of personal data that a text holds; e-mail addresses are only looked for where there is an @."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit("@")) & text.rlike(p) if k == "email" else text.rlike(p), k) for k, p in PERSONAL])
 
 
 def guard(text: Column, flagged: Column | None = None) -> Column:
     """Why a request is turned away: moderation, then injection, then personal data; null if it passes.
     Without a moderation verdict that layer lets it pass."""
     moderated = F.when(F.coalesce(flagged, F.lit(False)), "moderation") if flagged is not None else F.lit(None).cast("string")
-    return F.coalesce(moderated, F.when(injection_match(text).isNotNull(), "injection"), F.when(personal_kind(text).isNotNull(), F.concat(F.lit("pii:"), personal_kind(text))))
+    return F.coalesce(moderated, F.when(injection_match(text).isNotNull(), "injection"), F.concat(F.lit("pii:"), personal_kind(text)))
 
 
 def technical_words(text: Column) -> Column:
