@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
+from ..functions.spans import bound, luhn, matches, mod97
 
 # Detectors as (type, pattern, score), and words that are never personal.
 DETECTORS = [
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.95),
-    ("BUDGET_ID", r"(?<![\p{L}\p{N}_])BUDGET-\d{4}-\d{4}(?![\p{L}\p{N}_])", 0.95),
-    ("CLIENT_CODE", r"(?<![\p{L}\p{N}_])(?:CLI|CLT-INT)-[A-Z0-9]{3,8}(?![\p{L}\p{N}_])", 0.9),
-    ("PHONE_NUMBER", r"(?:\+34[\s.-]?)?(?:[6789]\d{2})[\s.-]?\d{2,3}[\s.-]?\d{2,3}[\s.-]?\d{0,2}(?![\p{L}\p{N}_])", 0.8),
+    ("BUDGET_ID", r"\bBUDGET-\d{4}-\d{4}\b", 0.95),
+    ("CLIENT_CODE", r"\b(?:CLI|CLT-INT)-[A-Z0-9]{3,8}\b", 0.9),
+    ("PHONE_NUMBER", r"(?:\+34[\s.-]?)?(?:[6789]\d{2})[\s.-]?\d{2,3}[\s.-]?\d{2,3}[\s.-]?\d{0,2}\b", 0.8),
+    ("IBAN_CODE", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 0.95),
+    ("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.9),
 ]
+BLACKLIST = ["mar", "sol", "cruz", "alba", "rosa", "olivia", "angel", "ángel", "alcance", "entregables", "cronograma", "equipo", "presupuesto", "resumen", "proyecto", "cliente", "fase", "fases", "contrato", "cierre", "cuenta", "cuentas", "cargo", "cargos", "cuota"]
 THRESHOLD = 0.7
+#: What a match of a type must also satisfy: check digits.
+CHECKS: dict[str, Callable[[Column], Column]] = {"IBAN_CODE": mod97, "CREDIT_CARD": luhn}
 
 
 def spans(text: Column, kind: str, pattern: str, score: float) -> Column:
     """Matches of one detector with their positions."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kinds = "array<struct<start:int,stop:int,kind:string,score:double,value:string>>"
-    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    found = matches(text, pattern)
+    if kind in CHECKS:
+        found = F.filter(found, lambda s: CHECKS[kind](s["value"]))
+    return F.transform(found, lambda s: F.struct(s["start"], s["stop"], F.lit(kind).alias("kind"), F.lit(score).alias("score"), s["value"]))
+
+
+def gazetteer(kind: str, names: list[str], score: float = 0.85) -> tuple[str, str, float]:
+    """A detector of listed names (persons, places, companies), for which there is no model here."""
+    return kind, r"(?i)\b(?:" + "|".join(sorted((re.escape(n) for n in names), key=len, reverse=True)) + r")\b", score
 
-    def step(state: Column, s: Column) -> Column:
-        first = state["at"] + s["gap"]
-        span = F.struct(first.alias("start"), (first + F.length(s["m"])).alias("stop"), F.lit(kind).alias("kind"), F.lit(score).alias("score"), s["m"].alias("value"))
-        return F.struct((first + F.length(s["m"])).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda s: s["out"])).otherwise(F.array().cast(kinds))
+def is_blacklisted(value: Column) -> Column:
+    return F.lower(F.trim(value)).isin(BLACKLIST)
 
 
-def detect(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Spans of all detectors with at least the threshold; where they overlap, the earliest start
-    stands, of equal starts the longest, then the surest."""
-    every = F.concat(*[spans(text, k, p, s) for k, p, s in DETECTORS if s >= threshold])
+def detect(text: Column, threshold: float = THRESHOLD, detectors: Sequence[tuple[str, str, float]] = tuple(DETECTORS)) -> Column:
+    """Spans of all detectors with at least the threshold, without blacklisted words; where they
+    overlap, the earliest start stands, of equal starts the longest, then the surest."""
+    every = F.concat(*[spans(text, k, p, s) for k, p, s in detectors if s >= threshold])
+    every = F.filter(every, lambda s: ~is_blacklisted(s["value"]))
     order = F.array_sort(F.transform(every, lambda s: F.struct(s["start"], (-s["stop"]).alias("last"), (-s["score"]).alias("doubt"), s["kind"], s["value"])))
     first = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>").alias("out"))
 
@@ -44,19 +56,31 @@ def detect(text: Column, threshold: float = THRESHOLD) -> Column:
         kept = F.struct(stop.alias("until"), F.concat(state["out"], F.array(F.struct(s["start"].alias("start"), stop.alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("out"))
         return F.when(s["start"] >= state["until"], kept).otherwise(state)
 
-    return F.aggregate(order, first, step, lambda s: s["out"])
+    return F.when(F.size(order) > 0, F.aggregate(order, first, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>"))
+
+
+def entities_by_type(found: DataFrame, by: str, spans_col: str = "found") -> DataFrame:
+    """(by, kind, n): how many spans of each type there are."""
+    return found.select(by, F.explode(spans_col).alias("s")).groupBy(by, F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 def pseudonym(kind: Column, digest: Column) -> Column:
     """A stand-in of the same shape, taken from the digest, so it needs no shared state."""
     number = lambda n: F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n))
     budget = F.concat(F.lit("BUDGET-"), (number(8) + 2019).cast("string"), F.lit("-"), (number(9000) + 1000).cast("string"))
-    return F.when(kind == "EMAIL_ADDRESS", F.concat(F.lit("user"), F.substring(digest, 1, 8), F.lit("@example.org"))).when(kind == "BUDGET_ID", budget).when(kind == "CLIENT_CODE", F.concat(F.lit("CLI-"), (number(9000) + 1000).cast("string"))).when(kind == "PHONE_NUMBER", F.concat(F.lit("+34 600 "), F.lpad(number(1000000).cast("string"), 6, "0"))).otherwise(F.concat(F.lit("REDACTED-"), F.substring(digest, 1, 8)))
+    return F.when(kind == "EMAIL_ADDRESS", F.concat(F.lit("user"), F.substring(digest, 1, 8), F.lit("@example.org"))).when(kind == "BUDGET_ID", budget).when(kind == "CLIENT_CODE", F.concat(F.lit("CLI-"), (number(9000) + 1000).cast("string"))).when(kind == "IBAN_CODE", F.concat(F.lit("XX00"), F.upper(F.substring(digest, 1, 16)))).when(kind == "CREDIT_CARD", F.concat(F.lit("0000 0000 0000 "), F.lpad(number(10000).cast("string"), 4, "0"))).when(kind == "PHONE_NUMBER", F.concat(F.lit("+34 600 "), F.lpad(number(1000000).cast("string"), 6, "0"))).otherwise(F.concat(F.lit("REDACTED-"), F.substring(digest, 1, 8)))
 
 
 def replace_spans(text: Column, found: Column, key: str) -> Column:
-    """The text with each span replaced by its pseudonym, from right to left."""
-    return F.aggregate(F.reverse(found), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), pseudonym(s["kind"], hmac_sha256(key, s["value"])), F.substring(t, s["stop"] + 1, F.length(t))))
+    """The text with each span (in order, without overlaps) replaced by its pseudonym: the pieces
+    between spans and the pseudonyms are joined once."""
+
+    def joined(spans_: Column) -> Column:
+        before = F.transform(spans_, lambda s, i: F.when(i == 0, 0).otherwise(F.get(spans_, i - 1)["stop"]))
+        parts = F.zip_with(spans_, before, lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), pseudonym(s["kind"], hmac_sha256(key, s["value"]))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(spans_, -1)["stop"] + 1, F.length(text)))
+
+    return F.when(F.size(found) > 0, bound(found, joined)).otherwise(text)
 
 
 def mapping(values: DataFrame, key: str) -> DataFrame:

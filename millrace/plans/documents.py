@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import document_id, drop_reason, is_placeholder, nfkc, tidy, word_count
-from ..operators import catalog, documents, guardrails, privacy
+from ..operators import attachments, catalog, documents, guardrails, privacy
 from .base import query, table
 
 # Every ninth document is cut to a unit that some rule drops.
@@ -100,16 +100,17 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(first, "text_md5").where("doc_id > first").select("text_md5", "doc_id")
 
 
-_MARKED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '--- Page 1 ---' || chr(10) || 'first ' || lang || chr(10) || '--- Page 2 ---' || chr(10) || 'n ' || n_chars END AS text FROM documents)"
+_MARKED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '--- Page 1 ---' || chr(10) || left(text, length(text) // 2) || chr(10) || '--- Page 2 ---' || chr(10) || substr(text, length(text) // 2 + 1) END AS text FROM documents)"
 
 
 @query(rf"""
 SELECT doc_id, 'page-' || lpad(n, 4, '0') AS unit_key, md5(trim(regexp_replace(body, '^\n|\n$', '', 'g'))) AS content_md5 FROM (
-  SELECT doc_id, unnest(list_slice(string_split_regex(text, '--- Page \d+ ---'), 2, 1000)) AS body, unnest(regexp_extract_all(text, '--- Page (\d+) ---', 1)) AS n FROM {_MARKED} WHERE doc_id % 3 <> 0)
+  SELECT doc_id, unnest(list_slice(string_split_regex(text, '--- Page \d+ ---'), 2, 1000000)) AS body, unnest(regexp_extract_all(text, '--- Page (\d+) ---', 1)) AS n FROM {_MARKED} WHERE doc_id % 3 <> 0)
 UNION ALL SELECT doc_id, 'whole', md5(text) FROM {_MARKED} WHERE doc_id % 3 = 0
 """)
 def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.lit("--- Page 1 ---\nfirst "), "lang", F.lit("\n--- Page 2 ---\nn "), F.col("n_chars").cast("string"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    marked = F.concat(F.lit("--- Page 1 ---\n"), F.left("text", half), F.lit("\n--- Page 2 ---\n"), F.substring("text", half + 1, F.length("text")))
     df = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(marked).alias("text"))
     return documents.pages(df).select("doc_id", "unit_key", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
@@ -180,14 +181,34 @@ def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, low AS rewritten, CASE WHEN low THEN 'Out of scope: ' || left(s, 400) ELSE s END AS summary, CASE WHEN low THEN 1 ELSE 7 END AS weeks, CASE WHEN low THEN 0 ELSE 900 END AS cost
-FROM (SELECT doc_id, left(text, 600) AS s, (doc_id * 7 % 100) < 30 AND NOT starts_with(text, 'Out of scope:') AS low FROM documents)
+FROM (SELECT doc_id, text AS s, (doc_id * 7 % 100) < 30 AND NOT starts_with(text, 'Out of scope:') AS low FROM documents)
 """)
 def output_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 100).alias("confidence"), F.left("text", F.lit(600)).alias("summary"), F.lit(7).alias("weeks"), F.lit(900).alias("cost"))
+    df = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 100).alias("confidence"), F.col("text").alias("summary"), F.lit(7).alias("weeks"), F.lit(900).alias("cost"))
     return guardrails.scope_output(df).select("doc_id", "rewritten", "summary", "weeks", "cost")
 
 
-@query(r"SELECT doc_id, n AS words, n > 800 AS rejected, round(n / 800.0::DOUBLE, 6) AS ratio FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+'))::INT AS n FROM documents)")
+_ATTACHED = "(SELECT doc_id, CASE doc_id % 13 WHEN 0 THEN '  ' WHEN 1 THEN 'too little' WHEN 2 THEN repeat(chr(1), length(text)::INT) || left(text, 20) ELSE text END AS t, CASE doc_id % 3 WHEN 0 THEN 'pdf' ELSE 'docx' END AS kind FROM documents)"
+_BARE = r"regexp_replace(t, '^[\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')"
+
+
+@query(rf"""
+SELECT doc_id, words, CASE WHEN fault IS NOT NULL THEN CASE kind WHEN 'pdf' THEN 'fallback' ELSE 'failed' END WHEN words > 8000 THEN 'too_long' ELSE 'extracted' END AS method,
+  coalesce(fault, CASE WHEN words > 8000 THEN 'about ' || format('{{:,}}', words) || ' words, at most 8,000' END) AS note, round(words / 8000.0::DOUBLE, 6) AS ratio
+FROM (SELECT doc_id, kind, len(regexp_extract_all(b, '[^\t\n\v\f\r ]+'))::INT AS words,
+  CASE WHEN b = '' THEN 'no text' WHEN length(b) < 30 THEN 'few characters' WHEN length(regexp_replace(translate(b, chr(10) || chr(9) || ' ', 'xxx'), '[\p{{C}}\p{{Z}}]', '', 'g')) < 0.85::DOUBLE * length(b) THEN 'not printable' END AS fault
+  FROM (SELECT doc_id, kind, {_BARE} AS b FROM {_ATTACHED}))
+""")
 def attachment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_count(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), (words > 800).alias("rejected"), F.round(words / 800.0, 6).alias("ratio"))
+    k = F.col("doc_id") % 13
+    text = F.when(k == 0, "  ").when(k == 1, "too little").when(k == 2, F.concat(F.expr("repeat(chr(1), length(text))"), F.left("text", F.lit(20)))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 3 == 0, "pdf").otherwise("docx").alias("kind"))
+    return attachments.route(rows).select("doc_id", "words", "method", "note", "ratio")
+
+
+@query("""
+SELECT conv_id, string_agg('<attachment filename=''' || turn || '-' || role || '''>' || chr(10) || text || chr(10) || '</attachment>', chr(10) || chr(10) ORDER BY turn, role, text) AS block FROM conversations GROUP BY conv_id
+""")
+def attachment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("place", F.struct("turn", "role", "text"))
+    return attachments.block(rows.withColumn("filename", F.concat_ws("-", F.col("turn").cast("string"), "role")), "conv_id", "place")
