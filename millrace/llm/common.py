@@ -25,7 +25,8 @@ BLOCK_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, one machine) is a temporary one made and set.
+    Only where the session has none and is local (tests, one machine) is a temporary one made and
+    set; on a cluster that would be a folder of the driver alone, so it is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     os.makedirs("/tmp/checkpoints", exist_ok=True)
     own = tempfile.mkdtemp(prefix="millrace-", dir="/tmp/checkpoints")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -46,11 +49,31 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+_folders: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, for intermediate data."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate data that operators have written so far, and says how many folders went.
+    For services that run long: to be called once results are written, as they are read from it."""
+    gone = 0
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps neither recompute it nor
     depend on the executors that made it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

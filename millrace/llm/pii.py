@@ -5,10 +5,13 @@ numbers, short cards, IBANs, social security numbers, names after titles, spelle
 and base matches that failed their check) come from wider patterns. On every candidate the
 labelers vote +1, -1 or 0: a checksum, a gazetteer of context words, words that speak against,
 the shape, and the surroundings. Expectation-maximisation estimates each labeler's reliability
-without labels, and a logistic span classifier is trained on the resulting probabilities.
+without labels. From the resulting probabilities each context word gets its evidence (how much
+likelier it is before personal data of a kind than before other candidates); the summed evidence
+votes as one more labeler, expectation-maximisation is run again, and a logistic span classifier is
+trained on votes, kind, length and evidence.
 
 Rows stay in Spark. The driver fits on tables whose size is bounded by the number of labelers,
-kinds and length classes: the counts of vote patterns.
+kinds, length and evidence classes: the counts of vote patterns.
 """
 
 from __future__ import annotations
@@ -53,11 +56,15 @@ GAZETTEER = {
     "name": "name|dear|contact|signed|sincerely|liebe|sehr|cher|estimado",
 }
 AGAINST = "version|isbn|order|invoice|ref|example|test|sample|serial|beispiel|exemple|ejemplo"
-LABELERS = ("pattern", "check", "gazetteer", "against", "shape", "edge")
+LABELERS = ("pattern", "check", "gazetteer", "against", "shape", "edge", "context")
 #: Log-odds with which each labeler's vote counts before anything is estimated: checksums say most,
 #: shape and surroundings least.
-FIRST_ODDS = (2.0, 2.5, 1.5, 1.5, 0.3, 0.3)
+FIRST_ODDS = (2.0, 2.5, 1.5, 1.5, 0.3, 0.3, 1.0)
 CONTEXT = 40
+#: Context words of the model, the most frequent ones, and the candidates that one must be seen with.
+WORDS, LEAST_SEEN = 5000, 5
+#: Evidence classes: the summed evidence is cut to this range and rounded.
+EVIDENCE = 4
 ROUNDS = 60
 
 
@@ -112,7 +119,8 @@ def is_right(s: Column) -> Column:
 
 
 def votes(s: Column, left: Column, right: Column) -> list[Column]:
-    """The labelers' votes on a span with its surroundings, in the order of ``LABELERS``."""
+    """The labelers' votes on a span with its surroundings, in the order of ``LABELERS``; the context's
+    is only known once its words have been weighed."""
     kind, found = s["kind"], s["match"]
     base = kind.isin(*BASE)
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
@@ -129,6 +137,7 @@ def votes(s: Column, left: Column, right: Column) -> list[Column]:
         vote(F.lit(False), left.rlike(rf"(?i)(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})")),
         vote((F.length(digits) >= 9) & ~flat, flat),
         vote(right.rlike(r"^(?:$|[\s.,;:!?)#*%&$])"), left.rlike(r"[\p{L}0-9_/]$") | right.rlike(r"^[\p{L}0-9_/]")),
+        F.lit(0),
     ]
 
 
@@ -168,20 +177,20 @@ def expectation_maximisation(patterns: Sequence[tuple[tuple[str, tuple[int, ...]
     return post
 
 
-def features(kind: str, v: Sequence[int], size: int) -> dict[str, float]:
-    out = {f"kind={kind}": 1.0, f"size={size}": 1.0}
+def features(kind: str, v: Sequence[int], size: int, evidence: int = 0) -> dict[str, float]:
+    out = {f"kind={kind}": 1.0, f"size={size}": 1.0, f"evidence={evidence}": 1.0}
     for name, x in zip(LABELERS, v, strict=True):
         if x:
             out[f"{name}={x}"] = 1.0
     return out
 
 
-def train_classifier(rows: Sequence[tuple[str, tuple[int, ...], int, int]], post: dict, rounds: int = 300) -> dict[str, float]:
-    """Logistic weights by feature name, from (kind, votes, length class, number) and posteriors."""
-    names = sorted({f for k, v, s, _ in rows for f in features(k, v, s)})
+def train_classifier(rows: Sequence[tuple[str, tuple[int, ...], int, int, int]], post: dict, rounds: int = 300) -> dict[str, float]:
+    """Logistic weights by feature name, from (kind, votes, length class, evidence class, number) and posteriors."""
+    names = sorted({f for k, v, s, e, _ in rows for f in features(k, v, s, e)})
     weights = dict.fromkeys(names, 0.0)
-    total = sum(r[3] for r in rows) or 1
-    data = [(features(k, v, s), post[k, v], n / total) for k, v, s, n in rows]
+    total = sum(r[4] for r in rows) or 1
+    data = [(features(k, v, s, e), post[k, v], n / total) for k, v, s, e, n in rows]
     for _ in range(rounds):
         slope = dict.fromkeys(names, 0.0)
         curve = dict.fromkeys(names, 0.0)
@@ -195,6 +204,38 @@ def train_classifier(rows: Sequence[tuple[str, tuple[int, ...], int, int]], post
     return weights
 
 
+def context_words(left: Column) -> Column:
+    """The distinct words of what stands before a span, in lower case; a word that the cut begins in doesn't count."""
+    whole = F.when(F.length(left) < CONTEXT, left).otherwise(F.regexp_replace(left, r"^\p{L}+", ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(r"\p{L}{2,}"), F.lit(0)))
+
+
+def with_evidence(judged: DataFrame, post: dict[tuple[str, tuple[int, ...]], float]) -> DataFrame:
+    """Candidates (row, s, votes, ...) with ``evidence``, the class of their context's summed evidence.
+
+    A word's evidence for a kind is the log of its share among the kind's likely candidates over that
+    among the unlikely ones, each candidate counted by its posterior. Words are counted over all
+    candidates with a map-side combine; those of one kind are a bounded table.
+    """
+    spark = judged.sparkSession
+    if not post:
+        return judged.withColumn("evidence", F.lit(0))
+    known = spark.createDataFrame([(k, list(v), float(p)) for (k, v), p in sorted(post.items())], "kind string, votes array<int>, p double")
+    each = judged.select("row", "s.kind", "s.start", "votes", F.explode(context_words(F.col("s.left"))).alias("word"))
+    # one row a vote pattern
+    weighed = each.join(F.broadcast(known), ["kind", "votes"])
+    seen = weighed.groupBy("kind", "word").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"), F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    all_ = judged.select("s.kind", "votes").join(F.broadcast(known), ["kind", "votes"]).groupBy("kind").agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))
+    share = lambda x, of: (F.col(x) + 0.5) / (F.col(of) + 1.0)
+    words = cut(seen.join(F.broadcast(all_), "kind").withColumn("weight", F.log(share("yes", "all_yes") / share("no", "all_no"))).orderBy(F.desc("n"), "kind", "word").limit(WORDS).select("kind", "word", "weight"), "pii-words")
+    # at most WORDS rows; an evidence that few candidates speak for is small by the added halves
+    summed = each.join(F.broadcast(words), ["kind", "word"]).groupBy("row", "kind", "start").agg(F.round(F.sum("weight"), 6).alias("sum"))
+    summed = summed.withColumnsRenamed({"row": "row_w", "kind": "kind_w", "start": "start_w"})
+    joined_ = judged.join(summed, (F.col("row") == F.col("row_w")) & (F.col("s.kind") == F.col("kind_w")) & (F.col("s.start") == F.col("start_w")), "left")
+    evidence = F.least(F.greatest(F.round(F.coalesce("sum", F.lit(0.0))), F.lit(-float(EVIDENCE))), F.lit(float(EVIDENCE))).cast("int")
+    return joined_.withColumn("evidence", evidence).drop("row_w", "kind_w", "start_w", "sum")
+
+
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, base, added), a row for each row of ``docs``: arrays of (kind, start, end, match),
     positions in code points, end exclusive, sorted by kind and start. ``added`` has the candidates, apart from those that
@@ -211,15 +252,16 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s"))
     judged = each.select("row", "s", F.array(*votes(F.col("s"), F.col("s.left"), F.col("s.right"))).alias("votes"), length_class(F.col("s")).alias("size"))
     judged = cut(judged.withColumn("strong", F.col("s.kind").isin(*BASE) & (F.col("votes")[0] == 1)), "pii-votes")
-    counts = judged.groupBy("s.kind", "votes", "size").agg(F.count("*").alias("n")).collect()
-    rows = sorted((r[0], tuple(r[1]), r[2], r[3]) for r in counts)
-    patterns: dict = {}
-    for kind, v, _, n in rows:
-        patterns[kind, v] = patterns.get((kind, v), 0) + n
-    weights = train_classifier(rows, expectation_maximisation(sorted(patterns.items())))
+    patterns = lambda rows: sorted(((r[0], tuple(r[1])), r[2]) for r in rows.groupBy("s.kind", "votes").agg(F.count("*")).collect())
+    judged = with_evidence(judged, expectation_maximisation(patterns(judged)))
+    context = F.signum("evidence").cast("int")
+    judged = cut(judged.withColumn("votes", F.concat(F.slice("votes", 1, len(LABELERS) - 1), F.array(context))), "pii-judged")
+    post = expectation_maximisation(patterns(judged))
+    counts = judged.groupBy("s.kind", "votes", "size", "evidence").agg(F.count("*").alias("n")).collect()
+    weights = train_classifier(sorted((r[0], tuple(r[1]), r[2], r[3], r[4]) for r in counts), post)
     weight = F.create_map(*[F.lit(x) for pair in [("", 0.0), *sorted(weights.items())] for x in pair])
     of = lambda name: F.coalesce(F.try_element_at(weight, name), F.lit(0.0))
-    logit = of(F.concat(F.lit("kind="), F.col("s.kind"))) + of(F.concat(F.lit("size="), F.col("size").cast("string")))
+    logit = of(F.concat(F.lit("kind="), F.col("s.kind"))) + of(F.concat(F.lit("size="), F.col("size").cast("string"))) + of(F.concat(F.lit("evidence="), F.col("evidence").cast("string")))
     for j, name in enumerate(LABELERS):
         logit = logit + of(F.concat(F.lit(f"{name}="), F.col("votes")[j].cast("string")))
     score = 1 / (1 + F.exp(-logit))

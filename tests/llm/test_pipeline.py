@@ -1,7 +1,9 @@
+import os
 from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import langid, tokens
+import pytest
+from millrace.llm import common, langid, tokens
 from millrace.llm.decontaminate import benchmark_overlaps
 from millrace.llm.mixing import plan_mix
 
@@ -53,3 +55,22 @@ def test_token_files_are_in_training_order(spark, texts, tmp_path):
     assert len(want) == len(positions) and want != sorted(want)
     for table in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
         assert [r["doc_id"] for r in corpus_pipeline.token_output(spark, table, "").orderBy("start").collect()] == want
+
+
+def test_intermediate_data_can_be_cleared(spark):
+    made = common.cut(spark.range(5).toDF("x"), "clear-test")
+    assert made.count() == 5 and common.clear(spark) >= 1
+    assert not os.path.exists(made.inputFiles()[0].removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)

@@ -69,10 +69,10 @@ def test_added_pii_is_learned_from_votes(spark):
 
 
 def test_em_finds_reliable_labelers():
-    patterns = [(("iban", (0, 1, 1, 0, 0, 1)), 50), (("iban", (0, -1, 0, -1, 0, 0)), 50), (("iban", (0, -1, 1, 0, 0, 0)), 3)]
+    patterns = [(("iban", (0, 1, 1, 0, 0, 1, 0)), 50), (("iban", (0, -1, 0, -1, 0, 0, 0)), 50), (("iban", (0, -1, 1, 0, 0, 0, 0)), 3)]
     post = pii.expectation_maximisation(patterns)
     assert post[patterns[0][0]] > 0.9 and post[patterns[1][0]] < 0.1
-    weights = pii.train_classifier([("iban", p[0][1], 4, p[1]) for p in patterns], post)
+    weights = pii.train_classifier([("iban", p[0][1], 4, 0, p[1]) for p in patterns], post)
     assert weights["check=1"] > weights["check=-1"]
 
 
@@ -119,3 +119,14 @@ def test_long_names_and_handles_are_whole(spark):
     assert {s["kind"] for s in row["added"]} <= {"handle", "name"}
     found = df.select(pii.find_all(pii.F.col("text"), pii._ADDED_PATTERNS["handle"], "handle")).first()[0]
     assert len(found) == 1 and len(found[0]["match"]) > 200
+
+
+def test_context_words_decide_where_votes_are_silent(spark):
+    number = lambda k: f"{100 + k % 500}-{10 + k % 80}-{1000 + k}"
+    rows = [f"payroll clerk notes ssn {number(k)} done" for k in range(80)] + [f"warehouse shelf order {number(k)}x done" for k in range(80)] + [f"warehouse shelf sample {number(k)} done" for k in range(80)]
+    first = len(rows)
+    rows += [f"payroll clerk notes {number(k)} done" for k in range(30)] + [f"warehouse shelf {number(k)} done" for k in range(30)]
+    got = {r["id"]: [s["kind"] for s in r["added"]] for r in pii.scan_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    planted, other = [got[k] == ["ssn"] for k in range(first, first + 30)], [got[k] == [] for k in range(first + 30, first + 60)]
+    assert sum(planted) >= 27 and sum(other) >= 27
+    assert all(got[k] == ["ssn"] for k in range(80)) and not any(got[k] for k in range(80, 160))
