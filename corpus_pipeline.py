@@ -6,22 +6,22 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, mixing, simhash, tokens
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import fresh, new_folder, table
 
 #: A document is rejected if it has no letter, or is as far as this from every language's profile.
 MIN_LANGUAGE_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are near to a language; those without letters or near to none go."""
-    judged = langid.identify(docs, langid.train_profiles(docs), lang_name="__lang", score_name="__score")
-    return judged.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Keeps documents that are near to a language; those without letters or near to none go. A score
+    of just ``MIN_LANGUAGE_SCORE`` stays; of equally near languages the first by name is meant."""
+    lang, score = fresh(docs, "judged_lang", "judged_score")
+    judged = langid.identify(docs, langid.train_profiles(docs), lang_name=lang, score_name=score)
+    return judged.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over what its predecessor kept."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/millrace-pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
