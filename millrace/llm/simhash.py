@@ -30,6 +30,10 @@ from .components import connected_components
 CELL = 4096
 #: Rows that the comparison handles at once.
 ROWS = 1 << 17
+#: Hot keys that are broadcast.
+FEW = 1 << 16
+#: Unlike fingerprints that meet in a cell, and the share of pairs at the similarity that meet at all.
+MET, RECALL = 128, 0.98
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,17 +116,35 @@ def band_keys(fp: Column, radius: int = 4, agree: int = 2) -> Column:
     return F.array(*keys)
 
 
-def lsh_keys(words: list[Column], bits: int) -> Column:
-    """Keys of consecutive runs of ``bits`` bits: near fingerprints agree on some of them with high
-    probability."""
-    keys, total = [], 64 * len(words)
-    for t, at in enumerate(range(0, total - bits + 1, bits)):
-        k, low = divmod(at, 64)
-        value = F.shiftrightunsigned(words[k], low)
-        if low + bits > 64:
-            value = value.bitwiseOR(F.shiftleft(words[k + 1], 64 - low))
-        keys.append(value.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(t << 32)))
-    return F.array(*keys)
+def key_plan(n: int, similarity: float, words: int, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a key, number of keys) for ``n`` fingerprints: as many bits as leave about ``MET``
+    unlike fingerprints to a cell whatever ``n`` is, and as many keys as make a pair at the
+    similarity share one with probability ``recall``."""
+    bits = min(64 * words // 2, max(8, (max(2, n) - 1).bit_length() - (MET - 1).bit_length()))
+    agree = (1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+
+
+def filed_by_keys(distinct: DataFrame, names: list[str], bits: int, keys: int) -> DataFrame:
+    """(key, node, fingerprint words): each fingerprint under its keys, which are fixed selections of its bits."""
+    rng = np.random.default_rng(42)
+    chosen = np.stack([rng.permutation(64 * len(names))[:bits] for _ in range(keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                fps = np.stack([c.to_numpy() for c in part.columns[1:]], axis=1).view(np.uint8)
+                planes = np.unpackbits(fps, axis=1, bitorder="little")
+                for t, places in enumerate(chosen):
+                    # a key is a hash of its bits and its number, so that keys of any width fit
+                    packed = np.packbits(planes[:, places], axis=1, bitorder="little")
+                    key = np.full(len(packed), t + 1, np.uint64)
+                    for k in range(packed.shape[1]):
+                        key = mix(key * np.uint64(257) + packed[:, k])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *part.columns], names=["key", "node", *names])
+
+    return distinct.select("node", *names).mapInArrow(run, "key long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _over(counter: list[np.ndarray], radius: int) -> np.ndarray:
@@ -233,17 +255,21 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield done(np.concatenate(held))
 
 
-def near_links(distinct: DataFrame, keys: Column, words: list[str], radius: int = 4, cell: int = CELL) -> DataFrame:
+def near_links(filed: DataFrame, words: list[str], radius: int = 4, cell: int = CELL) -> DataFrame:
     """Links (a, b) that connect all nodes which share a key and whose fingerprints are within
-    ``radius`` bits, from a table of distinct (node, fingerprint words)."""
-    filed = distinct.select("node", *words, F.explode(keys).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / cell))
-    met = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    # A part meets itself and each other part: cells for all pairs of parts; one part, one cell.
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    place = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    sorted_ = met.select(place.alias("cell"), "node", *words).repartition("cell").sortWithinPartitions("cell", "node")
+    ``radius`` bits, from (key, node, fingerprint words)."""
+    hot = cut(filed.groupBy("key").agg(F.ceil(F.count("*") / cell).alias("parts")).where("parts > 1"), "hot-keys")
+    n = hot.count()
+    met = filed.select(F.col("key").alias("cell"), "node", *words)
+    if n:
+        # the list of hot keys is only broadcast if it is short
+        split = filed.join(F.broadcast(hot) if n <= FEW else hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        split = split.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        # A part meets itself and each other part: cells for all pairs of parts; one part, one cell.
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        place = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+        met = split.select(place.alias("cell"), "node", *words)
+    sorted_ = met.repartition("cell").sortWithinPartitions("cell", "node")
     return sorted_.mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
 
 
@@ -256,16 +282,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     fps = cut(fingerprints(keyed(docs, id_col, text_col), shingle).withColumnRenamed("f0", "node"), "fingerprints")
     distinct = fps.groupBy("node").agg(F.min("id").alias("least"))
-    links = near_links(distinct.select("node", F.col("node").alias("f0")), band_keys(F.col("f0"), radius), ["f0"], radius)
+    filed = distinct.select(F.explode(band_keys(F.col("node"), radius)).alias("key"), "node", F.col("node").alias("f0"))
+    links = near_links(filed, ["f0"], radius)
     roots = connected_components(links)
     classes = distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     smallest = classes.groupBy("root").agg(F.min("least").alias("component"))
     return fps.join(classes.join(smallest, "root").select("node", "component"), "node").select("id", "th", F.col("node").alias("fp"), "component")
 
 
-#: For near-duplicates at a similarity: four fingerprint words, keys of ten bits (25 of them). A pair
-#: at Jaccard similarity 0.8 differs in 15% of the bits and shares a key with probability 0.995.
-LONG, LONG_KEY = 4, 10
+#: For near-duplicates at a similarity: fingerprint words.
+LONG = 4
 #: Texts whose shingle sets meet in one block when pairs are verified; larger groups are split.
 BLOCK_NODES = 1024
 
@@ -377,7 +403,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("th").alias("th"))
     distinct = fps.groupBy("node").agg(*[F.min(n).alias(n) for n in names], F.min(order).alias("least"))
     radius = radius_for(similarity)
-    candidates = cut(near_links(distinct.select("node", *names), lsh_keys([F.col(n) for n in names], LONG_KEY), names, radius), "near-candidate-links")
+    bits, keys = key_plan(distinct.count(), similarity, LONG)
+    candidates = cut(near_links(filed_by_keys(distinct, names, bits, keys), names, radius), "near-candidate-links")
     near = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     whose = distinct.join(near, "node", "left_semi").select("node", *names, F.col("least.id").alias("least_id"), F.col("least.th").alias("least_th"))
     texts = keyed(docs, id_col, text_col).join(whose, F.col("id").eqNullSafe(F.col("least_id")) & F.col("th").eqNullSafe(F.col("least_th"))).groupBy("node", *names).agg(F.first("text").alias("text"))

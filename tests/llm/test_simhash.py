@@ -68,7 +68,7 @@ def test_large_cells_are_split_without_losing_links(spark):
     base = 0x0123456789ABCDEF
     fps = [base ^ (1 << i) ^ (1 << j) for i in range(16) for j in range(i)]
     df = spark.createDataFrame([(f,) for f in np.array(fps, np.uint64).view(np.int64).tolist()], "node long").withColumn("f0", F.col("node"))
-    links = simhash.near_links(df, simhash.band_keys(F.col("f0")), ["f0"], 4, cell=7)
+    links = simhash.near_links(df.select(F.explode(simhash.band_keys(F.col("f0"))).alias("key"), "node", "f0"), ["f0"], 4, cell=7)
     assert connected_components(links).select("root").distinct().count() == 1
 
 
@@ -133,3 +133,15 @@ def test_large_candidate_groups_are_verified_in_parts(spark, monkeypatch):
     rows = [(k, " ".join([f"x{rng.randrange(10**6)}" if k and i == 10 * k else w for i, w in enumerate(words)])) for k in range(30)]
     docs = spark.createDataFrame([*rows, (100, "something else altogether in here")], "doc_id long, text string")
     assert sorted(r[0] for r in simhash.keep_one_of_each(docs).select("doc_id").collect()) == [0, 100]
+
+
+def test_keys_grow_with_the_table():
+    for n in (100, 50_000, 250_000, 15_000_000, 10**10):
+        bits, keys = simhash.key_plan(n, 0.8, 4)
+        assert n / 2**bits <= 128 and keys < 500
+    rng = np.random.default_rng(1)
+    bits, keys = simhash.key_plan(250_000, 0.8, 4)
+    share = float(np.arccos(2 * 0.8 / 1.8)) / np.pi
+    picks = [np.random.default_rng(k).permutation(256)[:bits] for k in range(keys)]
+    met = [any((~other[p]).all() for p in picks) for other in rng.random((2000, 256)) < share]
+    assert np.mean(met) > 0.95
