@@ -46,8 +46,8 @@ def block(rows: DataFrame, by: str, place: str) -> DataFrame:
 
 
 def data_url(content: Column, media_type: Column) -> Column:
-    """The bytes of a file as a base64 data URL."""
-    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.base64(content))
+    """The bytes of a file as a base64 data URL, without the line ends that base64 may have."""
+    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def last_of_name(rows: DataFrame, name: str, place: str) -> DataFrame:

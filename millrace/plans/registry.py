@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, conversations, documents, evaluation, ingest, records, vectors
+from . import analytics, conversations, documents, evaluation, ingest, records, requests, vectors
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "FLAGSHIP", "analytics", "conversations", "documents", "evaluation", "ingest", "records", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "FLAGSHIP", "analytics", "conversations", "documents", "evaluation", "ingest", "records", "requests", "vectors"]
 
 FLAGSHIP = "validate_route"
