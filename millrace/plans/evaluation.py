@@ -9,7 +9,7 @@ from ..operators import evaluation
 from .base import query, table
 
 _STRUCTURE = """
-SELECT o_orderkey, rows_hours AS sum_hours, round(rows_cost, 2) AS sum_cost, hours_match, cost_match,
+SELECT o_orderkey, rows_hours AS sum_hours, round(rows_cost, 2) AS sum_cost, coalesce(hours_match::VARCHAR, 'unknown') AS hours_match, coalesce(cost_match::VARCHAR, 'unknown') AS cost_match,
   round(((k % 7 <> 0)::INT + (k % 5 <> 0)::INT + 1 + (k % 11 <> 0)::INT + (k % 3 <> 0)::INT + 1 + coalesce(hours_match, false)::INT + coalesce(cost_match, false)::INT + (k % 4 <> 0)::INT) / 9.0::DOUBLE, 3) AS score,
   array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN 'title' END, CASE WHEN k % 5 = 0 THEN 'table' END, CASE WHEN k % 11 = 0 THEN 'total_cost' END, CASE WHEN k % 3 = 0 THEN 'team' END, CASE WHEN NOT hours_match THEN 'hours_match' END, CASE WHEN NOT cost_match THEN 'cost_match' END, CASE WHEN k % 4 = 0 THEN 'finished' END], lambda x: x IS NOT NULL), ',') AS issues
 FROM (SELECT *, CASE WHEN k % 5 <> 0 THEN k % 6 <> 0 END AS hours_match, CASE WHEN k % 5 <> 0 AND k % 11 <> 0 THEN k % 8 <> 0 END AS cost_match,
@@ -32,7 +32,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_STRUCTURE)
 def structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = evaluation.structure(answers(spark, sf_dir))
-    return got.select("o_orderkey", "sum_hours", "sum_cost", "hours_match", "cost_match", "score", F.array_join("issues", ",").alias("issues"))
+    return got.select("o_orderkey", "sum_hours", "sum_cost", *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("hours_match", "cost_match")], "score", F.array_join("issues", ",").alias("issues"))
 
 
 _TURNS = """(SELECT l_linenumber AS turn, l_returnflag AS scenario, l_extendedprice / 5 AS latency_ms, l_extendedprice / 4 AS tokens_in, round(l_extendedprice * 100)::BIGINT / 1000000000.0::DOUBLE AS cost_usd, (l_quantity > 2 * l_linenumber)::INT::DOUBLE AS recall,
