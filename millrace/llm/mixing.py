@@ -139,8 +139,8 @@ def training_order(plan: DataFrame) -> DataFrame:
 def taken_in_order(plan: DataFrame) -> DataFrame:
     """(id, size, source_size, target, taken, first_position, last_position, first_begin, last_begin), a
     row for each row of ``plan``: what the range-sorted mix takes of it, where in training, and how
-    many words of the mix come before. Rows that aren't taken have 0 and nulls; identical rows share
-    out their places in order."""
+    many words of the mix come before. Rows that aren't taken have 0, and -1 for places; identical rows
+    share out their places in order."""
     plan = cut(plan, "mix-plan")
     taken = training_order(plan)
     key = ["id", "th"]
@@ -150,7 +150,7 @@ def taken_in_order(plan: DataFrame) -> DataFrame:
     until = F.sum("passes").over(Window.partitionBy(*key).orderBy("copy").rowsBetween(Window.unboundedPreceding, 0))
     some = some.withColumn("until", until).withColumn("after", F.col("until") - F.col("passes")).withColumnsRenamed({"id": "id_p", "th": "th_p"}).drop("taken", "positions")
     met = some.join(taken.drop("size"), F.col("id_p").eqNullSafe(F.col("id")) & F.col("th_p").eqNullSafe(F.col("th")) & (F.col("place") > F.col("after")) & (F.col("place") <= F.col("until")), "left")
-    got = met.groupBy("id_p", "th_p", "copy", "size", "source_size", "target").agg(F.count("position").alias("times"), *[f(c).alias(f"{n}_{c}") for c in ("position", "begin") for n, f in (("first", F.min), ("last", F.max))])
+    got = met.groupBy("id_p", "th_p", "copy", "size", "source_size", "target").agg(F.count("position").alias("times"), *[F.coalesce(f(c), F.lit(none)).alias(f"{n}_{c}") for c, none in (("position", -1.0), ("begin", -1)) for n, f in (("first", F.min), ("last", F.max))])
     return got.select(F.col("id_p").alias("id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "first_position", "last_position", "first_begin", "last_begin")
 
 

@@ -56,7 +56,7 @@ WITH d AS (
   SELECT doc_id, count(*) AS times, min(position) AS first_position, max(position) AS last_position, min(b) AS first_begin, max(b) AS last_begin
   FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY position, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM p) GROUP BY doc_id
 )
-SELECT q.doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken, first_position, last_position, first_begin, last_begin FROM q LEFT JOIN g ON q.doc_id = g.doc_id
+SELECT q.doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken, coalesce(first_position, -1.0::DOUBLE) AS first_position, coalesce(last_position, -1.0::DOUBLE) AS last_position, coalesce(first_begin, -1)::BIGINT AS first_begin, coalesce(last_begin, -1)::BIGINT AS last_begin FROM q LEFT JOIN g ON q.doc_id = g.doc_id
 """
 
 
