@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, phrases, pii, secret_scan, simhash, tokens, toxicity
+from . import ann, decontaminate, langid, line_dedup, mixing, phrases, pii, resampling, secret_scan, simhash, tokens, toxicity, whitening
 from .common import table
 
 
@@ -120,5 +120,68 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id, op10_pii)}
-ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return got.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), grams=1, buckets=10_000, least_words=20)
+    return got.withColumnRenamed("id", "doc_id")
+
+
+OP12_SQL = r"""
+WITH tab AS (
+  -- the table of CRC-32 (reflected polynomial EDB88320), by shifting each byte out
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS tab
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), dw AS MATERIALIZED (
+  SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY r, w
+), v AS MATERIALIZED (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::INT, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[((xor(c, x) & 255) + 1)::INT]))) % 10000 AS k
+  FROM (SELECT w FROM dw UNION SELECT w FROM b), tab
+), s AS (
+  SELECT k, sum(n) AS n FROM dw JOIN v USING (w) GROUP BY k
+), t AS (
+  SELECT k, count(*) AS n FROM b JOIN v USING (w) GROUP BY k
+), g AS (
+  SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)
+), m AS (
+  SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM dw JOIN v USING (w) JOIN g USING (k) GROUP BY r
+), x AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN m USING (r)
+), y AS (
+  SELECT doc_id, n_features, weight::BIGINT AS weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM x
+), z AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) END AS place FROM y
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 THEN place END::BIGINT AS rank FROM z
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return got.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH l AS MATERIALIZED (
+  SELECT r, doc_id, p, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(range(len(lines))) AS p, unnest(lines) AS line FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), o AS (
+  SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), j AS (
+  SELECT l.*, o.k IS NOT NULL AND (doc_id IS NULL OR doc_id < keeper) AS gone FROM l LEFT JOIN o ON l.k = o.k
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY r, doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mixing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_substring_dedup, op7_nearest_neighbours, op8_token_output, op9_language_id, op10_pii, op11_embedding_whitening, op12_importance_resampling, op13_line_dedup)}
+ORACLES: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op12_importance_resampling": OP12_SQL, "op13_line_dedup": OP13_SQL}
