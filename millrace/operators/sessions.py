@@ -9,28 +9,60 @@ from pyspark.sql import functions as F
 
 from .guardrails import anchor_rules
 
+#: Pairs of question and answer that a session's window holds.
+WINDOW = 6
+#: Characters of a pair's line in the summary, and of the whole summary.
+LINE_CHARS, SUMMARY_CHARS = 80, 2000
+#: Marks the summary among the messages as what was said before.
+ENVELOPE = "[Summary of what was said before the turns below]"
+
 
 def numbered(turns: DataFrame) -> DataFrame:
     """Turns with a dense number from 1 in each conversation."""
     return turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
 
 
-def window_state(turns: DataFrame, size: int = 6) -> DataFrame:
-    """Per turn: messages in the window, evicted turns, and anchors that evicted turns have left."""
-    rows = numbered(turns).withColumn("anchored", F.size(anchor_rules(F.coalesce("text", F.lit("")))) > 0)
+def pairs(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, turn, question, answer, anchored): a question and the answer right after it, numbered
+    from 1 in each conversation. Messages of other roles are looked through; a question without an
+    answer, and an answer without a question, are no pair. ``anchored``: the question is one to keep."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    said = turns.where(F.col("role").isin("user", "assistant") & F.col("conv_id").isNotNull())
+    said = said.withColumns({"before": F.lag("role").over(order), "question": F.coalesce(F.lag("text").over(order), F.lit(""))})
+    found = said.where("role = 'assistant' and before = 'user'").withColumn("n", F.row_number().over(order))
+    return found.select("conv_id", "n", "turn", "question", F.coalesce("text", F.lit("")).alias("answer"), (F.size(anchor_rules(F.col("question"))) > 0).alias("anchored"))
+
+
+def pair_states(found: DataFrame, size: int = WINDOW) -> DataFrame:
+    """After each pair: messages in the window (the last ``size`` pairs), messages kept as anchors, pairs
+    that have left, and the length of the summary of those that aren't anchors."""
     past = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -size)
-    kept = F.coalesce(F.sum(F.col("anchored").cast("long")).over(past), F.lit(0).cast("long"))
-    return rows.select("conv_id", "turn", "role", "n", F.least("n", F.lit(size)).alias("in_window"), F.greatest(F.col("n") - size, F.lit(0)).alias("evicted"), kept.alias("anchors"))
-
-
-def messages(turns: DataFrame, size: int = 6) -> DataFrame:
-    """The message list at each conversation's end: anchors of evicted turns, then the window, in order."""
-    rows = numbered(turns)
-    last = rows.groupBy("conv_id").agg(F.max("n").alias("last"))
-    rows = rows.join(last, "conv_id").withColumn("recent", F.col("n") > F.col("last") - size)
-    rows = rows.where(F.col("recent") | (F.size(anchor_rules(F.coalesce("text", F.lit("")))) > 0))
-    listed = F.array_sort(F.collect_list(F.struct(F.col("recent").cast("int").alias("rank"), "n", "role")))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_join(F.transform(listed, lambda m: F.concat_ws(":", m["n"].cast("string"), m["role"])), ",").alias("order"))
+    so_far = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0)).cast("long")
+    line = F.when(~F.col("anchored"), F.least(F.length("question"), F.lit(LINE_CHARS)) + 1)
+    counts = {"messages_in_window": 2 * F.least("n", F.lit(size)).cast("long"), "anchors_count": 2 * so_far(F.col("anchored").cast("long")), "evicted": F.greatest(F.col("n") - size, F.lit(0)).cast("long")}
+    rows = found.withColumns(counts | {"__chars": so_far(line)})
+    return rows.select("conv_id", "turn", F.col("n").cast("long").alias("turn_index"), *counts, F.greatest(F.least(F.col("__chars") - 1, F.lit(SUMMARY_CHARS)), F.lit(0)).cast("long").alias("summary_chars"))
+
+
+def snapshots(found: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The state at each conversation's end: counters, summary, and the list of messages for the next call,
+    which is the summary (marked as such), the anchors in order, then the window.
+
+    Only what is in the list is collected: the window, the anchors, and of the summary the last lines.
+    """
+    last = found.groupBy("conv_id").agg(F.max("n").alias("last"))
+    rows = found.join(last, "conv_id").withColumn("recent", F.col("n") > F.col("last") - size)
+    plain = rows.where(~F.col("recent") & ~F.col("anchored"))
+    end = Window.partitionBy("conv_id").orderBy(F.desc("n"))
+    lines = plain.withColumn("back", F.row_number().over(end)).where(F.col("back") <= SUMMARY_CHARS + 1)
+    lines = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.left("question", F.lit(LINE_CHARS)).alias("line")))).alias("lines"))
+    summary = lines.select("conv_id", F.right(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(SUMMARY_CHARS)).alias("summary"))
+    kept = rows.where(F.col("recent") | F.col("anchored"))
+    told = F.array_sort(F.collect_list(F.struct(F.col("recent").cast("int").alias("rank"), "n", F.concat(F.lit("user: "), "question", F.lit("\nassistant: "), "answer").alias("text"))))
+    kept = kept.groupBy("conv_id").agg(F.max("last").cast("long").alias("turn_index"), (2 * F.count_if("recent")).alias("messages_in_window"), (2 * F.count_if(~F.col("recent"))).alias("anchors_count"), F.transform(told, lambda x: x["text"]).alias("told"))
+    both = kept.join(summary, "conv_id", "left")
+    envelope = F.when(F.length("summary") > 0, F.concat(F.lit(f"user: {ENVELOPE}\n"), "summary"))
+    return both.select("conv_id", "turn_index", "messages_in_window", "anchors_count", F.greatest(F.col("turn_index") - size, F.lit(0)).alias("evicted"), F.coalesce(F.length("summary"), F.lit(0)).cast("long").alias("summary_chars"), "summary", F.array_join(F.array_compact(F.concat(F.array(envelope), "told")), "\n").alias("messages"))
 
 
 def carried(value: Column, *order: str, by: str = "conv_id") -> Column:

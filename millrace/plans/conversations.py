@@ -9,30 +9,40 @@ from ..operators import documents, guardrails, sessions
 from .base import query, table
 
 _ORDER = "PARTITION BY conv_id ORDER BY turn, role, text"
-# Every fifth turn states something that must not be forgotten.
-_SAID = "(SELECT conv_id, turn, role, text || CASE WHEN turn % 5 = 1 THEN ' The scope is frozen.' ELSE '' END AS text FROM conversations)"
+# Every third message states something that must not be forgotten.
+_SAID = "(SELECT conv_id, turn, role, text || CASE WHEN (turn + conv_id) % 3 = 1 THEN ' The scope is frozen.' ELSE '' END AS text FROM conversations)"
 _ANCHOR = r"(^|[^\p{L}\p{N}_])((scope|backlog)\s+(is\s+)?(frozen|locked|final|fixed)|nda|hipaa|gdpr|sox|fda)([^\p{L}\p{N}_]|$)"
+# A turn is a question and the answer right after it; the oldest pair of more than two leaves the window as a whole.
+PAIRS = f"""
+said AS (SELECT * FROM {_SAID}),
+m AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS question FROM said WHERE role IN ('user', 'assistant') WINDOW w AS ({_ORDER})),
+p AS (SELECT conv_id, turn, question, text AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_matches(question, '{_ANCHOR}', 'i') AS anchored FROM m WHERE role = 'assistant' AND before = 'user'),
+states AS (
+  SELECT conv_id, turn, n AS turn_index, (2 * least(n, 2))::BIGINT AS messages_in_window, (2 * coalesce(sum(anchored::INT) OVER w, 0))::BIGINT AS anchors_count, greatest(n - 2, 0) AS evicted,
+    greatest(least(coalesce(sum(CASE WHEN NOT anchored THEN least(length(question), 80) + 1 END) OVER w, 0) - 1, 2000), 0)::BIGINT AS summary_chars
+  FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)),
+ends AS (
+  SELECT conv_id, max(n) AS turn_index, 2 * count(*) FILTER (recent) AS messages_in_window, 2 * count(*) FILTER (anchored AND NOT recent) AS anchors_count, greatest(max(n) - 2, 0) AS evicted,
+    right(string_agg(left(question, 80), chr(10) ORDER BY n) FILTER (NOT recent AND NOT anchored), 2000) AS summary,
+    string_agg('user: ' || question || chr(10) || 'assistant: ' || answer, chr(10) ORDER BY recent, n) FILTER (recent OR anchored) AS told
+  FROM (SELECT *, n > max(n) OVER (PARTITION BY conv_id) - 2 AS recent FROM p) GROUP BY conv_id),
+snapshots AS (SELECT conv_id, turn_index, messages_in_window, anchors_count, evicted, coalesce(length(summary), 0) AS summary_chars, summary,
+  concat_ws(chr(10), CASE WHEN length(summary) > 0 THEN 'user: {sessions.ENVELOPE}' || chr(10) || summary END, told) AS messages FROM ends)
+"""
 
 
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.when(F.col("turn") % 5 == 1, " The scope is frozen.").otherwise("")))
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", F.when((F.col("turn") + F.col("conv_id")) % 3 == 1, " The scope is frozen.").otherwise("")))
 
 
-@query(f"""
-SELECT conv_id, turn, role, n::INT AS n, least(n, 2)::INT AS in_window, greatest(n - 2, 0)::INT AS evicted, coalesce(sum(a) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0)::BIGINT AS anchors
-FROM (SELECT *, row_number() OVER ({_ORDER}) AS n, regexp_matches(text, '{_ANCHOR}', 'i')::BIGINT AS a FROM {_SAID})
-""")
+@query(f"WITH {PAIRS} SELECT * FROM states")
 def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.window_state(said(spark, sf_dir), 2)
+    return sessions.pair_states(sessions.pairs(said(spark, sf_dir)), 2)
 
 
-@query(f"""
-SELECT conv_id, count(*) AS n_messages, string_agg(n || ':' || role, ',' ORDER BY recent, n) AS "order"
-FROM (SELECT *, (n > max(n) OVER (PARTITION BY conv_id) - 2)::INT AS recent FROM (SELECT *, row_number() OVER ({_ORDER}) AS n FROM {_SAID}))
-WHERE recent = 1 OR regexp_matches(text, '{_ANCHOR}', 'i') GROUP BY conv_id
-""")
+@query(f"WITH {PAIRS} SELECT * FROM snapshots")
 def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.messages(said(spark, sf_dir), 2)
+    return sessions.snapshots(sessions.pairs(said(spark, sf_dir)), 2)
 
 
 _LEADING = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, split_part(text, ' ', 1) AS w FROM conversations)"

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import Scope
+
 #: Turns that a session's window holds.
 WINDOW = 6
 
@@ -29,9 +29,8 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both write: under ``spark.checkpoint.dir`` if it is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='millrace-stream-')}"
-    return f"{base.rstrip('/')}/millrace-stream-{uuid.uuid4().hex}"
+    """A new folder where driver and executors both write."""
+    return Scope(spark, "stream").root
 
 
 def drain(stream: DataFrame) -> DataFrame:
@@ -144,12 +143,12 @@ def _turns(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
     """The turns of one conversation after those of earlier micro-batches: counts and what is remembered."""
     turns, anchors, known = state.get if state.exists else (0, 0, None)
     out = []
-    for rows in batches:
-        for r in rows.sort_values(["turn", "role", "text"], kind="stable").itertuples():
-            turns += 1
-            anchors += int("?" in r.text)
-            known = r.lang or known
-            out.append((key[0], r.turn, r.role, turns, min(turns, WINDOW), anchors, known))
+    # Arrow may give a conversation's rows in several pieces: they are put in order together
+    for r in pd.concat(list(batches)).sort_values(["turn", "role", "text"], kind="stable").itertuples():
+        turns += 1
+        anchors += int("?" in r.text)
+        known = r.lang or known
+        out.append((key[0], r.turn, r.role, turns, min(turns, WINDOW), anchors, known))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in _TURNS.split(", ")])
     state.update((turns, anchors, known))
 
