@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
 from ..functions.spans import bound, luhn, matches, mod97
+from ..sources.keyed import KeyedTable
 
 # Detectors as (type, pattern, score), and words that are never personal.
 DETECTORS = [
@@ -98,3 +99,48 @@ def forget(mapped: DataFrame, key: str, values: DataFrame) -> tuple[DataFrame, D
     """(kept, removed): all entity types of the values (one column ``value``) go; unknown ones do nothing."""
     gone = values.select(hmac_sha256(key, F.col("value")).alias("original_hash")).distinct()
     return mapped.join(gone, "original_hash", "left_anti"), mapped.join(gone, "original_hash", "left_semi")
+
+
+class MappingStore:
+    """A stored mapping of (entity_type, original_hash) to pseudonyms, filed by hash. Values never reach it:
+    they are hashed under the key first."""
+
+    SCHEMA = "entity_type string, original_hash string, pseudonym string, first_seen_at timestamp, source_name string, occurrences long"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64) -> None:
+        self.table = KeyedTable.create(spark, path, self.SCHEMA, ["entity_type", "original_hash"], ["original_hash"], buckets)
+        self.key = key
+
+    def record(self, values: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
+        """Adds sightings (entity_type, value, source_name, seen_at) and returns the version. A pair that is
+        known keeps its pseudonym, and when and where it was first seen (as it was recorded), and its
+        sightings are counted. A new pair's pseudonym also depends on the version that makes it, so a
+        value that comes back after it was forgotten gets another one. Null values are left out."""
+        seen = values.where("value is not null").select("entity_type", hmac_sha256(self.key, F.col("value")).alias("original_hash"), F.col("seen_at").cast("timestamp").alias("first_seen_at"), "source_name")
+        first = F.struct("first_seen_at", "source_name")
+        new = seen.groupBy("entity_type", "original_hash").agg(F.count("*").alias("occurrences"), F.min("first_seen_at").alias("first_seen_at"), F.min_by("source_name", first).alias("source_name"))
+
+        def merge(old: DataFrame, found: DataFrame) -> DataFrame:
+            generation = F.lit(str(self.table.version() + 1))
+            fresh = found.withColumns({"pseudonym": pseudonym(F.col("entity_type"), hmac_sha256(self.key, F.concat_ws("|", generation, "entity_type", "original_hash"))), "known": F.lit(1)})
+            rows = old.withColumn("known", F.lit(0)).unionByName(fresh)
+            kept = F.min_by(F.struct("pseudonym", "first_seen_at", "source_name"), "known").alias("kept")
+            return rows.groupBy("entity_type", "original_hash").agg(F.sum("occurrences").alias("occurrences"), kept).select("*", "kept.*").drop("kept")
+
+        return self.table.upsert(new, merge, stream, batch)
+
+    def lookup(self, values: DataFrame) -> DataFrame:
+        """``values`` (entity_type, value, ...) with their pseudonyms; null where there is none."""
+        hashed = values.withColumn("original_hash", hmac_sha256(self.key, F.col("value")))
+        return hashed.join(self.table.read().select("entity_type", "original_hash", "pseudonym"), ["entity_type", "original_hash"], "left").drop("original_hash")
+
+    def find(self, pseudonyms: DataFrame) -> DataFrame:
+        """The mappings of pseudonyms (one column ``pseudonym``)."""
+        return self.table.read().join(pseudonyms.distinct(), "pseudonym", "left_semi")
+
+    def forget(self, values: DataFrame) -> DataFrame:
+        """Erases all mappings of values (one column ``value``), whatever their type, and returns them. The old
+        files go as well. Unknown values do nothing."""
+        gone = self.table.remove(values.where("value is not null").select(hmac_sha256(self.key, F.col("value")).alias("original_hash")))
+        self.table.vacuum()
+        return gone

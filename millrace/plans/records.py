@@ -10,6 +10,7 @@ from ..functions.records import hours, money, parse_amount, parse_date
 from ..functions.text import client_key, estimated_tokens, normalise_currency, unmask_null
 from ..operators import privacy, validation
 from ..operators.records import clean_records, divergence, keep_latest
+from ..streaming.events import shared_folder
 from .base import query, table
 
 NOW = "2001-01-01"
@@ -166,6 +167,29 @@ def forget_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("original_hash", "occurrences")
 
 
+# Sightings of customers and suppliers; two nations' customers are forgotten, one comes back later.
+@query(f"""
+WITH c AS (SELECT 'CLIENT' AS entity_type, c_mktsegment || ':' || c_nationkey AS v, c_nationkey AS nation, 'customer' AS source_name, c_custkey % 30 AS day FROM customer),
+s AS (SELECT 'SUPPLIER' AS entity_type, 'BUILDING:' || s_nationkey AS v, s_nationkey AS nation, 'supplier' AS source_name, s_suppkey % 20 AS day FROM supplier),
+again AS (SELECT entity_type, v, nation, 'again' AS source_name, 40 + day % 5 AS day FROM c WHERE nation % 2 = 1),
+known AS (SELECT entity_type, v, count(*) AS n, min(day) AS day, 'customer' AS source_name FROM c GROUP BY entity_type, v UNION ALL SELECT entity_type, v, count(*), min(day), 'supplier' FROM s GROUP BY entity_type, v),
+kept AS (SELECT * FROM known WHERE split_part(v, ':', 2) NOT IN ('3', '4')),
+late AS (SELECT entity_type, v, count(*) AS n, min(day) AS day, 'again' AS source_name FROM again GROUP BY entity_type, v)
+SELECT entity_type, {_HMAC} AS original_hash, coalesce(k.n, 0) + coalesce(l.n, 0) AS occurrences, coalesce(k.day, l.day)::BIGINT AS first_day, coalesce(k.source_name, l.source_name) AS source_name
+FROM kept k FULL JOIN late l USING (entity_type, v)
+""")
+def stored_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = privacy.MappingStore(spark, shared_folder(spark), _KEY, buckets=16)
+    sightings = lambda rows, kind, value, name, day: rows.select(F.lit(kind).alias("entity_type"), value.alias("value"), F.lit(name).alias("source_name"), F.timestamp_seconds(day * 86_400).alias("seen_at"))
+    clients, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    client, key = F.concat_ws(":", "c_mktsegment", "c_nationkey"), F.col("c_custkey")
+    store.record(sightings(clients, "CLIENT", client, "customer", key % 30))
+    store.record(sightings(suppliers, "SUPPLIER", F.concat_ws(":", F.lit("BUILDING"), "s_nationkey"), "supplier", F.col("s_suppkey") % 20))
+    store.forget(clients.select("c_mktsegment").distinct().select(F.explode(F.transform(F.array(F.lit("3"), F.lit("4")), lambda n: F.concat_ws(":", "c_mktsegment", n))).alias("value")))
+    store.record(sightings(clients.where("c_nationkey % 2 = 1"), "CLIENT", client, "again", 40 + key % 30 % 5))
+    return store.table.read().select("entity_type", "original_hash", "occurrences", F.floor(F.unix_seconds("first_seen_at") / 86_400).alias("first_day"), "source_name")
+
+
 @query("""
 SELECT o_orderkey, '# Budget ' || o_orderkey || chr(10) || 'Status: ' || o_orderstatus || chr(10) || 'Total: ' || format('{:,.2f}', o_totalprice) || ' EUR' || chr(10) || '| part | hours | cost |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || l_quantity::BIGINT || ' | ' || format('{:,.2f}', l_extendedprice) || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS markdown
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_totalprice

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keyed import KeyedTable, latest
 from ..sources.storage import Scope
 
 #: Turns that a session's window holds.
@@ -118,21 +119,23 @@ def daily_without_late(events: DataFrame, late: str = "1 day") -> DataFrame:
     return last_of_each(grouped, ["window", "event_type"]).select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
 
 
-def upserted(rows: DataFrame, key: str, at: str) -> DataFrame:
+def upserted(rows: DataFrame, key: str, at: str, path: str | None = None, buckets: int = 32) -> DataFrame:
     """A table kept by key: every micro-batch of a stream replaces the rows of its keys (the latest of
-    each, by ``at``), so what is ingested again does not double."""
+    each, by ``at``), so what is ingested again does not double.
+
+    The table and the stream's checkpoint are at ``path``: called again, also by another process, it
+    goes on where it was. Only the buckets of a micro-batch's keys are rewritten, and a micro-batch
+    that is told again changes nothing.
+    """
     spark = rows.sparkSession
-    folder, done = shared_folder(spark), []
+    path = path or shared_folder(spark)
+    table = KeyedTable.create(spark, f"{path}/table", rows.schema, [key], buckets=buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        table = batch.select(*rows.columns)
-        if done:
-            table = spark.read.schema(rows.schema).parquet(f"{folder}/table-{done[-1]}").unionByName(table)
-        table.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*rows.columns), at).alias("row")).select("row.*").write.mode("overwrite").parquet(f"{folder}/table-{number}")
-        done.append(number)
-
-    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/table-{done[-1]}") if done else spark.createDataFrame([], rows.schema)
+        table.upsert(batch.select(*rows.columns), latest([key], at), "rows", number)
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
 
 
 _TURNS = "conv_id long, turn long, role string, turn_index long, in_window long, anchors long, known string"
