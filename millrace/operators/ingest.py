@@ -1,6 +1,7 @@
 """An ingest run: the sources of a catalog to canonical documents, with a report for each source.
 
-Every source goes through the same stages: list its files, parse them by its format, clean, (records)
+Units of all sources are made once and written with their source and outcome; documents and report
+are read from there. Every source goes through the same stages: list its files, parse them by its format, clean, (records)
 validate and route, pseudonymise where it holds personal data, and name the documents. A source that
 is left out, or whose format nothing reads, shows in the report only.
 """
@@ -13,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.firsts import first_values
 from ..functions.records import hours, money
 from ..functions.text import document_id, drop_reason, is_placeholder, normalise_text
 from ..sources.files import json_records, local_path, read_files, texts
+from ..sources.storage import Scope
 from ..sources.office import document_blocks, document_sections, workbook_rows, workbook_sheets
 from . import privacy, validation
 from .documents import pages, transcript_units
@@ -79,69 +82,91 @@ def anonymised(units: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"content": privacy.replace_spans(body, F.col("__body"), key), "speaker": F.when(F.col("speaker").isNotNull(), privacy.replace_spans(who, F.col("__who"), key)), "replaced": F.size("__body") + F.size("__who")}).drop("__body", "__who")
 
 
-def run_source(spark: SparkSession, source: dict, root: str, now: Column, key: str, version: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, report row) of one source; counts are taken when the report is read."""
+def units(files: DataFrame, sources: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(units, errors) of a table or a stream of files with their ``source``, by the formats of the sources."""
+    found, broken = None, None
+    for source in sources:
+        mine, errors = READERS[source["format"]](files.where(F.col("source") == source["name"]))
+        mine, errors = (df.withColumn("source", F.lit(source["name"])) for df in (mine, errors))
+        found = mine if found is None else found.unionByName(mine)
+        broken = errors if broken is None else broken.unionByName(errors)
+    return found, broken
+
+
+STAGED = "source string, path string, unit_key string, title string, speaker string, content string, placeholder boolean, outcome string, parsed long, replaced long, files long, error string"
+
+
+def _staged(rows: DataFrame, source: str) -> DataFrame:
+    """Rows of one source with all columns of ``STAGED``; those that ``rows`` lacks are null."""
+    return rows.select(*[(F.lit(source) if n == "source" else F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in STAGED.split(", "))])
+
+
+def stage_source(spark: SparkSession, source: dict, root: str, now: Column, key: str) -> DataFrame:
+    """Everything a source has: its units with their outcome (kept, dropped, or that of the checks), a row for each
+    file that can't be read, and one with the number of files."""
     name, kind = source["name"], source["format"]
-    lit = lambda v, t: F.lit(v).cast(t)
-    columns = {c.split()[0]: c.split()[1] for c in REPORT.split(", ")}
-
-    def row(counts: DataFrame, **given: Column) -> DataFrame:
-        known = {"source": F.lit(name), "decision": F.lit(source["decision"]), **{c: F.col(c) for c in counts.columns}, **given}
-        return counts.select(*[known.get(c, lit(0 if t == "long" else None, t)).cast(t).alias(c) for c, t in columns.items()])
-
-    nothing = spark.createDataFrame([], DOCUMENTS)
-    one = spark.range(1).select()
-    if source["decision"] != "include":
-        return nothing, row(one, skipped_reason=F.lit(source.get("decision_reason") or f"catalog decision is '{source['decision']}'"))
-    if kind != "json" and kind not in READERS:
-        return nothing, row(one, errors=F.lit(f"no parser for format '{kind}'"))
     folder = spark.range(1).select(local_path(F.lit(source["location"]), root)).first()[0]
     files = read_files(spark, folder, source.get("pattern") or "*")
-    counts = files.agg(F.count("*").alias("files_seen"))
     if kind == "json":
         records = json_records(files, RECORD)
         errors = records.where("broken").select(F.col("source_file").alias("path"), F.lit("not JSON").alias("error"))
         fields = [f.split(" ")[0] for f in RECORD.split(", ") if not f.startswith("phases")]
         good = records.where("not broken").withColumn("record", F.concat_ws("|", *fields))
-        latest = keep_latest(clean_records(good))
-        checked = validation.validate(latest, validation.budget_checks(now))
-        tally = lambda o: F.count_if(F.col("outcome") == o).alias(f"records_{o}")
-        counts = counts.crossJoin(good.agg(F.count("*").alias("units_parsed"))).crossJoin(checked.agg(tally("valid"), tally("quarantined"), tally("discarded")))
-        valid = checked.where("outcome = 'valid'")
-        units = _plain(valid, document=F.col("source_file"), unit_key=F.col("budget_id"), content=render_record({c: F.col(c) for c in valid.columns}))
-        kept = units.withColumn("placeholder", F.lit(False))
+        checked = validation.validate(keep_latest(clean_records(good), versions="parsed"), validation.budget_checks(now))
+        content = F.when(F.col("outcome") == "valid", render_record({c: F.col(c) for c in checked.columns}))
+        found = checked.select(F.col("source_file").alias("path"), F.col("budget_id").alias("unit_key"), content.alias("content"), F.lit(False).alias("placeholder"), "outcome", "parsed")
     else:
-        units, errors = READERS[kind](files)
-        tidied = units.withColumns({"placeholder": is_placeholder(F.col("content")), "content": normalise_text(F.col("content"))})
-        kept = tidied.where(drop_reason(F.col("content")).isNull())
-        counts = counts.crossJoin(units.agg(F.count("*").alias("units_parsed")))
-    hidden = bool(source.get("contains_pii"))
-    out = anonymised(kept, key) if hidden else kept.withColumn("replaced", F.lit(0))
-    # what the catalog says stands, whatever a file says of itself
-    place = F.regexp_replace("document", "^.*?/" + re.escape(folder.rpartition(":")[2].strip("/")) + "/", "")
-    docs = out.select(document_id(F.lit(name), place, F.coalesce("unit_key", F.lit(""))).alias("id"), F.lit(name).alias("source"), place.alias("document"), "unit_key", "title", "speaker", "content", F.lit(hidden).alias("anonymised"), "placeholder", F.lit(version).alias("catalog_version"), "replaced")
-    ids = docs.groupBy("id").agg(F.count("*").alias("n"), F.sum("replaced").alias("replaced"))
-    done = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids"), F.coalesce(F.sum("replaced"), F.lit(0)).alias("entities_replaced"))
-    # one row each; of the errors the first three by path
-    said = errors.agg(F.slice(F.array_sort(F.collect_list(F.concat(F.substring_index("path", "/", -1), F.lit(": "), "error"))), 1, 3).alias("e"))
-    counts = counts.crossJoin(done).crossJoin(said)
-    told = F.concat(F.col("e"), F.when(F.col("duplicate_ids") > 0, F.array(F.concat(F.col("duplicate_ids").cast("string"), F.lit(" duplicate document id(s)")))).otherwise(F.array().cast("array<string>")))
-    return docs.drop("replaced"), row(counts, units_kept=F.col("documents"), errors=F.nullif(F.array_join(told, "; "), F.lit("")))
+        parsed, errors = READERS[kind](files)
+        tidied = parsed.withColumns({"placeholder": is_placeholder(F.col("content")), "content": normalise_text(F.col("content"))})
+        outcome = F.when(drop_reason(F.col("content")).isNull(), "kept").otherwise("dropped")
+        found = tidied.withColumnRenamed("document", "path").withColumns({"outcome": outcome, "parsed": F.lit(1)})
+    if source.get("contains_pii"):
+        found = anonymised(found.where("outcome in ('valid', 'kept')"), key).unionByName(found.where("outcome not in ('valid', 'kept')").withColumn("replaced", F.lit(0)))
+    return _staged(found, name).unionByName(_staged(errors, name)).unionByName(_staged(files.agg(F.count("*").alias("files")), name))
 
 
 def run(catalog: DataFrame, root: str, now: Column, key: str, version: str = "1", names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, report) of all sources of a catalog (or of those named), in its order.
+    """(documents, report) of all sources of a catalog (or of those named).
 
     The catalog's rows pass through the driver: they are the plan of the run, one entry a source.
+    What was staged lies in the shared folder, from where both results are read.
     """
     from ..sources.catalog import narrowed
 
-    spark = catalog.sparkSession
-    documents, report = spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], REPORT)
-    for source in narrowed(catalog, names).collect():
-        docs, row = run_source(spark, source.asDict(), root, now, key, version)
-        documents, report = documents.unionByName(docs), report.unionByName(row)
-    return documents, report
+    spark, scope = catalog.sparkSession, Scope(catalog.sparkSession, "ingest")
+    plan = [s.asDict() for s in narrowed(catalog, names).collect()]
+    readable = [s for s in plan if s["decision"] == "include" and (s["format"] == "json" or s["format"] in READERS)]
+    for source in readable:
+        stage_source(spark, source, root, now, key).write.mode("append").parquet(scope.folder("units"))
+    staged = spark.read.schema(STAGED).parquet(scope.folder("units")) if readable else spark.createDataFrame([], STAGED)
+
+    def skipped(s: dict) -> str | None:
+        return None if s["decision"] == "include" else s.get("decision_reason") or f"catalog decision is '{s['decision']}'"
+
+    def unread(s: dict) -> str | None:
+        return None if s in readable or s["decision"] != "include" else f"no parser for format '{s['format']}'"
+
+    rows = [(s["name"], s["decision"], bool(s.get("contains_pii")), re.sub(r"^[^:/]*://", "", s["location"]).strip("/"), skipped(s), unread(s)) for s in plan]
+    known = spark.createDataFrame(rows, "source string, decision string, hidden boolean, folder string, skipped_reason string, unread string")
+    # what the catalog says stands, whatever a file says of itself
+    kept = staged.where("outcome in ('valid', 'kept')").join(F.broadcast(known.select("source", "hidden", "folder")), "source")
+    at = F.position(F.concat(F.lit("/"), "folder", F.lit("/")), F.col("path")) + F.length("folder") + 2
+    place = F.substring(F.col("path"), at, F.length("path"))
+    placed = kept.withColumn("document", place).withColumn("id", document_id(F.col("source"), F.col("document"), F.coalesce("unit_key", F.lit(""))))
+    documents = placed.select("id", "source", "document", "unit_key", "title", "speaker", "content", F.col("hidden").alias("anonymised"), "placeholder", F.lit(version).alias("catalog_version"))
+
+    tally = lambda o: F.count_if(F.col("outcome") == o)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = staged.groupBy("source").agg(total("files").alias("files_seen"), total("parsed").alias("units_parsed"), *[tally(o).alias(f"records_{o}") for o in ("valid", "quarantined", "discarded")], (tally("valid") + tally("kept")).alias("units_kept"), total("replaced").alias("entities_replaced"))
+    doubles = placed.groupBy("source", "id").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum(F.col("n") - 1).alias("duplicate_ids"))
+    # of the errors the first three by path
+    errors = first_values(staged.where("error is not null"), ["source"], F.concat(F.substring_index("path", "/", -1), F.lit(": "), "error"), 3)
+    both = known.join(counts, "source", "left").join(doubles, "source", "left").join(errors, "source", "left")
+    both = both.fillna(0).withColumn("documents", F.col("units_kept"))
+    no_text = F.array().cast("array<string>")
+    told = F.concat(F.coalesce("firsts", no_text), F.when(F.col("duplicate_ids") > 0, F.array(F.concat(F.col("duplicate_ids").cast("string"), F.lit(" duplicate document id(s)")))).otherwise(no_text))
+    both = both.withColumn("errors", F.coalesce("unread", F.nullif(F.array_join(told, "; "), F.lit(""))))
+    return documents, both.select(*[F.col(n).cast(t).alias(n) for n, t in (c.split() for c in REPORT.split(", "))])
 
 
 def totals(report: DataFrame) -> DataFrame:

@@ -18,14 +18,16 @@ def clean_records(raw: DataFrame) -> DataFrame:
     return out.withColumns({k: v for k, v in typed.items() if k in out.columns or k == "client_key"})
 
 
-def keep_latest(df: DataFrame, key: str = "budget_id", at: str = "signed_at", tie: str = "record") -> DataFrame:
-    """The version with the latest date of each key (no date is earliest; ties: the largest ``tie``).
+def keep_latest(df: DataFrame, key: str = "budget_id", at: str = "signed_at", tie: str = "record", versions: str | None = None) -> DataFrame:
+    """The version with the latest date of each key (no date is earliest; ties: the largest ``tie``), and
+    how many there were if ``versions`` names a column for it.
 
     max_by combines before the shuffle, so a key with many versions isn't gathered in one task.
     """
     row = F.struct(*df.columns)
     order = F.struct(F.col(at).isNotNull(), F.col(at), F.col(tie))
-    return df.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, order).alias("row")).select("row.*")
+    count = [F.count("*").alias(versions)] if versions else []
+    return df.groupBy(F.col(key).alias("__key")).agg(F.max_by(row, order).alias("row"), *count).select("row.*", *[c for c in (versions,) if c])
 
 
 def divergence(df: DataFrame, key: str = "budget_id") -> DataFrame:

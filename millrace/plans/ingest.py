@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embedding, ingest, report, validation
-from ..sources import catalog, files
+from ..sources import catalog, files, folders
+from ..sources.storage import Scope
 from ..streaming.events import shared_folder
 from .base import query, table
 from .documents import _REASON, _SPACE, _TIDY
@@ -24,20 +25,26 @@ SOURCES = [
 ]
 
 
-def lay_out(spark: SparkSession, sf_dir: str) -> str:
-    """Files of all formats below a new shared folder, made of the tables: budgets as JSON arrays, and texts."""
-    root = shared_folder(spark)
-    names = ["budget_id", "client_name", "client_code", "total_amount", "currency", "hours_estimated", "signed_at", "status"]
-    raw = raw_records(spark, sf_dir).withColumn("bucket", F.floor(F.col("record") / 1000))
-    raw.groupBy("bucket").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value")).repartition("bucket").write.partitionBy("bucket").text(f"{root}/budgets")
-    line = F.concat(F.lit("[00:00:01] "), "role", F.lit(": "), F.regexp_replace("text", r"[\r\n]+", " "))
-    turns = table(spark, sf_dir, "conversations").withColumn("bucket", F.floor(F.col("conv_id") / 50))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", line.alias("line")))), lambda t: t["line"]), "\n")
-    turns.groupBy("bucket").agg(text.alias("value")).repartition("bucket").write.partitionBy("bucket").text(f"{root}/transcripts")
-    docs = table(spark, sf_dir, "documents").withColumn("bucket", F.floor(F.col("doc_id") / 200))
-    page = F.concat(F.lit("--- Page "), (F.col("doc_id") % 200 + 1).cast("string"), F.lit(" ---\n"), "text")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", page.alias("page")))), lambda t: t["page"]), "\n")
-    docs.groupBy("bucket").agg(text.alias("value")).repartition("bucket").write.partitionBy("bucket").text(f"{root}/contracts")
+def lay_out(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ("budgets", "transcripts", "contracts"), root: str | None = None, part: Column | None = None) -> str:
+    """Files of all formats below a shared folder, made of the tables: budgets as JSON arrays, and texts. Some of
+    the folders if ``only`` names them, some of their buckets if ``part`` is a condition on ``bucket``."""
+    root = root or shared_folder(spark)
+    some = lambda df: df if part is None else df.where(part)
+    write = lambda df, name: df.repartition("bucket").write.mode("append").partitionBy("bucket").text(f"{root}/{name}")
+    if "budgets" in only:
+        names = ["budget_id", "client_name", "client_code", "total_amount", "currency", "hours_estimated", "signed_at", "status"]
+        raw = some(raw_records(spark, sf_dir).withColumn("bucket", F.floor(F.col("record") / 1000)))
+        write(raw.groupBy("bucket").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value")), "budgets")
+    if "transcripts" in only:
+        line = F.concat(F.lit("[00:00:01] "), "role", F.lit(": "), F.regexp_replace("text", r"[\r\n]+", " "))
+        turns = some(table(spark, sf_dir, "conversations").withColumn("bucket", F.floor(F.col("conv_id") / 50)))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", line.alias("line")))), lambda t: t["line"]), "\n")
+        write(turns.groupBy("bucket").agg(text.alias("value")), "transcripts")
+    if "contracts" in only:
+        docs = some(table(spark, sf_dir, "documents").withColumn("bucket", F.floor(F.col("doc_id") / 200)))
+        page = F.concat(F.lit("--- Page "), (F.col("doc_id") % 200 + 1).cast("string"), F.lit(" ---\n"), "text")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", page.alias("page")))), lambda t: t["page"]), "\n")
+        write(docs.groupBy("bucket").agg(text.alias("value")), "contracts")
     return root
 
 
@@ -71,7 +78,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (conv_id // 50)::VARCHAR AS bucket, count(*) AS n, count(DISTINCT role) AS speakers FROM conversations WHERE length(text) >= 100 GROUP BY 1")
 def ingest_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = ingest.run(catalog.catalog_of(spark, SOURCES), lay_out(spark, sf_dir), F.lit(NOW).cast("timestamp"), _KEY, names=["transcripts", "legacy"])
+    docs, _ = ingest.run(catalog.catalog_of(spark, SOURCES), lay_out(spark, sf_dir, ("transcripts",)), F.lit(NOW).cast("timestamp"), _KEY, names=["transcripts", "legacy"])
     long = docs.where(F.length("content") >= 100).withColumn("bucket", F.regexp_extract("document", "bucket=([0-9]+)", 1))
     return long.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("speaker").alias("speakers"))
 
@@ -156,3 +163,33 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(t % 4 == 0, F.array(F.lit("spark"), F.lit("sql"))).otherwise(F.array().cast("array<string>"))
     made = report.prompt(F.col("text"), tier, F.lit("table"), F.when(t % 2 == 0, "brief").otherwise("usual"), known, F.when(t % 5 == 0, F.col("role")).otherwise(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", made.alias("prompt"))
+
+
+_FILED = f"""
+SELECT 'transcripts' AS source, (conv_id // 50)::VARCHAR AS bucket, count(*) AS units, count(DISTINCT role) AS speakers, sum(length({_TURN}))::BIGINT AS chars FROM conversations GROUP BY 2
+UNION ALL SELECT 'contracts', (doc_id // 200)::VARCHAR, count(*), 0, sum(length(trim(regexp_replace(text, '^\\n|\\n$', '', 'g'))))::BIGINT FROM documents GROUP BY 2
+"""
+_TEXTS = [s for s in SOURCES if s["name"] in ("transcripts", "contracts", "nothing_yet")]
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """Units by source and bucket, of files (or units of files) from the data source."""
+    by = [F.regexp_extract("document", "/(transcripts|contracts)/", 1).alias("source"), F.regexp_extract("document", "bucket=([0-9]+)", 1).alias("bucket")]
+    return rows.groupBy(*by).agg(F.count("*").alias("units"), F.countDistinct("speaker").alias("speakers"), F.sum(F.length("content")).alias("chars"))
+
+
+@query(_FILED)
+def catalog_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files_ = folders.catalog_files(spark, _TEXTS, lay_out(spark, sf_dir, ("transcripts", "contracts")))
+    return _units(ingest.units(files_, _TEXTS)[0])
+
+
+@query(_FILED)
+def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = Scope(spark, "files")
+    root, out = scope.folder("lake"), scope.folder("units")
+    for part in (F.col("bucket") % 2 == 0, F.col("bucket") % 2 == 1):
+        lay_out(spark, sf_dir, ("transcripts", "contracts"), root, part)
+        units = ingest.units(folders.catalog_files(spark, _TEXTS, root, stream=True), _TEXTS)[0]
+        units.writeStream.format("parquet").option("path", out).option("checkpointLocation", scope.folder("state")).trigger(availableNow=True).start().awaitTermination()
+    return _units(spark.read.schema(units.schema).parquet(out))
