@@ -25,26 +25,56 @@ def running(lengths: Column) -> Column:
         return F.aggregate(values, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
     def of(known: Column) -> Column:
-        count = F.ceil(F.size(known) / STRIDE).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(known, k * STRIDE + 1, F.lit(STRIDE)))
+        parts = blocks(known)
         sums = lambda ps: F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
         return bound(parts, lambda ps: bound(before(sums(ps), F.lit(0)), lambda firsts: F.flatten(F.zip_with(ps, firsts, before))))
 
     return bound(lengths, of)
 
 
+#: ``at``: the bytes before a match, by which a text can be cut without counting code points again.
+MATCH = "struct<start:int,stop:int,at:int,value:string>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of all leftmost, non-overlapping matches of a pattern that never matches nothing."""
+    """array<struct<start, stop, at, value>> of all leftmost, non-overlapping matches of a pattern that never matches nothing."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(steps: Column) -> Column:
         starts = running(F.transform(steps, lambda s: s["gap"] + F.length(s["value"])))
-        return F.zip_with(steps, starts, lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["gap"] + F.length(s["value"])).alias("stop"), s["value"].alias("value")))
+        bytes_ = running(F.transform(steps, lambda s: s["bytes"] + F.octet_length(s["value"])))
+        places = F.zip_with(starts, bytes_, lambda a, b: F.struct(a.alias("start"), b.alias("at")))
+        return F.zip_with(steps, places, lambda s, p: F.struct((p["start"] + s["gap"]).alias("start"), (p["start"] + s["gap"] + F.length(s["value"])).alias("stop"), (p["at"] + s["bytes"]).alias("at"), s["value"].alias("value")))
+
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.octet_length(g).alias("bytes"), m.alias("value")))
+    some = bound(F.filter(steps, lambda s: s["value"].isNotNull()), placed).cast(f"array<{MATCH}>")
+    return F.when(text.rlike(pattern), some).otherwise(F.array().cast(f"array<{MATCH}>"))
+
+
+def blocks(array: Column, size: int = STRIDE) -> Column:
+    """An array as an array of arrays of ``size`` elements, the last of fewer."""
+    count = F.ceil(F.size(array) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(array, k * size + 1, F.lit(size)))
+
+
+def without_overlaps(ordered: Column, kind: str) -> Column:
+    """Of spans in order those that begin at or after the end of the last one kept. ``kind`` is the spans' type.
+
+    The fold works off blocks of ``STRIDE`` spans, each with an array of its own, as an array that grows
+    by all spans would be copied for each of them.
+    """
+    start = F.struct(F.lit(0).alias("until"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        kept = F.struct(s["stop"].alias("until"), F.concat(state["out"], F.array(s)).alias("out"))
+        return F.when(s["start"] >= state["until"], kept).otherwise(state)
+
+    def block(state: Column, spans: Column) -> Column:
+        first = F.struct(state["until"].alias("until"), start["out"].alias("out"))
+        return bound(F.aggregate(spans, first, step), lambda done: F.struct(done["until"].alias("until"), F.concat(state["out"], F.array(done["out"])).alias("out")))
 
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    kinds = "array<struct<start:int,stop:int,value:string>>"
-    some = bound(F.filter(steps, lambda s: s["value"].isNotNull()), placed).cast(kinds)
-    return F.when(text.rlike(pattern), some).otherwise(F.array().cast(kinds))
+    none = F.struct(F.lit(0).alias("until"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(bound(ordered, lambda spans: blocks(spans)), none, block, lambda s: F.flatten(s["out"]))
 
 
 def digits(text: Column) -> Column:

@@ -100,5 +100,5 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def whole(pattern: str) -> str:
-    """A pattern between characters that aren't letters, digits or underscores, in any case."""
-    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+    r"""A pattern of whole words, in any case."""
+    return rf"(?iu)\b(?:{pattern})\b"

@@ -18,19 +18,19 @@ INJECTION = [
     r"(?iu)olvida\s+(todo|todas\s+las\s+instrucciones|lo\s+anterior)",
     whole(r"you\s+are\s+now"),
     whole(r"ahora\s+(eres|act[uú]as?\s+como)"),
-    whole(r"disregard") + r"(?s:.{0,40})(?<![\p{L}\p{N}_])(instructions?|prompts?|rules?|context|previous|prior)",
-    whole(r"desestima|haz\s+caso\s+omiso") + r"(?s:.{0,40})(?<![\p{L}\p{N}_])(instrucciones|reglas|contexto|prompt|anterior(es)?|previ[ao]s?)",
+    whole(r"disregard") + r"(?s:.{0,40})\b(instructions?|prompts?|rules?|context|previous|prior)",
+    whole(r"desestima|haz\s+caso\s+omiso") + r"(?s:.{0,40})\b(instrucciones|reglas|contexto|prompt|anterior(es)?|previ[ao]s?)",
 ]
 # Personal data that a request may not hold, in order.
 PERSONAL = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("iban", r"(?<![\p{L}\p{N}_])[A-Z]{2}\d{2}[A-Z0-9]{10,30}(?![\p{L}\p{N}_])"),
+    ("iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"),
     ("phone", r"(?:\+\d{1,3}[\s.-]?)?(?:\d[\s.-]?){9,12}\d"),
 ]
 # Words that decide the tier.
 NDA = [whole(r"nda|non[- ]?disclosure|confidential|under embargo|legal hold"), whole(r"acuerdo\s+de\s+confidencialidad|confidencial|bajo\s+secreto|retenci[oó]n\s+legal")]
 REGULATORY = [whole(r"hipaa|gdpr|rgpd|sox|pci[- ]?dss|fda|iso[- ]?27001|ccpa|lopd")]
-TECHNICAL = r"(?iu)(?<![\p{L}\p{N}_])(docker|kubernetes|k8s|microservice|microservices|microservicio|microservicios|terraform|iac|helm|grpc|graphql|kafka|airflow|spark|rabbitmq)(?![\p{L}\p{N}_])"
+TECHNICAL = r"(?iu)\b(docker|kubernetes|k8s|microservice|microservices|microservicio|microservicios|terraform|iac|helm|grpc|graphql|kafka|airflow|spark|rabbitmq)\b"
 # Rules for statements that must not be forgotten.
 ANCHORS = [
     ("nda", r"nda|non[- ]?disclosure|under embargo|legal hold"),
@@ -105,8 +105,21 @@ def anchor_rules(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(whole(p)), n) for n, p in ANCHORS])))
 
 
-def scope_output(df: DataFrame, threshold: int = 30, prefix: str = "Out of scope:") -> DataFrame:
-    """Rewrites answers of low confidence (columns confidence, summary, weeks, cost) that don't say so."""
-    low = (F.col("confidence") < threshold) & ~F.startswith("summary", F.lit(prefix))
-    told = F.concat(F.lit(prefix + " "), F.left("summary", F.lit(400)))
-    return df.withColumns({"rewritten": low, "summary": F.when(low, told).otherwise(F.col("summary")), "weeks": F.when(low, 1).otherwise(F.col("weeks")), "cost": F.when(low, 0).otherwise(F.col("cost"))})
+#: The one phase of an answer that sizes nothing, and the longest summary.
+PLACEHOLDER = ("Not estimated", 1, 0, "Scope, integrations and team must be known to size this.")
+SUMMARY_CHARS, QUOTED_CHARS = 1200, 400
+
+
+def scope_output(df: DataFrame, threshold: int = 30, prefix: str = "Out of scope:", reason: str = "") -> DataFrame:
+    """Rewrites answers of low confidence (columns confidence, summary, weeks, cost and, if there are any,
+    phases) that don't say so: the summary tells why and quotes the old one, one placeholder phase of no
+    cost stands for all. A null summary is empty."""
+    summary = F.coalesce("summary", F.lit(""))
+    low = (F.col("confidence") < threshold) & ~F.startswith(summary, F.lit(prefix))
+    told = F.left(F.concat(F.lit(f"{prefix} {reason}"), F.left(summary, F.lit(QUOTED_CHARS))), F.lit(SUMMARY_CHARS))
+    out = {"rewritten": low, "summary": F.when(low, told).otherwise(F.col("summary")), "weeks": F.when(low, 1).otherwise(F.col("weeks")), "cost": F.when(low, 0).otherwise(F.col("cost"))}
+    if "phases" in df.columns:
+        kind = df.schema["phases"].dataType
+        only = F.array(F.struct(*[F.lit(v) for v in PLACEHOLDER])).cast(kind)
+        out["phases"] = F.when(low, only).otherwise(F.col("phases"))
+    return df.withColumns(out)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
-from ..functions.spans import bound, luhn, matches, mod97
+from ..functions.spans import bound, luhn, matches, mod97, without_overlaps
 from ..sources.keyed import KeyedTable
 
 # Detectors as (type, pattern, score), and words that are never personal.
@@ -32,7 +32,7 @@ def spans(text: Column, kind: str, pattern: str, score: float) -> Column:
     found = matches(text, pattern)
     if kind in CHECKS:
         found = F.filter(found, lambda s: CHECKS[kind](s["value"]))
-    return F.transform(found, lambda s: F.struct(s["start"], s["stop"], F.lit(kind).alias("kind"), F.lit(score).alias("score"), s["value"]))
+    return F.transform(found, lambda s: F.struct(s["start"], s["stop"], s["at"], F.lit(kind).alias("kind"), F.lit(score).alias("score"), s["value"]))
 
 
 def gazetteer(kind: str, names: list[str], score: float = 0.85) -> tuple[str, str, float]:
@@ -44,20 +44,29 @@ def is_blacklisted(value: Column) -> Column:
     return F.lower(F.trim(value)).isin(BLACKLIST)
 
 
-def detect(text: Column, threshold: float = THRESHOLD, detectors: Sequence[tuple[str, str, float]] = tuple(DETECTORS)) -> Column:
-    """Spans of all detectors with at least the threshold, without blacklisted words; where they
-    overlap, the earliest start stands, of equal starts the longest, then the surest."""
+#: A span that was found: places in code points, and the bytes before it.
+SPAN = "struct<start:int,stop:int,at:int,kind:string,value:string>"
+
+
+def resolved(text: Column, threshold: float = THRESHOLD, detectors: Sequence[tuple[str, str, float]] = tuple(DETECTORS)) -> Column:
+    """Spans of all detectors with at least the threshold; where they overlap, the earliest start stands, of
+    equal starts the longest, then the surest."""
     every = F.concat(*[spans(text, k, p, s) for k, p, s in detectors if s >= threshold])
-    every = F.filter(every, lambda s: ~is_blacklisted(s["value"]))
-    order = F.array_sort(F.transform(every, lambda s: F.struct(s["start"], (-s["stop"]).alias("last"), (-s["score"]).alias("doubt"), s["kind"], s["value"])))
-    first = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>").alias("out"))
+    order = F.array_sort(F.transform(every, lambda s: F.struct(s["start"], (-s["stop"]).alias("last"), (-s["score"]).alias("doubt"), s["kind"], s["value"], s["at"])))
+    plain = F.transform(order, lambda s: F.struct(s["start"].alias("start"), (-s["last"]).alias("stop"), s["at"].alias("at"), s["kind"].alias("kind"), s["value"].alias("value")))
+    return without_overlaps(plain.cast(f"array<{SPAN}>"), SPAN)
+
+
+def detect(text: Column, threshold: float = THRESHOLD, detectors: Sequence[tuple[str, str, float]] = tuple(DETECTORS)) -> Column:
+    """The spans that are to be replaced: those that stand, without words of the blacklist. Overlaps come
+    first, so a blacklisted span hides what it overlaps."""
+    return F.filter(resolved(text, threshold, detectors), lambda s: ~is_blacklisted(s["value"]))
 
-    def step(state: Column, s: Column) -> Column:
-        stop = -s["last"]
-        kept = F.struct(stop.alias("until"), F.concat(state["out"], F.array(F.struct(s["start"].alias("start"), stop.alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("out"))
-        return F.when(s["start"] >= state["until"], kept).otherwise(state)
 
-    return F.when(F.size(order) > 0, F.aggregate(order, first, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>"))
+def detection_report(found: Column) -> Column:
+    """(detected, replaced, skipped) of the spans that stand in a text: skipped are blacklisted ones."""
+    skipped = F.size(F.filter(found, lambda s: is_blacklisted(s["value"])))
+    return F.struct(F.size(found).alias("detected"), (F.size(found) - skipped).alias("replaced"), skipped.alias("skipped"))
 
 
 def entities_by_type(found: DataFrame, by: str, spans_col: str = "found") -> DataFrame:
@@ -73,15 +82,17 @@ def pseudonym(kind: Column, digest: Column) -> Column:
 
 
 def replace_spans(text: Column, found: Column, key: str) -> Column:
-    """The text with each span (in order, without overlaps) replaced by its pseudonym: the pieces
-    between spans and the pseudonyms are joined once."""
+    """The text with each span (in order, without overlaps) replaced by its pseudonym: the pieces between
+    spans and the pseudonyms are joined once. The text is cut by bytes, so a piece costs its own length."""
 
-    def joined(spans_: Column) -> Column:
-        before = F.transform(spans_, lambda s, i: F.when(i == 0, 0).otherwise(F.get(spans_, i - 1)["stop"]))
-        parts = F.zip_with(spans_, before, lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), pseudonym(s["kind"], hmac_sha256(key, s["value"]))))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(spans_, -1)["stop"] + 1, F.length(text)))
+    def joined(spans_: Column, raw: Column) -> Column:
+        end = lambda s: s["at"] + F.octet_length(s["value"])
+        before = F.transform(spans_, lambda s, i: F.when(i == 0, 0).otherwise(end(F.get(spans_, i - 1))))
+        piece = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+        parts = F.zip_with(spans_, before, lambda s, at: F.concat(piece(at, s["at"]), pseudonym(s["kind"], hmac_sha256(key, s["value"]))))
+        return F.concat(F.array_join(parts, ""), piece(end(F.element_at(spans_, -1)), F.octet_length(raw)))
 
-    return F.when(F.size(found) > 0, bound(found, joined)).otherwise(text)
+    return F.when(F.size(found) > 0, bound(text.cast("binary"), lambda raw: bound(found, lambda spans_: joined(spans_, raw)))).otherwise(text)
 
 
 def mapping(values: DataFrame, key: str) -> DataFrame:

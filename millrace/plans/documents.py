@@ -86,6 +86,21 @@ def pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", privacy.detect(text).alias("found"), "text").select("doc_id", F.size("found").alias("n_spans"), privacy.replace_spans(F.col("text"), F.col("found"), "change-me-in-prod").alias("text"))
 
 
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_PADS = [bytes(b ^ p for b in b"change-me-in-prod".ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+
+
+@query(f"""
+SELECT doc_id, len(mails)::INT AS detected, array_to_string(list_transform(range(len(gaps)), lambda i: gaps[i + 1] || CASE WHEN i < len(mails)
+  THEN 'user' || left(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(mails[i + 1])))), 8) || '@example.org' ELSE '' END), '') AS text
+FROM (SELECT doc_id, regexp_extract_all(t, '{_MAIL}') AS mails, string_split_regex(t, '{_MAIL}') AS gaps FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+""")
+def pseudonymous_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), privacy.resolved(text, detectors=privacy.DETECTORS[:1]).alias("found"))
+    return rows.select("doc_id", privacy.detection_report(F.col("found"))["detected"].alias("detected"), privacy.replace_spans(F.col("text"), F.col("found"), "change-me-in-prod").alias("text"))
+
+
 @query("SELECT source || ':' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ':u' || (doc_id % 7) ELSE '' END AS id FROM documents")
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
@@ -179,13 +194,17 @@ def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@query("""
-SELECT doc_id, low AS rewritten, CASE WHEN low THEN 'Out of scope: ' || left(s, 400) ELSE s END AS summary, CASE WHEN low THEN 1 ELSE 7 END AS weeks, CASE WHEN low THEN 0 ELSE 900 END AS cost
+@query(r"""
+SELECT doc_id, low AS rewritten, CASE WHEN low THEN left('Out of scope: too little is known. ' || left(s, 400), 1200) ELSE s END AS summary, CASE WHEN low THEN 1 ELSE 7 END AS weeks, CASE WHEN low THEN 0 ELSE 900 END AS cost,
+  CASE WHEN low THEN 'Not estimated' ELSE array_to_string(regexp_extract_all(left(s, 30), '[^\t\n\v\f\r ]+'), ',') END AS phase_names
 FROM (SELECT doc_id, text AS s, (doc_id * 7 % 100) < 30 AND NOT starts_with(text, 'Out of scope:') AS low FROM documents)
 """)
 def output_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 100).alias("confidence"), F.col("text").alias("summary"), F.lit(7).alias("weeks"), F.lit(900).alias("cost"))
-    return guardrails.scope_output(df).select("doc_id", "rewritten", "summary", "weeks", "cost")
+    words = F.regexp_extract_all(F.left("text", F.lit(30)), F.lit(r"[^\t\n\x0B\f\r ]+"), F.lit(0))
+    phases = F.transform(words, lambda w: F.struct(w.alias("name"), F.lit(2).alias("duration_weeks"), F.lit(300).alias("cost"), w.alias("summary")))
+    df = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7 % 100).alias("confidence"), F.col("text").alias("summary"), F.lit(7).alias("weeks"), F.lit(900).alias("cost"), phases.alias("phases"))
+    got = guardrails.scope_output(df, reason="too little is known. ")
+    return got.select("doc_id", "rewritten", "summary", "weeks", "cost", F.array_join(F.transform("phases", lambda p: p["name"]), ",").alias("phase_names"))
 
 
 _ATTACHED = "(SELECT doc_id, CASE doc_id % 13 WHEN 0 THEN '  ' WHEN 1 THEN 'too little' WHEN 2 THEN repeat(chr(1), length(text)::INT) || left(text, 20) ELSE text END AS t, CASE doc_id % 3 WHEN 0 THEN 'pdf' ELSE 'docx' END AS kind FROM documents)"
