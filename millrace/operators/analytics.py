@@ -10,19 +10,39 @@ TOKEN_BUCKETS = [0, 3500, 4500, 5500, 6500, 9000]
 LIMITS = [4000, 6000, 8000, 10000, 15000]
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
-    """(by, p50, ...): nearest-rank percentiles, the value at place ceil(p n / 100) in order.
+#: Ranges of values that a group is cut into for its percentiles.
+RANGES = 64
 
-    Equal values are counted before the shuffle and running counts are taken in sorted order, so no
-    task holds a group's values in memory. Groups without a value are left out.
+
+def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...], ranges: int = RANGES) -> DataFrame:
+    """(by, p50, ...): nearest-rank percentiles of numbers, the value at place ceil(p n / 100) in order.
+
+    Equal values are counted before the shuffle. A group's values are cut into ranges by a mergeable sketch;
+    only the ranges' sums are put in order, and only the ranges in which a percentile lies are sorted, each
+    by a task of its own. The result is exact, as the sketch only decides where ranges end. Groups
+    without a value are left out.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*by)
-    placed = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy("__value").rowsBetween(Window.unboundedPreceding, 0))})
-    total = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
-    same = [placed[c].eqNullSafe(total[c]) for c in by]
-    both = placed.join(total, same).select(*[placed[c] for c in by], "__value", "__upto", "__all")
-    return both.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") * 100 >= F.col("__all") * p, F.col("__value"))).alias(f"p{p}") for p in percents])
+    group = [f"__{c}" for c in by]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(g) for c, g in zip(by, group, strict=True)], F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    edges = counts.groupBy(*group).agg(F.percentile_approx("__value", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("__edges"))
+    ranged = _same_group(counts, edges, group).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__value")))).drop("__edges")
+    sums = ranged.groupBy(*group, "__range").agg(F.sum("__n").alias("__in"))
+    whole = Window.partitionBy(*group)  # over a row for each range
+    sums = sums.withColumns({"__upto": F.sum("__in").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__in").over(whole)})
+    place = {p: F.ceil(F.col("__all") * p / 100) for p in percents}
+    holds = {p: (F.col("__upto") >= place[p]) & (F.col("__upto") - F.col("__in") < place[p]) for p in percents}
+    targets = sums.groupBy(*group).agg(*[F.max(F.when(holds[p], F.struct("__range", (place[p] - F.col("__upto") + F.col("__in")).alias("place")))).alias(f"__t{p}") for p in percents])
+    asked = _same_group(ranged, targets, group).where(F.array_contains(F.array(*[F.col(f"__t{p}.__range") for p in percents]), F.col("__range")))
+    inside = Window.partitionBy(*group, "__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.withColumn("__at", F.sum("__n").over(inside))
+    found = lambda p: F.min(F.when((F.col("__range") == F.col(f"__t{p}.__range")) & (F.col("__at") >= F.col(f"__t{p}.place")), F.col("__value")))
+    return asked.groupBy(*group).agg(*[found(p).alias(f"p{p}") for p in percents]).withColumnsRenamed(dict(zip(group, by, strict=True)))
+
+
+def _same_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with what ``groups`` (a row each) says of their group; null is a group."""
+    named = groups.withColumnsRenamed({c: f"{c}_g" for c in by})
+    return rows.join(named, [rows[c].eqNullSafe(named[f"{c}_g"]) for c in by]).drop(*[f"{c}_g" for c in by])
 
 
 def bucket(value: Column, edges: list[int]) -> Column:

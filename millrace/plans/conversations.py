@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import documents, guardrails, sessions
+from ..operators import documents, guardrails, needles, sessions
 from .base import query, table
 
 _ORDER = "PARTITION BY conv_id ORDER BY turn, role, text"
@@ -122,9 +122,9 @@ SELECT conv_id, item_id, min(turn) AS first_turn FROM conversations, (SELECT ite
 """)
 def facts_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("w"))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
-    # A query set of needles against all turns: Catalyst broadcasts the needles while they are small.
-    return turns.join(facts, F.contains("t", F.col("w"))).groupBy("conv_id", "item_id").agg(F.min("turn").alias("first_turn"))
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn", "role").alias("key"), F.lower("text").alias("t"))
+    met = needles.found_in(facts, turns, "w", "key", "t").join(facts, F.col("needle") == F.col("w"))
+    return met.groupBy("key.conv_id", "item_id").agg(F.min("key.turn").alias("first_turn"))
 
 
 @query("SELECT conv_id, turn, role, n::INT AS turn_index FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n <= 3")

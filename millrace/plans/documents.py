@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.firsts import first_values
 from ..functions.text import document_id, drop_reason, is_placeholder, nfkc, tidy, word_count
 from ..operators import attachments, catalog, documents, guardrails, privacy
 from .base import query, table
@@ -115,6 +116,19 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(first, "text_md5").where("doc_id > first").select("text_md5", "doc_id")
 
 
+@query("""
+SELECT source, count(*) AS duplicates, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') AS examples FROM (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r > 1 GROUP BY source
+""")
+def duplicate_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    first = df.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("first"))
+    later = df.join(first, F.col("digest").eqNullSafe(F.col("d"))).where("doc_id > first")
+    counts = later.groupBy("source").agg(F.count("*").alias("duplicates"))
+    few = first_values(later, ["source"], F.col("doc_id"), 3).withColumnRenamed("source", "s")
+    return counts.join(few, F.col("source").eqNullSafe(F.col("s"))).select("source", "duplicates", F.array_join("firsts", ",").alias("examples"))
+
+
 _MARKED = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '--- Page 1 ---' || chr(10) || left(text, length(text) // 2) || chr(10) || '--- Page 2 ---' || chr(10) || substr(text, length(text) // 2 + 1) END AS text FROM documents)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.firsts import first_values
 from ..functions.hashing import hmac_sha256
 from ..functions.records import hours, money, parse_amount, parse_date
 from ..functions.text import client_key, estimated_tokens, normalise_currency, unmask_null
@@ -236,6 +237,16 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).agg(F.countDistinct(F.substring_index("chunk_id", "::", 1)).alias("budgets"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"), F.round(F.sum("tokens") * 0.02 / 1e6, 8).alias("cost_usd"), F.count_if(F.col("tokens") > 28).alias("oversized"))
 
 
+@query(f"""
+SELECT brand, list_aggregate(list_slice(list_sort(list(chunk_id)), 1, 10), 'string_agg', ',') AS first_ids, count(*) AS oversized FROM (
+  SELECT chunk_id, regexp_extract(text, 'Stack: ([^,]*)', 1) AS brand FROM ({_CHUNKS}) WHERE tokens > 22) GROUP BY brand
+""")
+def oversized_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir).where(F.col("tokens") > 22).withColumn("brand", F.regexp_extract("text", "Stack: ([^,]*)", 1))
+    counts = rows.groupBy("brand").agg(F.count("*").alias("oversized"))
+    return first_values(rows, ["brand"], F.col("chunk_id"), 10).join(counts, "brand").select("brand", F.array_join("firsts", ",").alias("first_ids"), "oversized")
+
+
 @query("SELECT '| ' || 'n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation")
 def nation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.documents import markdown_table
