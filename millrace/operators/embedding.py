@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +83,60 @@ def search(vectors: DataFrame, question: list[float], k: int, metadata: Column |
     rows = vectors if metadata is None else vectors.where(metadata)
     asked = F.array(*[F.lit(float(x)) for x in question])
     return rows.select("vec_id", F.round(cosine(F.col("embedding"), asked), 6).alias("similarity")).where("similarity is not null").orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+#: Texts in one request, and seconds to wait after each time that a vectoriser is told to slow down.
+REQUEST_TEXTS, WAITS = 100, (1.0, 2.0, 4.0, 8.0)
+#: What a vectoriser answers: the place of a text in the request, and its vector, in any order.
+Vectorise = Callable[[list[str]], list[tuple[int, list[float]]]]
+
+
+class SlowDown(Exception):
+    """A vectoriser's limit of requests is reached; the only error that waiting mends."""
+
+
+def ask(vectorise: Vectorise, texts: list[str], dimension: int, waits: tuple[float, ...] = WAITS) -> list[list[float]]:
+    """The vectors of the texts in their order. A request is repeated after ``SlowDown`` as often as there
+    are waits; other errors are the caller's, as is an answer that lacks a text or has another dimension."""
+    for wait in (*waits, None):
+        try:
+            answer = dict(vectorise(texts))
+            break
+        except SlowDown:
+            if wait is None:
+                raise
+            time.sleep(wait)
+    if sorted(answer) != list(range(len(texts))):
+        raise ValueError(f"{len(texts)} texts were sent, the answer has places {sorted(answer)[:5]}... ({len(answer)})")
+    wrong = next((len(v) for v in answer.values() if len(v) != dimension), None)
+    if wrong is not None:
+        raise ValueError(f"vectors have {wrong} dimensions instead of {dimension}")
+    return [answer[k] for k in range(len(texts))]
+
+
+def embed(chunks: DataFrame, vectorise: Vectorise, dimension: int, text: str = "text", most: int = REQUEST_TEXTS, waits: tuple[float, ...] = WAITS) -> DataFrame:
+    """``chunks`` with ``embedding`` and ``request``, the number of the request in its task.
+
+    Requests are cut across Arrow batches, so all of a task's are full but the last. Null texts are sent
+    empty. A task that fails is run again as a whole by Spark.
+    """
+    schema = chunks.withColumns({"embedding": F.array(F.lit(0.0)), "request": F.lit(0)}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, number = None, 0
+
+        def answered(rows: pa.Table, number: int) -> pa.RecordBatch:
+            vectors = ask(vectorise, [t or "" for t in rows.column(text).to_pylist()], dimension, waits)
+            out = rows.combine_chunks().append_column("embedding", pa.array(vectors, pa.list_(pa.float64()))).append_column("request", pa.array([number] * len(rows), pa.int32()))
+            return out.to_batches()[0]
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            waiting = rows if waiting is None else pa.concat_tables([waiting, rows])
+            while len(waiting) >= most:
+                yield answered(waiting.slice(0, most), number)
+                waiting, number = waiting.slice(most), number + 1
+        if waiting is not None and len(waiting):
+            yield answered(waiting, number)
+
+    return chunks.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, cache_text
-from ..operators import analytics, attachments, privacy, report, requests, validation
+from ..operators import analytics, attachments, embedding, metrics, privacy, report, requests, validation
 from .base import query, table
 from .records import _HMAC, _KEY
 
@@ -90,3 +90,43 @@ def prompt_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("")
     text = report.prompt(F.col("p_name"), none, none, none, F.array().cast("array<string>"), none)
     return table(spark, sf_dir, "part").select("p_partkey", report.prompt_hash(text).alias("prompt_hash"))
+
+
+def _length_metric(o: dict) -> tuple[float, bool, str]:
+    if o["value"] > 90:
+        raise ValueError(f"event {o['event_id']} is out of range")
+    return len(o["event_type"]) / 10, len(o["event_type"]) > 4, o["event_type"]
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, value, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN NULL ELSE value::VARCHAR END AS v FROM events), n AS (SELECT *, TRY_CAST(v AS DOUBLE) AS x FROM e)
+SELECT event_id, 0 AS place, 'latency' AS name, coalesce((x <= 20)::INT, 0)::DOUBLE AS score, coalesce(x <= 20, false) AS passed,
+  CASE WHEN v IS NULL THEN 'no value' WHEN x IS NULL THEN 'not a number: ' || v WHEN x <= 20 THEN printf('%.2f ms, %.2f ms left', x, 20 - x) ELSE printf('%.2f ms, %.2f ms over', x, x - 20) END AS details FROM n
+UNION ALL SELECT event_id, 1, 'length', CASE WHEN value > 90 THEN 0 ELSE length(event_type) / 10 END, value <= 90 AND length(event_type) > 4, CASE WHEN value > 90 THEN 'metric raised ValueError: event ' || event_id || ' is out of range' ELSE event_type END FROM e
+UNION ALL SELECT event_id, 2, 'spent', (value <= 50)::INT::DOUBLE, value <= 50, CASE WHEN value <= 50 THEN printf('%.2f USD, %.2f USD left', value, 50 - value) ELSE printf('%.2f USD, %.2f USD over', value, value - 50) END FROM e
+""")
+def metric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, "").when(k == 1, "n/a").when(k == 2, F.lit(None).cast("string")).otherwise(F.col("value").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value", text.alias("v"))
+    return metrics.run_metrics(rows, ["event_id"], [metrics.Metric("latency", metrics.within(F.col("v"), 20, "ms")), metrics.Metric("length", _length_metric), metrics.Metric("spent", metrics.within(F.col("value"), 50, "USD"))])
+
+
+class _Letters:
+    """A vectoriser for tests: a text's length, spaces and digits. It answers from the last text to the first,
+    and tells every request to slow down once."""
+
+    def __init__(self) -> None:
+        self.asked: set[str] = set()
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, list[float]]]:
+        if texts[0] not in self.asked:
+            self.asked.add(texts[0])
+            raise embedding.SlowDown
+        return [(k, [float(len(t)), float(t.count(" ")), float(sum(c in "0123456789" for c in t))]) for k, t in reversed(list(enumerate(texts)))]
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces, length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS digits FROM documents")
+def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), _Letters(), 3, waits=(0.0,))
+    return got.select("doc_id", *[F.get("embedding", F.lit(k)).alias(n) for k, n in enumerate(("chars", "spaces", "digits"))])

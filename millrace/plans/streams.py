@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import Scope
-from ..streaming import caches
+from ..streaming import caches, deltas
 from ..streaming import sessions as streams
 from ..streaming.state import fed, feed, run_on
 from .base import query, table
@@ -90,3 +90,23 @@ FROM snapshots s JOIN words USING (conv_id)
 def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = in_two_runs(spark, _messages(spark, sf_dir), lambda s: streams.session_states(s, 2))
     return got.where("kind = 'ended' and turn_index > 0").drop("kind")
+
+
+_NUMBERED = "(SELECT *, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))"
+
+
+# Odd deltas first, then the others and each third one again; every fifth stream has no end mark, every seventh lacks its second delta.
+@query(f"""
+SELECT conv_id AS stream_id, coalesce(string_agg(text, '' ORDER BY seq) FILTER (conv_id % 7 <> 0 OR seq < 1), '') AS text, count(*) FILTER (conv_id % 7 <> 0 OR seq < 1) AS deltas,
+  count(*) FILTER (seq % 3 = 0)::BIGINT AS repeats, conv_id % 5 <> 0 AND conv_id % 7 <> 0 AS complete FROM {_NUMBERED} GROUP BY conv_id
+""")
+def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").withColumns({"seq": (F.row_number().over(order) - 1).cast("long"), "n": F.count("*").over(Window.partitionBy("conv_id"))})
+    rows = rows.select(F.col("conv_id").cast("long").alias("stream_id"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("at"), "seq", F.col("text").alias("delta"), ((F.col("seq") == F.col("n") - 1) & (F.col("conv_id") % 5 != 0)).alias("done"))
+    rows = rows.where("stream_id % 7 <> 0 or seq <> 1")
+    again = rows.where("seq % 3 = 0").withColumn("at", F.col("at") + F.expr("interval 1 minute"))
+    later = rows.where("seq = 0").limit(1).select(F.lit(-1).cast("long").alias("stream_id"), F.col("at") + F.expr("interval 2 days"), "seq", "delta", F.lit(False))
+    # the repeats follow in a part of their own before the last numbers, or a text would be told before them
+    parts = [rows.where("seq % 2 = 1 and not done"), rows.where("seq % 2 = 0 and not done").union(again.where("not done")), rows.where("done").union(again.where("done")), later.toDF(*rows.columns)]
+    return in_two_runs(spark, parts, lambda s: deltas.assembled_stream(s, idle_ms=3_600_000))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import sessions as batch
 from millrace.plans.streams import in_two_runs
 from millrace.sources.storage import Scope, create_text, names, read_text
-from millrace.streaming import caches, sessions
+from millrace.streaming import caches, deltas, sessions
 
 
 def at(seconds):
@@ -129,3 +129,19 @@ def test_folders_and_files_made_at_once(spark):
         spark.range(2).write.parquet(other.folder("rows"))
     assert names(spark, scope.root) == [] and spark.read.parquet(other.folder("rows")).select(F.count("*")).first()[0] == 2
     assert other.close() and not other.close()
+
+
+def test_deltas_out_of_order_twice_and_cut_off(spark):
+    rng = random.Random(9)
+    whole, rows = {}, []
+    for stream in range(12):
+        n = rng.randint(1, 9)
+        parts = [rng.choice(["a", "é ", "", None, "end"]) for _ in range(n)]
+        whole[stream] = ("".join(p or "" for p in parts), n, stream % 4 != 0)
+        rows += [(stream, at(0), k, p, k == n - 1 and stream % 4 != 0) for k, p in enumerate(parts)]
+    rng.shuffle(rows)
+    twice = rows + rng.sample(rows, 20) + [(None, at(0), 0, "x", True), (5, at(0), None, "x", True)]
+    later = [(0, at(1), 0, "late", False), (1, at(2), 0, "late", False), (99, at(10**6), 0, None, False)]
+    schema = "stream_id long, at timestamp, seq long, delta string, done boolean"
+    got = in_two_runs(spark, parts_of(spark, [*twice, *later], schema, (25, len(twice), len(twice) + 2)), lambda s: deltas.assembled_stream(s, 60_000)).collect()
+    assert sorted((r["stream_id"], r["text"], r["deltas"], r["complete"]) for r in got) == sorted((k, *v) for k, v in whole.items())
