@@ -18,6 +18,7 @@ from ..functions.firsts import first_values
 from ..functions.records import hours, money
 from ..functions.text import document_id, drop_reason, is_placeholder, normalise_text
 from ..sources.files import json_records, local_path, read_files, texts
+from ..sources.pdf import pdf_texts
 from ..sources.storage import Scope
 from ..sources.office import document_blocks, document_sections, workbook_rows, workbook_sheets
 from . import privacy, validation
@@ -49,10 +50,14 @@ def _text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _paged(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages of text layers with page marks; for packed PDF bytes there is no reader here, they are errors."""
-    packed = F.startswith(F.hex("content"), F.lit("25504446"))
+    """Pages: of text layers with page marks, and of packed PDFs, by the first way that gives a text of use."""
+    packed = F.startswith(F.hex(F.substring("content", 1, 4)), F.lit("25504446"))
     units = pages(texts(files.where(~packed)).select("path", "text"))
-    return _plain(units, document=F.col("path"), unit_key=F.col("unit_key"), content=F.col("content")), files.where(packed).select("path", F.lit("no reader of packed PDF").alias("error"))
+    found = pdf_texts(files.where(packed))
+    layers = found.where("error is null").select("path", F.posexplode("pages").alias("n", "content"))
+    layers = layers.select("path", F.format_string("page-%04d", F.col("n") + 1).alias("unit_key"), "content")
+    both = units.select("path", "unit_key", "content").unionByName(layers)
+    return _plain(both, document=F.col("path"), unit_key=F.col("unit_key"), content=F.col("content")), found.where("error is not null").select("path", "error")
 
 
 def _docx(files: DataFrame) -> tuple[DataFrame, DataFrame]:

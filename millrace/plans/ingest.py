@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embedding, ingest, report, validation
-from ..sources import catalog, files, folders
+from ..sources import catalog, files, folders, pdf
 from ..sources.storage import Scope
 from ..streaming.events import shared_folder
 from .base import query, table
+from .made_pdf import make_pdf
 from .documents import _REASON, _SPACE, _TIDY
 from .records import NOW, VALIDATED, raw_records
 
@@ -193,3 +195,26 @@ def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         units = ingest.units(folders.catalog_files(spark, _TEXTS, root, stream=True), _TEXTS)[0]
         units.writeStream.format("parquet").option("path", out).option("checkpointLocation", scope.folder("state")).trigger(availableNow=True).start().awaitTermination()
     return _units(spark.read.schema(units.schema).parquet(out))
+
+
+def _made_pdfs(batches):
+    for batch in batches:
+        ids, made = batch.column(0).to_pylist(), []
+        for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+            data = make_pdf(text or "", packed=i % 2 == 1, damaged=i % 3 == 0)
+            made.append(data[: len(data) // 3] if i % 10 == 9 else data)
+        yield pa.RecordBatch.from_arrays([pa.array([f"lake://pdf/{i}.pdf" for i in ids]), pa.array(made, pa.binary())], names=["path", "content"])
+
+
+# Of documents a PDF each; every third has a damaged table of objects, every tenth is cut off and has no text.
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, length(trim(coalesce(text, ''), chr(10) || ' ')) < 30 AS few FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(lines), 40)) // 40 + 1 AS page, array_to_string(list_slice(lines, (page - 1) * 40 + 1, page * 40), chr(10)) AS t FROM d WHERE doc_id % 10 <> 9 AND NOT few)
+SELECT doc_id, 'page-' || lpad(page::VARCHAR, 4, '0') AS unit_key, CASE WHEN doc_id % 3 = 0 THEN 'scan' ELSE 'table' END AS way, md5(trim(t, chr(10))) AS content_md5 FROM p
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM d WHERE doc_id % 10 = 9 OR few
+""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[\x00\r\f\x0B]", " ").alias("text"))
+    found = pdf.pdf_texts(docs.mapInArrow(_made_pdfs, "path string, content binary"))
+    rows = found.select(F.regexp_extract("path", "([0-9]+)[.]pdf$", 1).cast("long").alias("doc_id"), "way", F.posexplode_outer("pages").alias("n", "content"))
+    return rows.select("doc_id", F.format_string("page-%04d", F.col("n") + 1).alias("unit_key"), "way", F.md5(F.col("content").cast("binary")).alias("content_md5")).withColumn("unit_key", F.when(F.col("way").isNotNull(), F.col("unit_key")))

@@ -101,6 +101,13 @@ def document_sections(blocks: DataFrame) -> DataFrame:
     return out.where("content <> ''").select("path", F.format_string("section-%04d", "section").alias("unit_key"), "title", "content")
 
 
+def document_text(blocks: DataFrame) -> DataFrame:
+    """(path, content): each document as one text, its paragraphs and rows in order, a line each."""
+    rows = blocks.where(F.col("error").isNull() & (F.trim("text") != ""))
+    lines = F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("line"))))
+    return rows.groupBy("path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("content"))
+
+
 def workbook_rows(files: DataFrame) -> DataFrame:
     """(path, sheet, title, hidden, row, cells, error): the rows of workbooks."""
     return _each(files, _workbook, _CELLS)
