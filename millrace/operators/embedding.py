@@ -85,6 +85,11 @@ def search(vectors: DataFrame, question: list[float], k: int, metadata: Column |
     return rows.select("vec_id", F.round(cosine(F.col("embedding"), asked), 6).alias("similarity")).where("similarity is not null").orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
+def request_sizes(budgets: DataFrame, by: list[str], most: int = MOST_BUDGETS) -> DataFrame:
+    """(by..., budgets, too_many): how many budgets each request holds, and whether that is over the limit."""
+    return budgets.groupBy(*by).agg(F.count("*").alias("budgets"), (F.count("*") > most).alias("too_many"))
+
+
 #: Texts in one request, and seconds to wait after each time that a vectoriser is told to slow down.
 REQUEST_TEXTS, WAITS = 100, (1.0, 2.0, 4.0, 8.0)
 #: What a vectoriser answers: the place of a text in the request, and its vector, in any order.

@@ -12,11 +12,6 @@ def score_bar(score: Column, most: int = 5) -> Column:
     return F.concat(F.repeat(F.lit("●"), score), F.repeat(F.lit("○"), F.lit(most) - score))
 
 
-def decision_counts(catalog: DataFrame) -> DataFrame:
-    """(decision, sources)."""
-    return catalog.groupBy("decision").agg(F.count("*").alias("sources"))
-
-
 def quality_lines(catalog: DataFrame) -> DataFrame:
     """(name, line): a Markdown table line for each source, with bars, verdict and decision."""
     bars = F.concat_ws(" | ", *[score_bar(F.col(q)) for q in QUALITIES])
@@ -29,20 +24,49 @@ def freshness_lines(catalog: DataFrame) -> DataFrame:
     return catalog.select("name", F.concat(F.lit("| `"), "name", F.lit("` | "), "refresh", F.lit(" | "), F.col("lag_days").cast("string"), F.lit(" | "), staleness(F.col("lag_days"), F.col("refresh")), F.lit(" |")).alias("line"))
 
 
-def audit(catalog: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """One row ``markdown``: the audit of a catalog (a line a source), and of a run if there is one."""
+def audit(catalog: DataFrame, report: DataFrame | None = None, divergent: DataFrame | None = None) -> DataFrame:
+    """One row ``markdown``: the audit of a catalog (a line a source), and of a run if there is one.
 
-    def section(rows: DataFrame, title: str, head: str) -> DataFrame:
-        columns = head.count("|") - 1
+    Sections without a source are left out. Columns that the catalog lacks (notes, records, size_mb,
+    owners, upstream, pii_types, access_restrictions) show as a dash. ``divergent`` (source, id) names
+    records of the run that came in several versions.
+    """
+    given = lambda c, none="—": F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(none)) if c in catalog.columns else F.lit(none)
+    tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+    def section(rows: DataFrame, title: str, head: str | None = None) -> DataFrame:
+        top = f"## {title}\n\n" + (f"{head}\n|{'---|' * (head.count('|') - 1)}\n" if head else "")
         lines = F.array_sort(F.collect_list(F.struct("name", "line")))
-        return rows.agg(F.concat(F.lit(f"## {title}\n\n{head}\n|{'---|' * columns}\n"), F.array_join(F.transform(lines, lambda r: r["line"]), "\n")).alias("part"))
+        made = rows.agg(F.count("*").alias("n"), F.concat(F.lit(top), F.array_join(F.transform(lines, lambda r: r["line"]), "\n")).alias("part"))
+        return made.where("n > 0").select("part")
+
+    def listed(where: Column, *cells: Column) -> DataFrame:
+        return catalog.where(where).select("name", F.concat(F.lit("- **"), tick(F.col("name")), F.lit("** "), *cells).alias("line"))
 
     counts = catalog.agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("include", "exclude", "review")], F.count("*").alias("n"))
     head = counts.select(F.format_string("# Audit of sources\n\n%d sources: %d included, %d excluded, %d under review", "n", "include", "exclude", "review").alias("part"))
-    parts = [head, section(quality_lines(catalog), "Quality", "| source | completeness | consistency | actuality | reliability | ready | decision |"), section(freshness_lines(catalog), "Freshness", "| source | refresh | days | verdict |")]
+    included, weak = F.col("decision") == "include", F.element_at(F.create_map(*[x for q in QUALITIES for x in (F.lit(q), F.col(q))]), weakest())
+    kinds = F.coalesce(F.nullif(F.array_join("pii_types", ", "), F.lit("")), F.lit("—")) if "pii_types" in catalog.columns else F.lit("—")
+    private = catalog.select("name", row(tick(F.col("name")), F.when(F.col("contains_pii"), "yes").otherwise("no"), kinds, given("access_restrictions")).alias("line"))
+    parts = [
+        head,
+        section(quality_lines(catalog), "Quality", "| source | completeness | consistency | actuality | reliability | ready | decision |"),
+        section(freshness_lines(catalog), "Freshness", "| source | refresh | days | verdict |"),
+        section(listed(included & ~rag_ready(), F.lit("weak in "), weakest(), F.concat(F.lit(" ("), weak.cast("string"), F.lit("/5): ")), given("notes", "no reason given")), "Included though not ready"),
+        section(listed(included, F.concat(F.lit("("), F.col("format"), F.lit(", "), given("records"), F.lit(" records, "), given("size_mb"), F.lit(" MB), business: "), given("owner_business"), F.lit(", technical: "), given("owner_technical"), F.lit(", from: "), given("upstream"))), "Included"),
+        section(listed(F.col("decision") == "review", given("notes")), "Under review"),
+        section(listed(F.col("decision") == "exclude", given("notes")), "Excluded"),
+        section(private, "Personal data", "| source | personal data | kinds | access |"),
+    ]
     if report is not None:
-        line = F.concat(F.lit("| `"), "source", F.lit("` | "), F.col("files_seen").cast("string"), F.lit(" | "), F.col("documents").cast("string"), F.lit(" | "), F.coalesce("errors", "skipped_reason", F.lit("")), F.lit(" |"))
-        parts.append(section(report.select(F.col("source").alias("name"), line.alias("line")), "Run", "| source | files | documents | remarks |"))
+        numbers = ["files_seen", "units_parsed", "units_kept", "documents", "records_valid", "records_quarantined", "records_discarded", "entities_replaced"]
+        ran = report.select(F.col("source").alias("name"), row(tick(F.col("source")), F.col("decision"), *[F.col(c).cast("string") for c in numbers]).alias("line"))
+        parts.append(section(ran, "Last run", "| source | decision | files | units | kept | documents | valid | quarantined | discarded | replaced |"))
+        if divergent is not None:
+            ids = divergent.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("id")), ", ").alias("ids"))
+            parts.append(section(ids.select(F.col("source").alias("name"), F.concat(F.lit("- "), tick(F.col("source")), F.lit(": "), "ids", F.lit(" (the latest date stands)")).alias("line")), "Versions that differ"))
+        parts.append(section(report.where("errors is not null").select(F.col("source").alias("name"), F.concat(F.lit("- "), tick(F.col("source")), F.lit(": "), "errors").alias("line")), "Errors"))
     joined = None
     for k, p in enumerate(parts):
         one = p.select(F.lit(k).alias("k"), "part")

@@ -66,8 +66,8 @@ def snapshots(found: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def carried(value: Column, *order: str, by: str = "conv_id") -> Column:
-    """The last value so far that isn't null or empty."""
-    return F.last(F.when(value.cast("string") != "", value), ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    """The last value so far that says something: not null, not empty, and of numbers not 0."""
+    return F.last(F.when(~value.cast("string").isin("", "0", "0.0"), value), ignorenulls=True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def union_words(lists: Column) -> Column:
@@ -93,3 +93,39 @@ def turn_totals(calls: DataFrame) -> DataFrame:
     turns = calls.groupBy("conv_id", "turn").agg(F.count("*").alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"), exact.alias("cost_usd"))
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("cumulative_usd", F.sum("cost_usd").over(so_far).cast("double")).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
+def provider(model: Column) -> Column:
+    """Who serves a model: what is before its slash, else told by its name; null if neither says."""
+    bare = F.lower(F.substring_index(model, "/", -1))
+    named = F.when(bare.rlike("^(gpt|o[0-9]|text-embedding)"), "openai").when(F.startswith(bare, F.lit("claude")), "anthropic").when(F.startswith(bare, F.lit("gemini")), "google")
+    return F.when(F.contains(model, F.lit("/")), F.lower(F.substring_index(model, "/", 1))).otherwise(named)
+
+
+def union_exact(lists: Column) -> Column:
+    """Items of a list of lists, each once, in the order in which they first came. Case counts; nulls are left out."""
+    return F.array_compact(F.array_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull()))))
+
+
+def metadata_json(name: Column, team: Column, technologies: Column, scope: Column, constraints: Column, rejected: Column) -> Column:
+    """What is known of a project as one JSON text, in which facts are looked for whatever field they are in."""
+    fields = {"project_name": name, "assumed_team_size": team, "mentioned_technologies": technologies, "agreed_scope": scope, "explicit_constraints": constraints, "rejected_options": rejected}
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+OBSERVED = ["session_id", "turn_index", "enriched_transcript_chars", "attachments_total_chars", "messages_in_window", "anchors_count", "summary_chars", "tokens_in", "tokens_out", "cost_usd", "latency_ms", "cache_hit_kind", "last_resolved_tier", "llm_calls", "llm_latency_ms", "model", "attachments_count", "attachments_rejected"]
+
+
+def turn_observed(found: DataFrame, calls: DataFrame, attached: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The 18 columns of ``OBSERVED``, a row for each pair of ``pairs`` (with ``tier`` and ``latency_ms``): the state of its
+    session after it, its calls (conv_id, turn, place, model, tokens_in, tokens_out, cost_usd, latency_ms) added up, the model
+    of the first, and its attachments (conv_id, turn, chars, ok). Sessions don't use caches, which the row says."""
+    exact = F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0)).cast("decimal(18,8)")).cast("double")
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
+    spent = calls.groupBy("conv_id", "turn").agg(F.count("*").alias("llm_calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"), exact.alias("cost_usd"), total("latency_ms").alias("llm_latency_ms"), F.min_by("model", "place").alias("model"))
+    files = attached.groupBy("conv_id", "turn").agg(F.count("*").alias("attachments_count"), F.count_if(~F.col("ok")).alias("attachments_rejected"), total("chars").alias("attachments_total_chars"))
+    said = found.select("conv_id", "turn", "tier", "latency_ms", F.length("question").cast("long").alias("chars"))
+    rows = pair_states(found, size).join(said, ["conv_id", "turn"]).join(spent, ["conv_id", "turn"], "left").join(files, ["conv_id", "turn"], "left")
+    rows = rows.fillna(0, ["llm_calls", "tokens_in", "tokens_out", "cost_usd", "llm_latency_ms", "attachments_count", "attachments_rejected", "attachments_total_chars"])
+    rows = rows.withColumns({"session_id": F.col("conv_id").cast("string"), "enriched_transcript_chars": F.col("chars") + F.col("attachments_total_chars"), "cache_hit_kind": F.lit("none"), "last_resolved_tier": F.col("tier")})
+    return rows.select(*OBSERVED)

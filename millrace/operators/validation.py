@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,10 @@ def budget_checks(now: Column) -> list[Check]:
 def validate(df: DataFrame, checks: list[Check], mode: str = "strict") -> DataFrame:
     """``df`` with ``failures`` (names of all checks that fail) and ``outcome``. In permissive mode
     nothing is discarded. One projection: rows are neither joined nor counted."""
+    # each check is told once; which of the names are fatal is asked of the names
     named = lambda some: F.array_compact(F.array(*[F.when(k.fails, k.name) for k in some])) if some else F.array().cast("array<string>")
-    fatal = F.size(named([k for k in checks if k.discards])) > 0 if mode == "strict" else F.lit(False)
+    fatal_names = [k.name for k in checks if k.discards] if mode == "strict" else []
+    fatal = F.arrays_overlap("failures", F.array(*[F.lit(n) for n in fatal_names])) if fatal_names else F.lit(False)
     out = df.withColumn("failures", named(checks)).withColumn("fatal", fatal)
     outcome = F.when(F.size("failures") == 0, "valid").when(F.col("fatal"), "discarded").otherwise("quarantined")
     return out.withColumn("outcome", outcome).drop("fatal")
@@ -60,3 +63,14 @@ def report(validated: DataFrame) -> DataFrame:
     """One row: total, valid, quarantined, discarded, pass_rate (0 without rows)."""
     n = lambda o: F.count_if(F.col("outcome") == o)
     return validated.agg(F.count("*").alias("total"), n("valid").alias("valid"), n("quarantined").alias("quarantined"), n("discarded").alias("discarded"), F.round(F.coalesce(F.try_divide(n("valid"), F.count("*")), F.lit(0.0)), 6).alias("pass_rate"))
+
+
+def projected(df: DataFrame, contract: str) -> DataFrame:
+    """The contract's columns (a DDL schema) in its order; others are left out. A column that is missing or of
+    another type is an error, and nothing is cast: that would hide a fault of the cleaning."""
+    want = StructType.fromDDL(contract)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f"{f.name}: {have[f.name].simpleString() if f.name in have else 'missing'} instead of {f.dataType.simpleString()}" for f in want.fields if have.get(f.name) != f.dataType]
+    if wrong:
+        raise TypeError("; ".join(wrong))
+    return df.select(*want.names)

@@ -108,9 +108,13 @@ def live_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.live_facts(facts, turns, "l_orderkey").groupBy("l_orderkey", "turn").agg(F.count("*").alias("facts"))
 
 
-@query("SELECT s AS scenario, k AS size_kb, r AS repeat FROM (SELECT unnest(['growing', 'pivot', 'contradiction']) AS s), (SELECT unnest([0, 5, 20, 50, 100]) AS k), (SELECT unnest([0, 1, 2]) AS r)")
+@query("SELECT l_returnflag AS scenario, size_kb, repeat, count(*) FILTER (l_linenumber - 1 = repeat) AS runs FROM lineitem, (SELECT unnest([0, 5, 20, 50, 100]) AS size_kb), (SELECT unnest([0, 1, 2]) AS repeat) GROUP BY ALL")
 def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.inline(evaluation.sweep(["growing", "pivot", "contradiction"], [0, 5, 20, 50, 100], 3)))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.count_if(F.col("l_linenumber") - 1 == r).alias(f"runs_{r}") for r in range(3)])
+    # a scenario for each flag
+    grid = rows.select("*", F.explode(evaluation.sweep(["all"], [0, 5, 20, 50, 100], 3)).alias("g"))
+    runs = F.element_at(F.array(*[F.col(f"runs_{r}") for r in range(3)]), F.col("g.repeat") + 1)
+    return grid.select(F.col("l_returnflag").alias("scenario"), "g.size_kb", "g.repeat", runs.alias("runs"))
 
 
 @query(f"SELECT scenario, round(avg(recall), 6) AS recall_score, avg(recall) >= 0.5 AS recall_passed, round(avg(name_recall), 6) AS name_score, avg(name_recall) >= 0.5 AS name_passed FROM {_TURNS} GROUP BY scenario")
