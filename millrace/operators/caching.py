@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..sources.storage import Scope
 
 TTL_SECONDS = 86_400
 THRESHOLD = 0.85
@@ -28,16 +29,35 @@ def ttl_hits(requests: DataFrame, key: str, at: str, ttl: int = TTL_SECONDS) ->
     ``ttl`` seconds after the miss that made it.
 
     The rule looks back to the last miss, but a request at least ``ttl`` after the one before is a
-    miss whatever came earlier: it begins a segment. Segments are passed in order of time, and only
-    the last miss is kept. A request without a time is a miss.
+    miss whatever came earlier: it begins a segment. Requests are sorted in ranges of key and time, so
+    segments are found by many tasks even for one key; only each range's last time and number of
+    segments are put in order. Segments are passed in order of time, and only the last miss is kept.
+    A request without a time is a miss.
     """
-    order = Window.partitionBy(key).orderBy("__at", "request_id")
-    rows = requests.select(key, "request_id", F.col(at).cast("timestamp").cast("long").alias("__at"))
-    rows = rows.withColumn("__first", F.coalesce(F.col("__at") - F.lag("__at").over(order) >= ttl, F.lit(True)))
-    rows = rows.withColumn("__segment", F.count_if("__first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.repartition(key, "__segment").sortWithinPartitions(key, "__segment", "__at", "request_id", F.desc("__first"))
-    schema = rows.select(key, "request_id").withColumn("hit", F.lit(True)).schema
-    return rows.select(key, "request_id", "__at", "__first").mapInArrow(lambda batches: _pass(batches, ttl), schema)
+    rows = requests.select(F.col(key).alias("__key"), "request_id", F.col(at).cast("timestamp").cast("long").alias("__at"))
+    order = ["__key", "__at", "request_id"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    path = Scope(requests.sparkSession, "cache").folder("sorted")  # the ranges' numbers must stay as they are
+    sorted_.write.parquet(path)
+    rows = requests.sparkSession.read.schema(sorted_.schema).parquet(path)
+    ranges = Window.partitionBy("__key").orderBy("__range")  # over a row for each range of a key
+    last = rows.groupBy("__key", "__range").agg(F.max("__at").alias("__last")).withColumn("__before", F.max("__last").over(ranges.rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy("__key", "__range").orderBy("__at", "request_id")
+    rows = _with_range(rows, last.drop("__last"))
+    gap = F.col("__at") - F.coalesce(F.lag("__at").over(inside), F.col("__before"))
+    rows = rows.withColumn("__first", F.coalesce(gap >= ttl, F.lit(True))).drop("__before")
+    begun = rows.groupBy("__key", "__range").agg(F.count_if("__first").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.count_if("__first").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = _with_range(rows.withColumn("__upto", upto), begun.drop("__n")).withColumn("__segment", F.col("__upto") + F.col("__ahead"))
+    rows = rows.repartition("__key", "__segment").sortWithinPartitions("__key", "__segment", "__at", "request_id", F.desc("__first"))
+    schema = rows.select(F.col("__key").alias(key), "request_id").withColumn("hit", F.lit(True)).schema
+    return rows.select(F.col("__key").alias(key), "request_id", "__at", "__first").mapInArrow(lambda batches: _pass(batches, ttl), schema)
+
+
+def _with_range(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` with what ``told`` says of their key and range; null is a key."""
+    named = told.withColumnsRenamed({"__key": "__k", "__range": "__r"})
+    return rows.join(named, rows["__key"].eqNullSafe(named["__k"]) & (rows["__range"] == named["__r"])).drop("__k", "__r")
 
 
 def _pass(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatch]:
@@ -57,17 +77,22 @@ def _pass(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], names=[*batch.schema.names[:2], "hit"])
 
 
-def nearest_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, threshold: float = THRESHOLD, block: int = BLOCK, log_only: bool = False) -> DataFrame:
-    """Each query's most similar cached vector of its bucket (ties: smallest id) and whether it is a hit
-    (never if ``log_only``).
+def pairs_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, block: int = BLOCK) -> DataFrame:
+    """(query_id, vec_id, bucket, similarity) of all queries and cached vectors of one bucket, but a vector with itself.
 
     A large bucket's cached vectors are dealt over blocks of about ``block`` rows; a query meets
-    every block of its bucket, and the best of each block are combined.
+    every block of its bucket.
     """
     sizes = cached.groupBy(F.col(bucket).alias("b")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col(bucket).alias("b"), F.col("embedding").alias("q")).join(sizes, "b").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     c = cached.select("vec_id", F.col(bucket).alias("b"), F.col("embedding").alias("c")).join(sizes, "b").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    pairs = q.join(c, ["b", "block"]).where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("c")), 6).alias("similarity"))
+    return q.join(c, ["b", "block"]).where("query_id <> vec_id").select("query_id", "vec_id", F.col("b").alias(bucket), F.round(cosine(F.col("q"), F.col("c")), 6).alias("similarity"))
+
+
+def nearest_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, threshold: float = THRESHOLD, block: int = BLOCK, log_only: bool = False) -> DataFrame:
+    """Each query's most similar cached vector of its bucket (ties: smallest id) and whether it is a hit
+    (never if ``log_only``). The best of each block are combined."""
+    pairs = pairs_in_bucket(queries, cached, bucket, block)
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("vec_id", "similarity"), F.struct("similarity", (-F.col("vec_id")).alias("o"))).alias("m"))
     hit = F.lit(False) if log_only else F.col("m.similarity") >= threshold
     return best.select("query_id", "m.vec_id", "m.similarity", hit.alias("hit"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
 from ..operators import caching
 from .base import query, table
 
@@ -21,9 +20,8 @@ def semantic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT label, count(*) AS n, round(max(similarity), 6) AS most FROM ({_PAIRS}) GROUP BY label")
 def cosine_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    pairs = q.join(v, "label").where("query_id <> vec_id").withColumn("similarity", cosine(F.col("q"), F.col("embedding")))
-    return pairs.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("most"))
+    pairs = caching.pairs_in_bucket(v.where("vec_id % 100 = 0"), v, "label")
+    return pairs.groupBy("label").agg(F.count("*").alias("n"), F.max("similarity").alias("most"))
 
 
 _REQUESTS = "(SELECT event_id AS request_id, user_id || ':' || event_type AS key, ts FROM events)"
