@@ -144,12 +144,14 @@ def taken_in_order(plan: DataFrame) -> DataFrame:
     plan = cut(plan, "mix-plan")
     taken = training_order(plan)
     key = ["id", "th"]
-    # Identical rows are interchangeable: each of them has as many places as its passes.
+    # Identical rows are interchangeable: they are numbered, and each has as many places as its passes.
     some = plan.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("positions")))
-    taken = taken.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("position", "begin")))
+    taken = taken.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("position", "begin"))).drop("size").withColumnsRenamed({"id": "id_t", "th": "th_t", "place": "place_t"})
     until = F.sum("passes").over(Window.partitionBy(*key).orderBy("copy").rowsBetween(Window.unboundedPreceding, 0))
-    some = some.withColumn("until", until).withColumn("after", F.col("until") - F.col("passes")).withColumnsRenamed({"id": "id_p", "th": "th_p"}).drop("taken", "positions")
-    met = some.join(taken.drop("size"), F.col("id_p").eqNullSafe(F.col("id")) & F.col("th_p").eqNullSafe(F.col("th")) & (F.col("place") > F.col("after")) & (F.col("place") <= F.col("until")), "left")
+    some = some.withColumn("until", until).withColumnsRenamed({"id": "id_p", "th": "th_p"}).drop("taken", "positions")
+    places = F.when(F.col("passes") > 0, F.sequence(F.col("until") - F.col("passes") + 1, F.col("until")))
+    some = some.withColumn("place", F.explode_outer(places))
+    met = some.join(taken, F.col("id_p").eqNullSafe(F.col("id_t")) & F.col("th_p").eqNullSafe(F.col("th_t")) & (F.col("place") == F.col("place_t")), "left")
     got = met.groupBy("id_p", "th_p", "copy", "size", "source_size", "target").agg(F.count("position").alias("times"), *[F.coalesce(f(c), F.lit(none)).alias(f"{n}_{c}") for c, none in (("position", -1.0), ("begin", -1)) for n, f in (("first", F.min), ("last", F.max))])
     return got.select(F.col("id_p").alias("id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "first_position", "last_position", "first_begin", "last_begin")
 
@@ -159,14 +161,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     position. Rows not taken are left out; the columns are those of ``docs``, and last the training
     position if ``position_col`` names it."""
     plan = plan_mix(docs, id_col, text_col, source_col, **options)
-    id_, th, all_, n, k, at = fresh(docs, "mix_id", "mix_th", "mix_all", "mix_n", "mix_k", "mix_at")
-    plan = cut(plan.groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.flatten(F.collect_list("positions")).alias(all_), F.count("*").alias(n)), "mix-plan")
-    plan = plan.where(F.size(all_) > 0)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(th))
-    # Identical rows (equal id and text) are interchangeable: the positions of all are shared out among them.
-    rank = F.row_number().over(Window.partitionBy(id_, th).orderBy(th)) - 1
-    out = docs.join(plan, same).withColumn(k, rank)
-    own = F.filter(all_, lambda x, i: i % F.col(n) == F.col(k))
-    out = out.withColumn(at, F.explode(own))
+    id_, th, all_, n, k, at, id_p, th_p = fresh(docs, "mix_id", "mix_th", "mix_all", "mix_n", "mix_k", "mix_at", "mix_id_p", "mix_th_p")
+    number = lambda by: F.row_number().over(Window.partitionBy(id_, th).orderBy(by))
+    plan = plan.select(F.col("id").alias(id_), F.col("th").alias(th), F.col("positions").alias(all_))
+    plan = cut(plan.withColumn(n, number(all_)).where(F.size(all_) > 0), "mix-plan").withColumnsRenamed({id_: id_p, th: th_p})
+    # Identical rows (equal id and text) are interchangeable: they are numbered on both sides and meet by number.
+    rows = docs.withColumns({id_: F.col(id_col).cast("long"), th: F.xxhash64(F.col(text_col))}).withColumn(k, number(th))
+    same = F.col(id_).eqNullSafe(F.col(id_p)) & (F.col(th) == F.col(th_p)) & (F.col(k) == F.col(n))
+    out = rows.join(plan, same).withColumn(at, F.explode(all_))
     position = [F.col(at).alias(position_col)] if position_col else []
     return out.repartitionByRange(at, id_, th).sortWithinPartitions(at, id_, th).select(*docs.columns, *position)

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -91,3 +92,16 @@ def test_odd_rows(odd, empty):
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns and mixed.count() == sum(r["passes"] for r in plan)
     assert mixing.plan_mix(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_repeated_rows_are_linear(spark, texts):
+    df = spark.createDataFrame([(1, texts(1, 20), "a", k) for k in range(20_000)] + [(2, texts(2, 20), "a", -1)], "doc_id long, text string, source string, k int")
+    start = time.perf_counter()
+    mixed = mixing.mix(df)
+    plan = mixing.plan_mix(df).collect()
+    assert mixed.count() == sum(r["passes"] for r in plan)
+    got = mixing.taken_in_order(mixing.plan_mix(df))
+    assert sorted(r["taken"] for r in got.collect()) == sorted(r["taken"] for r in plan)
+    # with the positions of all copies for each of them it takes many minutes
+    assert time.perf_counter() - start < 120
+    assert mixed.groupBy("k").count().agg({"count": "max"}).first()[0] <= 2
