@@ -325,32 +325,58 @@ def set_fingerprints(docs: DataFrame, shingle: int, words: int = LONG) -> DataFr
     return docs.mapInArrow(run, "id long, th long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
+def prefix_groups(cells: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    """Groups of rows (two at least, of one cell) that have a rare shingle in common: two sets with the
+    Jaccard similarity at least are in one of the groups together.
+
+    Such sets share that part of the larger one. So if all sets are put in one order, from the block's
+    rarest shingle to its most frequent, they share a shingle among the first ones of each, as many as
+    the other part and one more.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner, shingles = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    _, which, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, counts[which], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = order[place < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[owner]]
+    first = first[counts[which[first]] > 1]
+    first = first[np.lexsort((owner[first], which[first], cells[owner[first]]))]
+    new = np.r_[True, (which[first][1:] != which[first][:-1]) | (cells[owner[first]][1:] != cells[owner[first]][:-1])] if len(first) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    for i, j in zip(starts, np.r_[starts[1:], len(first)], strict=True):
+        if j - i > 1:
+            yield owner[first[i:j]]
+
+
 def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of rows (block, root, node, shingles, fingerprint words) sorted by block and root: of each
     root's pairs within the radius those whose sets are similar enough, as far as they connect what
-    others of the block have not; a block gives fewer links than it has rows."""
+    others of the block have not; a block gives fewer links than it has rows. Only pairs with a rare
+    shingle in common are looked at, so a family of texts that share a template costs little."""
     held: list[tuple] = []
 
     def done() -> pa.RecordBatch:
         cells, nodes = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
         sets, fps = [np.frombuffer(r[3], np.uint64) for r in held], np.array([r[4:] for r in held], np.int64).view(np.uint64)
-        up, out = list(range(len(held))), []
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for first, second in bit_sliced_pairs(cells, fps, radius):
-            for a, b in zip(first.tolist(), second.tolist(), strict=True):
-                ra, rb = top(a), top(b)
-                x, y = sets[a], sets[b]
-                if ra == rb or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        top, out, seen = np.arange(len(held)), [], set()
+        empty = np.flatnonzero([not len(x) for x in sets])
+        for group in [*prefix_groups(cells, sets, similarity), *[empty[cells[empty] == c] for c in np.unique(cells[empty])]]:
+            for k, a in enumerate(group[:-1].tolist()):
+                others = group[k + 1 :]
+                others = others[top[others] != top[a]]
+                if not len(others):
                     continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    up[ra] = rb
-                    out.append((nodes[a], nodes[b]))
+                others = others[np.bitwise_count(fps[others] ^ fps[a]).sum(axis=1) <= radius]
+                x = sets[a]
+                for b in others.tolist():
+                    y = sets[b]
+                    if top[a] == top[b] or (a, b) in seen or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                        continue
+                    seen.add((a, b))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        top[top == top[b]] = top[a]
+                        out.append((nodes[a], nodes[b]))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:

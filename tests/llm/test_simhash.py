@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -145,3 +147,35 @@ def test_keys_grow_with_the_table():
     picks = [np.random.default_rng(k).permutation(256)[:bits] for k in range(keys)]
     met = [any((~other[p]).all() for p in picks) for other in rng.random((2000, 256)) < share]
     assert np.mean(met) > 0.95
+
+
+def test_rare_shingles_find_all_similar_pairs():
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    template, sets = draw(200), []
+    for k in range(120):
+        base = sets[rng.integers(len(sets))] if sets and k % 3 == 0 else template[: rng.integers(0, 200)]
+        sets.append(np.unique(np.concatenate([base, draw(rng.integers(0, 12 if k % 3 == 0 else 60))])))
+    sets += [np.zeros(0, np.uint64), template[:1].copy(), template[:1].copy()]
+    cells = np.arange(len(sets)) % 2
+    cells[-2:] = 0
+    met = set()
+    for group in simhash.prefix_groups(cells, sets, 0.8):
+        assert len(set(cells[group])) == 1
+        met |= {(a, b) for a in group.tolist() for b in group.tolist() if a < b}
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if cells[a] == cells[b] and len(both := np.intersect1d(sets[a], sets[b])) and len(both) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(both))}
+    assert len(similar) > 5 and similar <= met
+
+
+def test_a_family_of_texts_under_the_similarity_is_verified_fast():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    template = draw(250)
+    rows = [(1, 7, k, np.unique(np.concatenate([template, draw(100)])).tobytes(), 1, 2, 3, 4) for k in range(2000)]
+    rows.append((1, 7, 2000, rows[5][3], 1, 2, 3, 4))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list("brnsabcd"))
+    start = time.perf_counter()
+    links = [tuple(r.values()) for out in simhash._verified(iter([batch]), 56, 0.8) for r in out.to_pylist()]
+    # a loop over all pairs takes forty seconds and more
+    assert links == [(5, 2000)] and time.perf_counter() - start < 20
