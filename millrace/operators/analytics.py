@@ -72,6 +72,16 @@ def crossings(rows: DataFrame, latency: str, at: str, limits: list[int]) -> Data
     return out.select("limit_ms", pick("ok").alias("passed"), F.round(F.try_divide(pick("ok"), F.col("n")), 6).alias("pass_rate"), F.coalesce(pick("at"), F.lit(0)).alias("first_breach"))
 
 
+def mean_or_nan(value: Column) -> Column:
+    """The mean of a group; NaN where it has no values, as reports tell it."""
+    return F.coalesce(F.avg(value), F.lit(float("nan")))
+
+
+def in_report_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows by columns, numbers that are texts by their size and before other texts, null last."""
+    return rows.orderBy(*[c for name in columns for c in (F.col(name).cast("string").try_cast("double").asc_nulls_last(), F.col(name).asc_nulls_last())])
+
+
 def within_budget(value: Column, limit: float) -> Column:
     """Whether a value that may be text is within the limit; what is no number isn't."""
     return F.coalesce(value.cast("string").try_cast("double") <= limit, F.lit(False))

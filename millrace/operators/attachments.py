@@ -24,6 +24,16 @@ def fault(text: Column, units: Column | None = None) -> Column:
     return F.when(bare == "", "no text").when(few, "few characters").when(odd, "not printable")
 
 
+#: Letters of a word on average from which an extraction is suspected to have lost its spaces.
+LONG_WORD = 40
+
+
+def warning(text: Column) -> Column:
+    """What is odd about a text that is taken all the same; null if nothing is."""
+    words = word_count(text)
+    return F.when(F.try_divide(F.length(strip(text)), words) > LONG_WORD, "long words")
+
+
 def route(rows: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """Rows (text, kind, ...) with ``words``, ``method``, ``note`` and ``ratio`` of the limit.
 
@@ -39,10 +49,16 @@ def route(rows: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
 
 
 def block(rows: DataFrame, by: str, place: str) -> DataFrame:
-    """One text for each request (``by``): its attachments (filename, text) in order of ``place``."""
+    """One text for each request (``by``): its attachments (filename, text) in order of ``place``. Rows that ``route`` has
+    judged (``method``, ``note``) are left out unless they were extracted; ``notes`` says of each why."""
     one = F.concat(F.lit("<attachment filename='"), "filename", F.lit("'>\n"), "text", F.lit("\n</attachment>"))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), one.alias("one"))))
-    return rows.groupBy(by).agg(F.array_join(F.transform(parts, lambda p: p["one"]), "\n\n").alias("block"))
+    judged = "method" in rows.columns
+    fine = F.col("method") == "extracted" if judged else F.lit(True)
+    listed = lambda which, text: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct(F.col(place).alias("place"), text.alias("one"))))), lambda p: p["one"])
+    out = [F.array_join(listed(fine, one), "\n\n").alias("block")]
+    if judged:
+        out.append(listed(~fine, F.concat("filename", F.lit(": "), F.coalesce("note", "method"))).alias("notes"))
+    return rows.groupBy(by).agg(*out)
 
 
 def data_url(content: Column, media_type: Column) -> Column:

@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import cosine
+from ..sources.keyed import KeyedTable, latest
 from ..sources.storage import Scope
 
 TTL_SECONDS = 86_400
@@ -96,3 +99,41 @@ def nearest_in_bucket(queries: DataFrame, cached: DataFrame, bucket: str, thresh
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("vec_id", "similarity"), F.struct("similarity", (-F.col("vec_id")).alias("o"))).alias("m"))
     hit = F.lit(False) if log_only else F.col("m.similarity") >= threshold
     return best.select("query_id", "m.vec_id", "m.similarity", hit.alias("hit"))
+
+
+class StoredCache:
+    """A cache as a table: values by key, each until its end. Reading fails open: a cache that is gone or can't be
+    read has no hits, and ``put`` makes it anew."""
+
+    def __init__(self, spark: SparkSession, path: str, ttl: int = TTL_SECONDS, value: str = "value string", by: str = "key", buckets: int = 64) -> None:
+        self.spark, self.path, self.ttl, self.buckets = spark, path, ttl, buckets
+        self.key, self.schema = by, f"{by} string, {value}, expires_at timestamp"
+
+    def put(self, rows: DataFrame, at: Column) -> int:
+        """Stores rows (key, value columns) made at a time; a key that is there already is replaced. Rows without
+        a key are left out."""
+        table = KeyedTable.create(self.spark, self.path, self.schema, [self.key], buckets=self.buckets)
+        made = rows.where(F.col(self.key).isNotNull()).withColumn("expires_at", F.timestamp_seconds(F.unix_seconds(at.cast("timestamp")) + self.ttl))
+        return table.upsert(made.select(*StructType.fromDDL(self.schema).names), latest([self.key], "expires_at"))
+
+    def live(self, at: Column) -> DataFrame:
+        """The entries that serve at a time."""
+        try:
+            rows = KeyedTable(self.spark, self.path).read()
+        except (FileNotFoundError, ValueError, AnalysisException):
+            rows = self.spark.createDataFrame([], self.schema)
+        return rows.where(F.col("expires_at") > at.cast("timestamp"))
+
+    def get(self, requests: DataFrame, at: Column) -> DataFrame:
+        """``requests`` (key, ...) with the stored columns, null where there is no hit, and ``hit``."""
+        found = self.live(at).withColumnRenamed(self.key, "__key").withColumn("hit", F.lit(True))
+        out = requests.join(found, requests[self.key].cast("string") == F.col("__key"), "left").drop("__key", "expires_at")
+        return out.withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+    def evict(self, at: Column) -> int:
+        """Removes entries that have ended by a time, and files that nothing names any more."""
+        table = KeyedTable.create(self.spark, self.path, self.schema, [self.key], buckets=self.buckets)
+        ended = table.read().where(F.col("expires_at") <= at.cast("timestamp")).select(self.key)
+        gone = table.remove(ended).count()
+        table.vacuum()
+        return gone

@@ -25,7 +25,7 @@ def transcript_units(df: DataFrame, text: str = "text") -> DataFrame:
     one = lambda k: F.when(F.col("unit").rlike(TAGGED), F.regexp_extract("unit", TAGGED, k))
     tagged = tagged.select(*df.columns, F.format_string("turn-%04d", F.col("pos") + 1).alias("unit_key"), one(2).alias("speaker"), F.coalesce(one(3), F.col("unit")).alias("content"), F.when(~F.col("unit").rlike(TAGGED), "untagged_line").alias("flag"))
     plain = df.where(tagged_share(F.col(text)) < 0.5).select("*", F.posexplode(F.filter(F.split(F.col(text), r"\n\s*\n"), lambda x: F.trim(x) != "")).alias("pos", "unit"))
-    plain = plain.select(*df.columns, F.format_string("para-%04d", F.col("pos") + 1).alias("unit_key"), F.lit(None).cast("string").alias("speaker"), F.col("unit").alias("content"), F.lit("no_speakers").alias("flag"))
+    plain = plain.select(*df.columns, F.format_string("para-%04d", F.col("pos") + 1).alias("unit_key"), F.lit(None).cast("string").alias("speaker"), F.col("unit").alias("content"), F.lit("speaker_attribution=unavailable").alias("flag"))
     return tagged.unionByName(plain)
 
 

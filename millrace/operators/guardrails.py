@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +94,22 @@ def technical_words(text: Column) -> Column:
     return F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TECHNICAL), F.lit(1)), F.lower)))
 
 
-def tier(text: Column, scope: Column, technologies: Column, team: Column) -> Column:
+#: A tier's rule: its name, the tier, and what says of (text, scope, technologies, team) whether it holds.
+TierRule = tuple[str, str, Callable[[Column, Column, Column, Column], Column]]
+TIER_RULES: list[TierRule] = [
+    ("nda", "confidential", lambda text, scope, technologies, team: _any(text, NDA) | _any(scope, NDA)),
+    ("regulatory", "regulated", lambda text, scope, technologies, team: _any(text, REGULATORY) | _any(scope, REGULATORY) | _any(F.array_join(technologies, " "), REGULATORY)),
+    ("technical", "developer", lambda text, scope, technologies, team: technical_words(text) >= 2),
+    ("small_team", "small", lambda text, scope, technologies, team: team <= 2),
+]
+
+
+def tier(text: Column, scope: Column, technologies: Column, team: Column, rules: Sequence[TierRule] = tuple(TIER_RULES)) -> Column:
     """(tier, rule) of the first rule that holds; a rule that can't be judged is skipped."""
-    tech = F.array_join(technologies, " ")
-    nda, regulated = _any(text, NDA) | _any(scope, NDA), _any(text, REGULATORY) | _any(scope, REGULATORY) | _any(tech, REGULATORY)
-    pair = lambda t, r: F.struct(F.lit(t).alias("tier"), F.lit(r).alias("rule"))
-    return F.when(nda, pair("confidential", "nda")).when(regulated, pair("regulated", "regulatory")).when(F.coalesce(technical_words(text) >= 2, F.lit(False)), pair("developer", "technical")).when(F.coalesce(team <= 2, F.lit(False)), pair("small", "small_team")).otherwise(pair("standard", "default"))
+    out = F.struct(F.lit("standard").alias("tier"), F.lit("default").alias("rule"))
+    for name, of, holds in reversed(rules):
+        out = F.when(F.coalesce(holds(text, scope, technologies, team), F.lit(False)), F.struct(F.lit(of).alias("tier"), F.lit(name).alias("rule"))).otherwise(out)
+    return out
 
 
 def anchor_rules(text: Column) -> Column:
@@ -105,6 +117,12 @@ def anchor_rules(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(whole(p)), n) for n, p in ANCHORS])))
 
 
+def is_anchor(text: Column, judged: Column | None = None) -> Column:
+    """Whether a statement is one to keep: as a model has judged it, and by the rules where it hasn't (null)."""
+    by_rule = F.size(anchor_rules(F.coalesce(text, F.lit("")))) > 0
+    return by_rule if judged is None else F.coalesce(judged, by_rule)
+
+
 #: The one phase of an answer that sizes nothing, and the longest summary.
 PLACEHOLDER = ("Not estimated", 1, 0, "Scope, integrations and team must be known to size this.")
 SUMMARY_CHARS, QUOTED_CHARS = 1200, 400

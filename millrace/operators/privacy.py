@@ -74,11 +74,28 @@ def entities_by_type(found: DataFrame, by: str, spans_col: str = "found") -> Dat
     return found.select(by, F.explode(spans_col).alias("s")).groupBy(by, F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-def pseudonym(kind: Column, digest: Column) -> Column:
-    """A stand-in of the same shape, taken from the digest, so it needs no shared state."""
-    number = lambda n: F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n))
-    budget = F.concat(F.lit("BUDGET-"), (number(8) + 2019).cast("string"), F.lit("-"), (number(9000) + 1000).cast("string"))
-    return F.when(kind == "EMAIL_ADDRESS", F.concat(F.lit("user"), F.substring(digest, 1, 8), F.lit("@example.org"))).when(kind == "BUDGET_ID", budget).when(kind == "CLIENT_CODE", F.concat(F.lit("CLI-"), (number(9000) + 1000).cast("string"))).when(kind == "IBAN_CODE", F.concat(F.lit("XX00"), F.upper(F.substring(digest, 1, 16)))).when(kind == "CREDIT_CARD", F.concat(F.lit("0000 0000 0000 "), F.lpad(number(10000).cast("string"), 4, "0"))).when(kind == "PHONE_NUMBER", F.concat(F.lit("+34 600 "), F.lpad(number(1000000).cast("string"), 6, "0"))).otherwise(F.concat(F.lit("REDACTED-"), F.substring(digest, 1, 8)))
+def _number(digest: Column, n: int) -> Column:
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n))
+
+
+#: How a type's stand-in is made of a digest, so that it has the same shape and needs no shared state. More may be registered.
+GENERATORS: dict[str, Callable[[Column], Column]] = {
+    "EMAIL_ADDRESS": lambda d: F.concat(F.lit("user"), F.substring(d, 1, 8), F.lit("@example.org")),
+    "BUDGET_ID": lambda d: F.concat(F.lit("BUDGET-"), (_number(d, 8) + 2019).cast("string"), F.lit("-"), (_number(d, 9000) + 1000).cast("string")),
+    "CLIENT_CODE": lambda d: F.concat(F.lit("CLI-"), (_number(d, 9000) + 1000).cast("string")),
+    "IBAN_CODE": lambda d: F.concat(F.lit("XX00"), F.upper(F.substring(d, 1, 16))),
+    "CREDIT_CARD": lambda d: F.concat(F.lit("0000 0000 0000 "), F.lpad(_number(d, 10000).cast("string"), 4, "0")),
+    "PHONE_NUMBER": lambda d: F.concat(F.lit("+34 600 "), F.lpad(_number(d, 1000000).cast("string"), 6, "0")),
+}
+
+
+def pseudonym(kind: Column, digest: Column, generators: dict[str, Callable[[Column], Column]] = GENERATORS) -> Column:
+    """A stand-in for a value of a type, made of its digest; of types without a generator a redaction, so that
+    nothing that looks real stands for what isn't known."""
+    out = F.concat(F.lit("REDACTED-"), F.substring(digest, 1, 8))
+    for name, made in generators.items():
+        out = F.when(kind == name, made(digest)).otherwise(out)
+    return out
 
 
 def replace_spans(text: Column, found: Column, key: str) -> Column:

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .guardrails import anchor_rules
+from .guardrails import is_anchor
 
 #: Pairs of question and answer that a session's window holds.
 WINDOW = 6
@@ -25,12 +25,16 @@ def numbered(turns: DataFrame) -> DataFrame:
 def pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, n, turn, question, answer, anchored): a question and the answer right after it, numbered
     from 1 in each conversation. Messages of other roles are looked through; a question without an
-    answer, and an answer without a question, are no pair. ``anchored``: the question is one to keep."""
+    answer, and an answer without a question, are no pair. ``anchored``: the question is one to keep, by the
+    rules or by a column ``judged`` where it isn't null."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     said = turns.where(F.col("role").isin("user", "assistant") & F.col("conv_id").isNotNull())
     said = said.withColumns({"before": F.lag("role").over(order), "question": F.coalesce(F.lag("text").over(order), F.lit(""))})
+    judged = None
+    if "judged" in turns.columns:
+        said, judged = said.withColumn("judged", F.lag("judged").over(order)), F.col("judged")
     found = said.where("role = 'assistant' and before = 'user'").withColumn("n", F.row_number().over(order))
-    return found.select("conv_id", "n", "turn", "question", F.coalesce("text", F.lit("")).alias("answer"), (F.size(anchor_rules(F.col("question"))) > 0).alias("anchored"))
+    return found.select("conv_id", "n", "turn", "question", F.coalesce("text", F.lit("")).alias("answer"), is_anchor(F.col("question"), judged).alias("anchored"))
 
 
 def pair_states(found: DataFrame, size: int = WINDOW) -> DataFrame:

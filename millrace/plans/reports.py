@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import Scope
 from ..operators import attachments, caching, embedding, guardrails, prompts, report, sessions, validation
 from .base import query, table
 from .conversations import PAIRS, said
@@ -126,6 +127,37 @@ def logged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caching.nearest_in_bucket(v.where("vec_id % 100 = 0"), v, "label", 0.3, log_only=True).select("query_id", "hit")
 
 
+# Entries of the first half of the events under a day's time to live; requests are of each user and type.
+@query("""
+WITH e AS (SELECT user_id || ':' || event_type AS key, value, ts, event_id FROM events), m AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS half FROM events),
+stored AS (SELECT key, arg_max(value, epoch(date_trunc('second', ts))::BIGINT * 100000000 + event_id) AS value, max(epoch(date_trunc('second', ts))::BIGINT) + 86400 AS until FROM e, m WHERE ts < half GROUP BY key),
+asked AS (SELECT DISTINCT key FROM e)
+SELECT asked.key, CASE WHEN until > epoch(date_trunc('second', half))::BIGINT THEN value ELSE -1 END AS value, coalesce(until > epoch(date_trunc('second', half))::BIGINT, false) AS hit FROM asked CROSS JOIN m LEFT JOIN stored ON asked.key = stored.key
+""")
+def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    low, high = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    half = F.timestamp_micros(F.lit((low + high) // 2))
+    cache = caching.StoredCache(spark, Scope(spark, "cache").folder("entries"), value="value double", buckets=16)
+    newest = e.where(F.col("ts") < half).groupBy("key").agg(F.max_by(F.struct("value", "ts"), F.struct(F.unix_seconds("ts"), "event_id")).alias("r"))
+    cache.put(newest.select("key", "r.value", "r.ts"), F.col("ts"))
+    return cache.get(e.select("key").distinct(), F.timestamp_seconds(F.unix_seconds(half))).withColumn("value", F.coalesce("value", F.lit(-1.0)))
+
+
+_PLAIN = "documents WHERE regexp_matches(text, '^[ -~\\n]{60,900}$') AND source IS NOT NULL"
+
+
+@query(rf"""
+SELECT source, coalesce(string_agg('<attachment filename=''' || doc_id || '''>' || chr(10) || text || chr(10) || '</attachment>', chr(10) || chr(10) ORDER BY doc_id) FILTER (NOT long), '') AS block,
+  coalesce(string_agg(doc_id || ': about ' || words || ' words, at most 60', '; ' ORDER BY doc_id) FILTER (long), '') AS notes
+FROM (SELECT *, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+'))::INT AS words, words > 60 AS long FROM {_PLAIN}) GROUP BY source
+""")
+def attachment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[ -~\n]{60,900}\z") & F.col("source").isNotNull())
+    rows = attachments.route(docs.select("doc_id", "source", "text", F.lit("docx").alias("kind"), F.col("doc_id").cast("string").alias("filename")), most_words=60)
+    return attachments.block(rows, "source", "doc_id").select("source", "block", F.array_join("notes", "; ").alias("notes"))
+
+
 @query("SELECT o_custkey, count(*) AS budgets, count(*) > 10 AS too_many FROM orders GROUP BY o_custkey")
 def budget_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.request_sizes(table(spark, sf_dir, "orders"), ["o_custkey"], most=10)

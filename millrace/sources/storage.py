@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -28,15 +29,19 @@ def shared_base(spark: SparkSession) -> str:
 _own: str | None = None
 
 
+_inside: ContextVar[Scope | None] = ContextVar("millrace_scope", default=None)
+
+
 class Scope:
     """Folders of one run, below one folder in the shared place; ``close`` deletes them and nothing else.
 
-    Results are read from these folders, so a scope is closed once they are written elsewhere.
+    Inside ``with Scope(spark):`` whatever operators of this thread write for themselves lies in that scope
+    and goes with it. Results are read from these folders, so they are to be written elsewhere before.
     """
 
     def __init__(self, spark: SparkSession, name: str = "run") -> None:
-        self.spark = spark
-        self.root = f"{shared_base(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+        self.spark, outer = spark, _inside.get()
+        self.root = f"{outer.root if outer else shared_base(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,9 +50,11 @@ class Scope:
         return delete(self.spark, self.root)
 
     def __enter__(self) -> Scope:
+        self._outer = _inside.set(self)
         return self
 
     def __exit__(self, *_: object) -> None:
+        _inside.reset(self._outer)
         self.close()
 
 

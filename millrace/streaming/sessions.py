@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.guardrails import anchor_rules
+from ..operators.guardrails import is_anchor
 from ..operators.sessions import ENVELOPE, LINE_CHARS, SUMMARY_CHARS, WINDOW
 
 OUT = "kind string, conv_id long, turn_index long, messages_in_window long, anchors_count long, evicted long, summary_chars long, project string, technologies string, messages string"
@@ -107,7 +107,8 @@ def session_states(messages: DataFrame, size: int = WINDOW, idle_ms: int = 1_800
 
     Other roles than user and assistant leave no trace but their facts. A question without an answer
     waits, and gives way to the next question; an answer without a question is left out. Messages
-    without a conversation or a time are left out. Null texts are empty.
+    without a conversation or a time are left out. Null texts are empty. What to keep is told by rules, or
+    by a column ``judged`` where it isn't null.
     """
-    rows = messages.where("conv_id is not null and at is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "at", F.col("turn").cast("long").alias("turn"), "role", "text", "project", "technologies", (F.size(anchor_rules(F.coalesce("text", F.lit("")))) > 0).alias("anchored"))
+    rows = messages.where("conv_id is not null and at is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "at", F.col("turn").cast("long").alias("turn"), "role", "text", "project", "technologies", is_anchor(F.col("text"), F.col("judged") if "judged" in messages.columns else None).alias("anchored"))
     return rows.withWatermark("at", late).groupBy("conv_id").transformWithStateInPandas(Sessions(size, idle_ms, summarise), OUT, "Append", "EventTime")

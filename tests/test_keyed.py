@@ -14,8 +14,9 @@ SCHEMA = "k long, at long, v string"
 
 @pytest.fixture
 def scope(spark):
-    with Scope(spark, "keyed") as s:
-        yield s
+    s = Scope(spark, "keyed")
+    yield s
+    s.close()
 
 
 def rows_of(df):

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import prompts, report, sessions, validation
+from millrace.operators import analytics, attachments, guardrails, privacy, prompts, report, sessions, validation
 
 
 def test_templates(spark):
@@ -50,3 +50,28 @@ def test_projection_to_a_contract(spark):
     assert validation.projected(df, "c double, a long").columns == ["c", "a"]
     with pytest.raises(TypeError, match="a: bigint instead of int; d: missing instead of string"):
         validation.projected(df, "a int, d string")
+
+
+def test_rules_and_generators_that_a_user_adds(spark):
+    df = spark.createDataFrame([("docker and kafka", 9), ("under NDA", 1), ("plain", None)], "t string, team int")
+    none = F.array().cast("array<string>")
+    rules = [("big", "wide", lambda text, scope, technologies, team: team > 5), *guardrails.TIER_RULES]
+    assert [tuple(r["x"]) for r in df.select(guardrails.tier(F.col("t"), F.lit(""), none, F.col("team"), rules).alias("x")).collect()] == [("wide", "big"), ("confidential", "nda"), ("standard", "default")]
+    assert [r["x"] for r in df.select(guardrails.is_anchor(F.col("t")).alias("x")).collect()] == [False, True, False]
+    judged = F.when(F.col("t") == "plain", True).when(F.col("t") == "under NDA", False)
+    assert [r["x"] for r in df.select(guardrails.is_anchor(F.col("t"), judged).alias("x")).collect()] == [False, False, True]
+    made = privacy.GENERATORS | {"PLACE": lambda d: F.concat(F.lit("Town "), F.substring(d, 1, 2))}
+    r = spark.range(1).select(privacy.pseudonym(F.lit("PLACE"), F.lit("abcdef0123"), made).alias("a"), privacy.pseudonym(F.lit("PLACE"), F.lit("abcdef0123")).alias("b")).first()
+    assert (r["a"], r["b"]) == ("Town ab", "REDACTED-abcdef01")
+
+
+def test_small_rules_of_reports(spark):
+    texts = spark.createDataFrame([("x" * 100,), ("a few short words",), ("",), (None,)], "t string")
+    assert [r["w"] for r in texts.select(attachments.warning(F.col("t")).alias("w")).collect()] == ["long words", None, None, None]
+    rows = spark.createDataFrame([("10", 1.0), ("9", 2.0), ("b", None), (None, 4.0), ("a", 5.0)], "k string, v double")
+    assert [r["k"] for r in analytics.in_report_order(rows, "k").collect()] == ["9", "10", "a", "b", None]
+    means = {r["k"]: r["m"] for r in rows.groupBy("k").agg(analytics.mean_or_nan(F.col("v")).alias("m")).collect()}
+    assert means["9"] == 2.0 and means["b"] != means["b"]
+    given = attachments.route(spark.createDataFrame([(1, "a.txt", "some words that are long enough to be of use here", "docx"), (1, "b.pdf", "", "pdf"), (2, "c.docx", None, "docx")], "r int, filename string, text string, kind string"))
+    got = {r["r"]: (r["block"], r["notes"]) for r in attachments.block(given, "r", "filename").collect()}
+    assert got[1][0].startswith("<attachment filename='a.txt'>") and got[1][1] == ["b.pdf: no text"] and got[2] == ("", ["c.docx: no text"])

@@ -120,14 +120,18 @@ def test_a_session_that_goes_on_after_its_end_begins_anew(spark):
 
 
 def test_folders_and_files_made_at_once(spark):
+    other = Scope(spark, "test")
     with Scope(spark, "test") as scope:
         path = scope.folder("x/file.json")
         assert create_text(spark, path, "é1") and not create_text(spark, path, "2")
         assert read_text(spark, path) == "é1" and names(spark, scope.folder("x")) == ["file.json"] and names(spark, scope.folder("y")) == []
         spark.range(3).write.parquet(scope.folder("rows"))
-        other = Scope(spark, "test")
         spark.range(2).write.parquet(other.folder("rows"))
-    assert names(spark, scope.root) == [] and spark.read.parquet(other.folder("rows")).select(F.count("*")).first()[0] == 2
+        inner = Scope(spark, "inner")  # what operators make for themselves
+        spark.range(2).write.parquet(inner.folder("rows"))
+        assert inner.root.startswith(scope.root)
+    assert names(spark, scope.root) == names(spark, inner.root) == [] and spark.read.parquet(other.folder("rows")).select(F.count("*")).first()[0] == 2
+    assert not Scope(spark, "test").root.startswith(scope.root)
     assert other.close() and not other.close()
 
 
