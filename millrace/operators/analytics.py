@@ -10,33 +10,37 @@ TOKEN_BUCKETS = [0, 3500, 4500, 5500, 6500, 9000]
 LIMITS = [4000, 6000, 8000, 10000, 15000]
 
 
-#: Ranges of values that a group is cut into for its percentiles.
-RANGES = 64
+#: One over the error of the sketch that says between which values a percentile lies.
+ACCURACY = 10_000
 
 
-def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...], ranges: int = RANGES) -> DataFrame:
+def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...], accuracy: int = ACCURACY) -> DataFrame:
     """(by, p50, ...): nearest-rank percentiles of numbers, the value at place ceil(p n / 100) in order.
 
-    Equal values are counted before the shuffle. A group's values are cut into ranges by a mergeable sketch;
-    only the ranges' sums are put in order, and only the ranges in which a percentile lies are sorted, each
-    by a task of its own. The result is exact, as the sketch only decides where ranges end. Groups
-    without a value are left out.
+    A mergeable sketch gives two values between which a percentile lies; equal values are counted before the
+    shuffle, what is below the two is summed, and only what is between them is sorted. The result is exact: should
+    a place not be between its two values, all of its group is sorted. Groups without a value are left out.
     """
     group = [f"__{c}" for c in by]
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(g) for c, g in zip(by, group, strict=True)], F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
-    edges = counts.groupBy(*group).agg(F.percentile_approx("__value", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("__edges"))
-    ranged = _same_group(counts, edges, group).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__value")))).drop("__edges")
-    sums = ranged.groupBy(*group, "__range").agg(F.sum("__n").alias("__in"))
-    whole = Window.partitionBy(*group)  # over a row for each range
-    sums = sums.withColumns({"__upto": F.sum("__in").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__in").over(whole)})
-    place = {p: F.ceil(F.col("__all") * p / 100) for p in percents}
-    holds = {p: (F.col("__upto") >= place[p]) & (F.col("__upto") - F.col("__in") < place[p]) for p in percents}
-    targets = sums.groupBy(*group).agg(*[F.max(F.when(holds[p], F.struct("__range", (place[p] - F.col("__upto") + F.col("__in")).alias("place")))).alias(f"__t{p}") for p in percents])
-    asked = _same_group(ranged, targets, group).where(F.array_contains(F.array(*[F.col(f"__t{p}.__range") for p in percents]), F.col("__range")))
-    inside = Window.partitionBy(*group, "__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.withColumn("__at", F.sum("__n").over(inside))
-    found = lambda p: F.min(F.when((F.col("__range") == F.col(f"__t{p}.__range")) & (F.col("__at") >= F.col(f"__t{p}.place")), F.col("__value")))
-    return asked.groupBy(*group).agg(*[found(p).alias(f"p{p}") for p in percents]).withColumnsRenamed(dict(zip(group, by, strict=True)))
+    known = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, group, strict=True)], F.col(value).alias("__value"))
+    shares = [x for p in percents for x in (max(0.0, p / 100 - 2 / accuracy), min(1.0, p / 100 + 2 / accuracy))]
+    edges = known.groupBy(*group).agg(F.percentile_approx("__value", shares, accuracy).alias("__edges"))
+    counts = _same_group(known.groupBy(*group, "__value").agg(F.count("*").alias("__n")), edges, group)
+    low, high = (lambda k: F.get("__edges", F.lit(2 * k))), (lambda k: F.get("__edges", F.lit(2 * k + 1)))
+    within = lambda k: F.col("__value").between(low(k), high(k))
+    total = lambda c: F.sum(F.when(c, F.col("__n")).otherwise(0))
+    sums = counts.groupBy(*group).agg(F.sum("__n").alias("__all"), *[x for k in range(len(percents)) for x in (total(F.col("__value") < low(k)).alias(f"__below{k}"), total(within(k)).alias(f"__in{k}"))])
+    targets = []
+    for k, p in enumerate(percents):
+        place = F.ceil(F.col("__all") * p / 100)
+        holds = (F.col(f"__below{k}") < place) & (place <= F.col(f"__below{k}") + F.col(f"__in{k}"))
+        targets.append(F.struct(holds.alias("holds"), F.when(holds, place - F.col(f"__below{k}")).otherwise(place).alias("place")).alias(f"__t{k}"))
+    asked = _same_group(counts, sums.select(*group, *targets), group)
+    each = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__t{k}.place").alias("place"), (within(k) | ~F.col(f"__t{k}.holds")).alias("asked")) for k in range(len(percents))]), lambda x: x["asked"])
+    asked = asked.select(*group, "__value", "__n", F.explode(each).alias("__p"))
+    inside = Window.partitionBy(*group, "__p.k").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.withColumn("__at", F.sum("__n").over(inside)).where("__at >= __p.place")
+    return found.groupBy(*group).agg(*[F.min(F.when(F.col("__p.k") == k, F.col("__value"))).alias(f"p{p}") for k, p in enumerate(percents)]).withColumnsRenamed(dict(zip(group, by, strict=True)))
 
 
 def _same_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from millrace.functions.firsts import first_k, first_values
 from millrace.operators import analytics, needles
 
 
-def test_percentiles_by_ranges(spark):
+def test_percentiles(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([rng.randrange(5000) / 4, 7.25, None])) for _ in range(4000)] + [("one", 3.0), ("none", None), ("two", 1.0), ("two", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -18,15 +18,23 @@ def test_percentiles_by_ranges(spark):
             groups[g].append(v)
     percents = (1, 50, 95, 100)
     want = {g: tuple(sorted(vs)[math.ceil(p * len(vs) / 100) - 1] for p in percents) for g, vs in groups.items()}
-    for ranges in (2, 7, 64):
-        got = analytics.percentiles(df, ["g"], "v", percents, ranges)
+    for accuracy in (5, 100, 10_000):
+        got = analytics.percentiles(df, ["g"], "v", percents, accuracy)
         assert got.columns == ["g", "p1", "p50", "p95", "p100"]
         assert {r["g"]: (r["p1"], r["p50"], r["p95"], r["p100"]) for r in got.collect()} == want
     assert analytics.percentiles(df.limit(0), ["g"], "v", percents).count() == 0
-    # rows are sorted by range, never a whole group of values
+    # a sketch that is wrong costs time, not the result
+    monkeypatch.setattr(analytics.F, "percentile_approx", lambda c, shares, accuracy: F.array(*[F.min(c)] * len(shares)))
+    wrong = analytics.percentiles(df, ["g"], "v", percents)
+    assert {r["g"]: (r["p1"], r["p50"], r["p95"], r["p100"]) for r in wrong.collect()} == want
+
+
+def test_only_values_near_a_percentile_are_sorted(spark):
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("v"), F.lit(1).alias("g"))
+    got = analytics.percentiles(df, ["g"], "v", (50,), 1000)
+    assert got.first()["p50"] == sorted(k * 7919 % 100_003 for k in range(100_000))[49_999]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window" in line and "__value" in line.partition("windowspec")[2]]
-    assert windows and all("__range" in line for line in windows)
+    assert "Window" in plan and "between" not in plan and plan.count("Window [") == 1
 
 
 def test_needles_against_a_loop(spark):
