@@ -117,6 +117,13 @@ def metadata_json(name: Column, team: Column, technologies: Column, scope: Colum
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
+def facts_text(facts: Column) -> Column:
+    """A list of facts as the text in which they are looked for: a JSON array, but with control characters (the line
+    ends that words may hold) as they were said. Escaped, such a fact wouldn't be found; nulls are left out."""
+    plain = F.transform(F.array_compact(facts), lambda w: F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
+    return F.concat(F.lit('["'), F.array_join(plain, '","'), F.lit('"]'))
+
+
 OBSERVED = ["session_id", "turn_index", "enriched_transcript_chars", "attachments_total_chars", "messages_in_window", "anchors_count", "summary_chars", "tokens_in", "tokens_out", "cost_usd", "latency_ms", "cache_hit_kind", "last_resolved_tier", "llm_calls", "llm_latency_ms", "model", "attachments_count", "attachments_rejected"]
 
 

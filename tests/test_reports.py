@@ -75,3 +75,16 @@ def test_small_rules_of_reports(spark):
     given = attachments.route(spark.createDataFrame([(1, "a.txt", "some words that are long enough to be of use here", "docx"), (1, "b.pdf", "", "pdf"), (2, "c.docx", None, "docx")], "r int, filename string, text string, kind string"))
     got = {r["r"]: (r["block"], r["notes"]) for r in attachments.block(given, "r", "filename").collect()}
     assert got[1][0].startswith("<attachment filename='a.txt'>") and got[1][1] == ["b.pdf: no text"] and got[2] == ("", ["c.docx: no text"])
+
+
+def test_facts_with_line_ends_quotes_and_nulls_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import registry
+
+    texts = {1: ["Erha.\nThe onea. on"], 2: ['say "x" \\'], 3: ['"x" and\tmore'], 4: [None, "later on"], 5: [None], 6: ["\\n x y", "x\ny \x01"], 7: [',"'], 8: [""], 9: ["é on", None]}
+    rows = [(c, k, "user", t) for c, said in texts.items() for k, t in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {c: (w, r) for c, w, r in duckdb.sql(registry.ORACLES["known_constraints"].replace("FROM conversations", f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")).fetchall()}
+    got = {r["conv_id"]: (r["constraints"], r["recalled"]) for r in registry.QUERIES["known_constraints"](spark, str(tmp_path)).collect()}
+    assert got == want and got[1][1] and not got[3][1]
