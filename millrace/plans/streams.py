@@ -14,13 +14,12 @@ from .conversations import PAIRS, said
 
 
 def in_two_runs(spark: SparkSession, parts: list[DataFrame], stream) -> DataFrame:
-    """Runs ``stream`` (of a streaming table) over all parts but the last, then again from its checkpoint
-    over the last one."""
+    """Runs ``stream`` (of a streaming table) over the first part, then again from its checkpoint over each of the
+    others: a part is one micro-batch, of any number of files."""
     scope = Scope(spark, "stream")
     folder, schema = scope.folder("in"), parts[0].schema
-    for last, some in ((False, parts[:-1]), (True, parts[-1:])):
-        for k, part in enumerate(some):
-            feed(part, folder, k + last * len(parts))
+    for k, part in enumerate(parts):
+        feed(part, folder, k)
         out = run_on(stream(fed(spark, folder, schema)), scope.folder("out"), scope.folder("state"))
     return out
 

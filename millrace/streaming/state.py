@@ -1,38 +1,66 @@
-"""Running streams whose operators keep typed state (values, lists and maps by key, timers in event time)."""
+"""Running streams whose operators keep typed state (values, lists and maps by key, timers in event time).
+
+Each call of a stateful processor, and each of its reads and writes of state, costs a round trip between
+Spark and Python: some milliseconds a key. Operators over many small keys therefore group by
+buckets of keys (``by_bucket``) and keep what they know of a bucket in one typed value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import functions as F
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Buckets of keys. A stream's checkpoint holds to them.
+BUCKETS = 1024
+#: Partitions of state that each core gets at most: one costs about a second of its core in every micro-batch, however little is in it.
+PARTITIONS_A_CORE = 4
+
+
+def by_bucket(rows: DataFrame, key: str, buckets: int = BUCKETS) -> GroupedData:
+    """Rows grouped by buckets of a key, for a processor that keeps all keys of a bucket."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("bucket")
+
+
+def last_millis(rows: pd.DataFrame, key: str) -> dict:
+    """Of each key its last time (``at``) in milliseconds, as timers count."""
+    return pd.Series(rows["at"].to_numpy().astype("datetime64[ms]").astype("int64")).groupby(rows[key].to_numpy()).max().to_dict()
+
+
 @contextmanager
 def typed_state(spark: SparkSession) -> Iterator[None]:
-    """The state store that typed state needs, for the streams started inside."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    """The state store that typed state needs, and partitions by the cluster's cores, for the streams started inside."""
+    some = min(int(spark.conf.get(_PARTITIONS)), PARTITIONS_A_CORE * spark.sparkContext.defaultParallelism)
+    wanted = {_PROVIDER: _ROCKSDB, _PARTITIONS: str(some)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def feed(part: DataFrame, folder: str, number: int) -> None:
-    """Adds a micro-batch to a folder that a stream reads: one file, after all before it."""
-    part.coalesce(1).write.mode("error").parquet(f"{folder}/{number:06d}")
+    """Adds a part to a folder that a stream reads, in as many files as tasks make."""
+    part.write.mode("error").parquet(f"{folder}/{number:06d}")
 
 
 def fed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The stream of a folder's parts, one after the other."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    """The stream of a folder's parts; those that are there when it is run make one micro-batch."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
 
 
 def run_on(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:

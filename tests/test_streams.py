@@ -149,3 +149,55 @@ def test_deltas_out_of_order_twice_and_cut_off(spark):
     schema = "stream_id long, at timestamp, seq long, delta string, done boolean"
     got = in_two_runs(spark, parts_of(spark, [*twice, *later], schema, (25, len(twice), len(twice) + 2)), lambda s: deltas.assembled_stream(s, 60_000)).collect()
     assert sorted((r["stream_id"], r["text"], r["deltas"], r["complete"]) for r in got) == sorted((k, *v) for k, v in whole.items())
+
+
+def test_a_part_is_one_micro_batch_of_many_files(spark, monkeypatch):
+    from millrace.plans import streams as plans
+
+    seen = []
+    monkeypatch.setattr(plans, "run_on", lambda stream, out, state, run=plans.run_on: seen.append(len(set(spark.read.option("recursiveFileLookup", True).parquet(out.replace("/out", "/in")).inputFiles()))) or run(stream, out, state))
+    rows = spark.range(40).selectExpr("id as request_id", "cast(id % 7 as string) as key", "timestamp_seconds(1704067200 + id) as at").repartition(4)
+    got = in_two_runs(spark, [rows.where("request_id < 20"), rows.where("request_id >= 20")], lambda s: caches.exact_hits(s, "key", "at", 3600))
+    assert seen[0] == 4 and seen[1] == 8  # not one task that writes all of a part
+    assert {r["request_id"] for r in got.where("not hit").collect()} == set(range(7))
+
+
+def test_partitions_of_state_follow_the_cores(spark):
+    from millrace.streaming.state import PARTITIONS_A_CORE, typed_state
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        with typed_state(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == PARTITIONS_A_CORE * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "5000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+class Handle:
+    """State and timers of one bucket, in memory; counts what would be round trips."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
