@@ -1,9 +1,9 @@
 """Caches with a time to live as streams: exact keys, and nearest vectors of a bucket.
 
 An entry is made by a miss and serves until ``ttl`` after it; hits don't extend it. Entries live in
-state by key, time is event time, and a timer lets an entry go once the watermark has passed its end.
+state (of exact keys by buckets of keys), time is event time, and a timer lets an entry go once the watermark has passed its end.
 A request is judged by the entries there are when it is processed: those of earlier micro-batches,
-and in its own those of requests before it in order of time and id. The rows of one key in one
+and in its own those of requests before it in order of time and id. The rows of one bucket in one
 micro-batch are held together, so a trigger's size bounds memory.
 """
 
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .state import by_bucket
+
 TTL_SECONDS = 86_400
 THRESHOLD = 0.92
 
 
 def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All of a key's rows in a micro-batch (Arrow may give them in several pieces) by time and id."""
+    """All of a bucket's rows in a micro-batch (Arrow may give them in several pieces) by time and id."""
     return pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable", ignore_index=True)
 
 
@@ -31,32 +33,48 @@ def micros(at: pd.Series) -> np.ndarray:
 
 
 class ExactCache(StatefulProcessor):
-    """Of each key the time of its last miss."""
+    """Of each key of a bucket the time of its last miss; one timer a bucket lets go what has ended."""
 
     def __init__(self, ttl: int) -> None:
         self.ttl = ttl * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.since = handle.getValueState("since", "at long")
+        self.live = handle.getValueState("live", "keys array<string>, since array<long>, timer long")
+
+    def _known(self) -> tuple[dict, int | None]:
+        keys, since, timer = self.live.get() if self.live.exists() else ([], [], None)
+        return dict(zip(keys, since, strict=True)), timer
+
+    def _keep(self, known: dict, timer: int | None) -> None:
+        if not known:
+            return self.live.clear()
+        if timer is None:
+            timer = (min(known.values()) + self.ttl) // 1000
+            self.handle.registerTimer(timer)
+        self.live.update((list(known), list(known.values()), timer))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         got = in_order(rows)
-        at, hit = micros(got["at"]), np.ones(len(got), bool)
-        before = self.since.get()[0] if self.since.exists() else None
-        since, k = before, 0 if before is None else int(np.searchsorted(at, before + self.ttl))
-        while k < len(at):  # a step for each miss; all requests until its end are hits
-            hit[k], since = False, int(at[k])
-            k = int(np.searchsorted(at, since + self.ttl))
-        if since != before:
-            self.since.update((since,))
-            if before is not None:
-                self.handle.deleteTimer((before + self.ttl) // 1000)
-            self.handle.registerTimer((since + self.ttl) // 1000)
-        yield pd.DataFrame({"key": [key[0]] * len(got), "request_id": got["request_id"], "hit": hit})
+        known, timer = self._known()
+        codes, keys = pd.factorize(got["key"], use_na_sentinel=False)
+        got = got.iloc[np.argsort(codes, kind="stable")]  # by key, and in order still
+        at, hit, end = micros(got["at"]), np.ones(len(got), bool), np.cumsum(np.bincount(codes))
+        k = 0
+        for name, stop in zip((None if pd.isna(n) else n for n in keys), end.tolist(), strict=True):
+            mine, first = at[k:stop], k
+            since = known.get(name)
+            k = 0 if since is None else int(np.searchsorted(mine, since + self.ttl))
+            while k < len(mine):  # a step for each miss; all requests until its end are hits
+                hit[first + k], since = False, int(mine[k])
+                k = int(np.searchsorted(mine, since + self.ttl))
+            known[name], k = since, stop
+        self._keep(known, timer)
+        yield pd.DataFrame({"key": got["key"], "request_id": got["request_id"], "hit": hit})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.since.clear()
+        now, (known, _) = timerValues.getCurrentWatermarkInMs(), self._known()
+        self._keep({k: since for k, since in known.items() if (since + self.ttl) // 1000 > now}, None)
         return iter(())
 
     def close(self) -> None:
@@ -70,7 +88,7 @@ def exact_hits(requests: DataFrame, key: str, at: str, ttl: int = TTL_SECONDS, l
     the latest are dropped by the watermark.
     """
     rows = requests.select(F.col(key).cast("string").alias("key"), F.col("request_id").cast("long").alias("request_id"), F.col(at).alias("at")).where("at is not null")
-    return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(ExactCache(ttl), "key string, request_id long, hit boolean", "Append", "EventTime")
+    return by_bucket(rows.withWatermark("at", late), "key").transformWithStateInPandas(ExactCache(ttl), "key string, request_id long, hit boolean", "Append", "EventTime")
 
 
 class VectorCache(StatefulProcessor):

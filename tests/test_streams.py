@@ -201,3 +201,13 @@ class Handle:
     def registerTimer(self, at):  # noqa: N802
         self.calls += 1
         self.timers.append(at)
+
+
+def test_one_call_serves_all_keys_of_a_bucket():
+    import pandas as pd
+
+    handle, cache = Handle(), caches.ExactCache(60)
+    cache.init(handle)
+    rows = pd.DataFrame({"key": [str(k % 500) for k in range(1000)], "request_id": range(1000), "at": pd.to_datetime([1_704_067_200 + k // 500 for k in range(1000)], unit="s")})
+    out = pd.concat(cache.handleInputRows((0,), iter([rows]), None))
+    assert set(out.loc[~out["hit"], "request_id"]) == set(range(500)) and handle.calls < 10 and len(handle.timers) == 1
