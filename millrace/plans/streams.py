@@ -15,12 +15,13 @@ from .conversations import PAIRS, said
 
 def in_two_runs(spark: SparkSession, parts: list[DataFrame], stream) -> DataFrame:
     """Runs ``stream`` (of a streaming table) over the first part, then again from its checkpoint over each of the
-    others: a part is one micro-batch, of any number of files."""
+    others: a part is one micro-batch, of any number of files. Only before the last part and after it time passes by
+    itself, so that rows of the others aren't late for each other."""
     scope = Scope(spark, "stream")
     folder, schema = scope.folder("in"), parts[0].schema
     for k, part in enumerate(parts):
         feed(part, folder, k)
-        out = run_on(stream(fed(spark, folder, schema)), scope.folder("out"), scope.folder("state"))
+        out = run_on(stream(fed(spark, folder, schema)), scope.folder("out"), scope.folder("state"), settle=k >= len(parts) - 2)
     return out
 
 

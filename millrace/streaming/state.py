@@ -18,6 +18,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_SETTLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 _PARTITIONS = "spark.sql.shuffle.partitions"
 #: Buckets of keys. A stream's checkpoint holds to them.
 BUCKETS = 1024
@@ -36,10 +37,11 @@ def last_millis(rows: pd.DataFrame, key: str) -> dict:
 
 
 @contextmanager
-def typed_state(spark: SparkSession) -> Iterator[None]:
-    """The state store that typed state needs, and partitions by the cluster's cores, for the streams started inside."""
+def typed_state(spark: SparkSession, settle: bool = True) -> Iterator[None]:
+    """The state store that typed state needs, and partitions by the cluster's cores, for the streams started inside.
+    Unless they are to ``settle``, time doesn't pass after their last micro-batch until there is more to read."""
     some = min(int(spark.conf.get(_PARTITIONS)), PARTITIONS_A_CORE * spark.sparkContext.defaultParallelism)
-    wanted = {_PROVIDER: _ROCKSDB, _PARTITIONS: str(some)}
+    wanted = {_PROVIDER: _ROCKSDB, _PARTITIONS: str(some), _SETTLE: str(settle).lower()}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -63,11 +65,11 @@ def fed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
 
 
-def run_on(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
+def run_on(stream: DataFrame, table: str, checkpoint: str, settle: bool = True) -> DataFrame:
     """Runs a stream over what there is since its checkpoint, adds its rows to the table at ``table``, and
     returns all of them. Called again, also by another process, it goes on where it was."""
     spark = stream.sparkSession
-    with typed_state(spark):
+    with typed_state(spark, settle):
         query = stream.writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(table)

@@ -155,7 +155,7 @@ def test_a_part_is_one_micro_batch_of_many_files(spark, monkeypatch):
     from millrace.plans import streams as plans
 
     seen = []
-    monkeypatch.setattr(plans, "run_on", lambda stream, out, state, run=plans.run_on: seen.append(len(set(spark.read.option("recursiveFileLookup", True).parquet(out.replace("/out", "/in")).inputFiles()))) or run(stream, out, state))
+    monkeypatch.setattr(plans, "run_on", lambda stream, out, state, settle, run=plans.run_on: seen.append(len(set(spark.read.option("recursiveFileLookup", True).parquet(out.replace("/out", "/in")).inputFiles()))) or run(stream, out, state, settle))
     rows = spark.range(40).selectExpr("id as request_id", "cast(id % 7 as string) as key", "timestamp_seconds(1704067200 + id) as at").repartition(4)
     got = in_two_runs(spark, [rows.where("request_id < 20"), rows.where("request_id >= 20")], lambda s: caches.exact_hits(s, "key", "at", 3600))
     assert seen[0] == 4 and seen[1] == 8  # not one task that writes all of a part
@@ -211,3 +211,36 @@ def test_one_call_serves_all_keys_of_a_bucket():
     rows = pd.DataFrame({"key": [str(k % 500) for k in range(1000)], "request_id": range(1000), "at": pd.to_datetime([1_704_067_200 + k // 500 for k in range(1000)], unit="s")})
     out = pd.concat(cache.handleInputRows((0,), iter([rows]), None))
     assert set(out.loc[~out["hit"], "request_id"]) == set(range(500)) and handle.calls < 10 and len(handle.timers) == 1
+
+
+def test_one_call_puts_all_streams_of_a_bucket_together():
+    import pandas as pd
+
+    handle, assembler = Handle(), deltas.Assembler(1000)
+    assembler.init(handle)
+    rows = pd.DataFrame({"stream_id": [k % 300 for k in range(600)], "seq": [k // 300 for k in range(600)], "delta": ["a"] * 600, "done": [k >= 300 and k % 2 == 0 for k in range(600)], "at": pd.to_datetime([1_704_067_200] * 600, unit="s")})
+    out = pd.concat(assembler.handleInputRows((0,), iter([rows]), None))
+    assert set(out["stream_id"]) == set(range(0, 300, 2)) and set(out["text"]) == {"aa"} and handle.calls < 10 and handle.timers == [1_704_067_201_000]
+
+
+def test_one_call_holds_all_sessions_of_a_bucket_also_those_without_news():
+    import pandas as pd
+
+    def message(conv, turn):
+        return (conv, turn, ("user", "assistant")[turn % 2], f"t{turn}", None, None, False, pd.Timestamp(1_704_067_200 + turn, unit="s"))
+
+    handle, held = Handle(), sessions.Sessions(1, 1000, sessions.first_lines)
+    held.init(handle)
+    columns = ["conv_id", "turn", "role", "text", "project", "technologies", "anchored", "at"]
+    rows = pd.DataFrame([message(c, t) for c in range(200) for t in range(4)], columns=columns)
+    out = pd.concat(held.handleInputRows((0,), iter([rows]), None))
+    assert len(out) == 400 and set(out.loc[out["turn_index"] == 2, "evicted"]) == {1} and handle.calls < 10
+    handle.calls, news = 0, pd.DataFrame([message(7, t) for t in (4, 5)], columns=columns)
+    out = pd.concat(held.handleInputRows((0,), iter([news]), None))
+    assert out[["conv_id", "turn_index"]].values.tolist() == [[7, 3]] and handle.calls < 10 and len(handle.value[0]) == 200
+
+
+def test_parts_of_one_run_are_not_late_for_each_other(spark):
+    rows = [(1, at(0), 1, "b", False), (1, at(60), 0, "a", False), (1, at(0), 2, "c", True), (9, at(10**6), 0, "", False)]
+    got = in_two_runs(spark, parts_of(spark, rows, "stream_id long, at timestamp, seq long, delta string, done boolean", (1, 2, 3)), lambda s: deltas.assembled_stream(s, 3_600_000)).collect()
+    assert [(r["text"], r["complete"]) for r in got if r["stream_id"] == 1] == [("abc", True)]
