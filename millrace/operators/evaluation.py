@@ -103,9 +103,13 @@ def memory_scores(facts: DataFrame, by: str) -> DataFrame:
 
 
 def live_facts(facts: DataFrame, turns: DataFrame, by: str) -> DataFrame:
-    """(by, turn, key): the facts that were introduced by a turn and not superseded before it."""
-    f = facts.select(F.col(by).alias("__by"), "key", "introduced_at", "superseded_at")
-    met = turns.join(f, (F.col(by) == F.col("__by")) & (F.col("introduced_at") <= F.col("turn")) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("turn"))))
+    """(by, turn, key): the facts that were introduced by a turn and not superseded before it.
+
+    Both sides are dealt to all shuffle partitions: put together by their packed sizes, sorted keys pack so well that a
+    task would sort many times what it was meant to."""
+    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = facts.select(F.col(by).alias("__by"), "key", "introduced_at", "superseded_at").repartition(n, "__by")
+    met = turns.repartition(n, by).join(f, (F.col(by) == F.col("__by")) & (F.col("introduced_at") <= F.col("turn")) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > F.col("turn"))))
     return met.select(by, "turn", "key")
 
 

@@ -58,3 +58,15 @@ def test_first_rows_of_groups(spark):
     assert sorted((str(r["g"]), r["v"]) for r in got.collect()) == sorted((str(g), v) for g in (0, 1, 2, None) for v in sorted((v for x, v in rows if x == g and v is not None), reverse=True)[:2])
     # few rows of a group leave each task
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_live_facts_are_dealt_to_all_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import evaluation
+
+    facts = spark.range(40).selectExpr("id as o", "'k' as key", "1 as introduced_at", "cast(if(id % 2 = 0, 2, null) as int) as superseded_at").hint("merge")
+    turns = spark.range(80).selectExpr("id div 2 as o", "cast(id % 2 + 1 as int) as turn")
+    got = evaluation.live_facts(facts, turns, "o").withColumn("p", F.spark_partition_id()).collect()
+    assert {(r["o"], r["turn"]) for r in got} == {(o, t) for o in range(40) for t in (1, 2) if o % 2 or t == 1}
+    assert len({r["p"] for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
