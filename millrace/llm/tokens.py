@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import xxhash
@@ -41,14 +42,17 @@ FILE_ROWS = 20_000
 _SKIP_INDEX, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n_tokens", "<u8"), ("ids_crc32", "<u4"), ("frame", "<u4"), ("at", "<u8")])
 
-#: Parts of texts that a worker remembers with their ids, in each of two generations: when the
+#: Pieces of texts that a worker remembers with their ids, in each of two generations: when the
 #: young one is full it becomes the old one, and only what is met again moves on.
-CACHE = 500_000
+CACHE = 400_000
+#: Bytes of texts that are encoded together, so that what they share is looked up once.
+BLOCK = 1 << 21
 #: A space before something that isn't space begins a new piece of the pre-tokenizer.
 _ODD = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
 #: The byte-level pre-tokenizer's pieces (fixed by the format).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 
@@ -65,8 +69,9 @@ class Encoder:
 
     For byte-level BPE, the pre-tokenizer always begins a piece at a space that is followed by
     something else than space, and merges never cross pieces; so a text's ids are the ids of the
-    parts between such places. Parts repeat, so each worker keeps those it has met, and the
-    model encodes the pieces of the others. Texts that hold an added token of the file (such as an
+    parts between such places. Of a block of texts each part is looked at once; parts are cut into the
+    pieces of the pre-tokenizer, each worker keeps the pieces it has met, and the model encodes
+    a block's other pieces in one call. Texts that hold an added token of the file (such as an
     end mark written out) are encoded whole by the library, which takes these out first; so are all
     texts where the file is of another kind.
     """
@@ -76,6 +81,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
@@ -83,9 +89,17 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         before = made.get("pre_tokenizer") or {}
         self.by_parts = made.get("normalizer") is None and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.letter = np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u4")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        if self.by_parts:
+            self.model._resize_cache(0)  # pieces are kept here
+            self.lines = Tokenizer(self.model)
+            self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+            vocabulary = made["model"]["vocab"]
+            self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+            self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -95,28 +109,56 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, p: str) -> bytes:
-        """The ids of one piece of the pre-tokenizer."""
-        ids = self.young.get(p) or self.old.get(p)
-        if ids is None:
-            ids = self.pack([t.id for t in self.tokenizer.model.tokenize(p.encode("utf-8", "replace").decode("latin-1").translate(self.letters))])
-        self.young[p] = ids
-        return ids
-
-    def part(self, p: str) -> bytes:
-        if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
-            return self.piece(p)
-        if _UNSURE.search(p):  # what counts as space differs between libraries
-            return self.whole(p)
-        return b"".join([self.piece(q) for q in _PIECES.findall(p)])
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        if _ODD.search(text):
-            cut = _CUT.split(text)
-        else:
-            cut = text.split(" ")
-        return cut[:1] + [" " + p for p in cut[1:]] if len(cut) > 1 else cut
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that aren't known, by one call of the model: letters never hold the line end that
+        is put between pieces, and the ids' lengths in letters tell where each piece ends."""
+        data = np.frombuffer("".join(pieces).encode("utf-8", "replace"), "u1")
+        begins = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+        wanted = begins[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        lines = np.insert(self.letter[data], wanted, 10).tobytes().decode("utf-32-le")
+        ids = np.array(self.lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = np.cumsum(self.lengths[ids])
+        stops = np.searchsorted(ends, wanted) + 1
+        if not len(ends) or stops[-1] != len(ends) or (ends[stops - 1] != wanted).any():  # a vocabulary that drops or adds letters
+            return [self.pack([t.id for t in self.model.tokenize(p)]) for p in lines.split("\n")[:-1]]
+        raw, places = ids.tobytes(), (np.r_[0, stops] * self.width).tolist()
+        return [raw[start:stop] for start, stop in zip(places, places[1:], strict=False)]
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, kept for when they are met again."""
+        young, old = self.young, self.old
+        got = list(map(young.get, pieces))
+        lacking = {p for p, ids in zip(pieces, got, strict=True) if ids is None}
+        if not lacking:
+            return got
+        new = []
+        for p in lacking:
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                young[p] = ids
+        if new:
+            young.update(zip(new, self.fresh(new), strict=True))
+        return [young[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+
+    def cut(self, parts: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of parts that begin with a space and something else, and how many each part has. They are cut
+        all at once, as between two of them a piece ends. A part where libraries differ in what is space counts
+        as a piece, with the ids that the library gives for the whole of it."""
+        joined = "".join(parts)
+        if not _UNSURE.search(joined):
+            pieces = (_ASCII_PIECES if joined.isascii() else _PIECES).findall(joined)
+            stops = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))) + 1
+            return pieces, np.diff(stops, prepend=0).tolist()
+        pieces, counts = [], []
+        for p in parts:
+            own = [p] if _UNSURE.search(p) else _PIECES.findall(p)
+            if _UNSURE.search(p):
+                self.young[p] = self.whole(p)
+            pieces += own
+            counts.append(len(own))
+        return pieces, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, without an end id, little-endian in ``width`` bytes each."""
@@ -124,13 +166,42 @@ class Encoder:
             return [self.whole(t) for t in texts]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        whole = {k: self.whole(t) for k, t in enumerate(texts) if self.added and self.added.search(t)}
-        young, old = self.young, self.old
-        split = [self.parts(t) if t and k not in whole else [] for k, t in enumerate(texts)]
-        for p in set().union(*split):
-            if p not in young:
-                young[p] = old.get(p) or self.part(p)
-        return [whole[k] if k in whole else b"".join(map(young.__getitem__, parts)) for k, parts in enumerate(split)]
+        out, plain, odd = [b""] * len(texts), [], []
+        for k, t in enumerate(texts):
+            if self.added and self.added.search(t):
+                out[k] = self.whole(t)
+            elif t:
+                (odd if _ODD.search(t) else plain).append(k)
+        # parts without the space before them, numbered; a text's first part has none and a number of its own
+        even, uneven = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " "), [_CUT.split(texts[k]) for k in odd]
+        words = pa.concat_arrays([even.flatten(), pa.array([p for parts in uneven for p in parts], pa.large_string())]).dictionary_encode()
+        codes, names = np.array(words.indices), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        bounds = np.cumsum(np.r_[0, np.diff(np.array(even.offsets)), np.array([len(parts) for parts in uneven], np.int64)])
+        first, at_first = np.unique(codes[bounds[:-1]], return_inverse=True)
+        codes[bounds[:-1]] = len(names) + at_first
+        # words are one piece each; of other parts the pieces are found
+        is_word = np.fromiter(map(str.isalpha, names), bool, len(names))
+        pieces = [" " + p for p, one in zip(names, is_word.tolist(), strict=True) if one]
+        is_ascii = np.fromiter(map(str.isascii, names), bool, len(names)) & ~is_word
+        groups = [np.flatnonzero(is_ascii), np.flatnonzero(~is_ascii & ~is_word)]
+        others = [self.cut([" " + names[c] for c in group.tolist()]) for group in groups]
+        others += [self.cut([names[c]]) if names[c] else ([], [0]) for c in first.tolist()]
+        order = np.r_[np.flatnonzero(is_word), *groups, len(names) + np.arange(len(first))]
+        counts = np.array([1] * len(pieces) + [n for _, own in others for n in own], np.int64)
+        ids = self.known(pieces + [p for own, _ in others for p in own])
+        # where the ids of each part begin, and how many they are
+        places = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))] // self.width
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        stops = np.cumsum(counts)
+        starts[order], sizes[order] = places[stops - counts], places[stops] - places[stops - counts]
+        each = sizes[codes]
+        ends = np.r_[0, np.cumsum(each)]
+        place = np.int32 if max(ends[-1], places[-1]) < 1 << 31 else np.int64
+        raw = np.frombuffer(b"".join(ids), f"<u{self.width}")[np.arange(ends[-1], dtype=place) + np.repeat((starts[codes] - ends[:-1]).astype(place), each)].tobytes()
+        ends = (ends[bounds] * self.width).tolist()
+        for k, start, stop in zip(plain + odd, ends, ends[1:], strict=False):
+            out[k] = raw[start:stop]
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -261,7 +332,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_
         name, made = f"part-{part:06d}.ids.zst", f"{root}/.attempt-{part}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         own, n, writer, sink = encoder(tokenizer), 0, None, None
         end = end_id.to_bytes(own.width, "little")
-        for batch in blocks(batches, keeps="tokens"):
+        for batch in blocks(batches, most=BLOCK, keeps="tokens"):
             if writer is None:
                 sink = fs.open_output_stream(made)
                 writer = Writer(sink, own.width)

@@ -41,6 +41,19 @@ def test_parts_encode_like_whole_texts(texts):
     assert own.encode(odd) == [own.pack(e.ids) for e in LIBRARY.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_a_block_is_encoded_by_pieces(texts):
+    own = tokens.Encoder(tokens.default_tokenizer())
+    block = [texts(k, 300) for k in range(20)] + ["so, so. so! (so) 'tis", "", "a  b", " x\x1cy z"]
+    want = [own.pack(e.ids) for e in LIBRARY.encode_batch(block, add_special_tokens=False)]
+    assert own.encode(block) == want and own.encode(block[::-1]) == want[::-1]
+    # what is kept are pieces: a word with another mark after it isn't encoded anew
+    assert {" so", ",", ".", "!"} <= set(own.young) and " so," not in own.young
+    assert all(len(tokens._PIECES.findall(p)) == 1 for p in own.young if "\x1c" not in p)
+    own.lengths[:] = 3  # lengths that tell no ends: each piece is encoded by itself
+    own.young, own.old = {}, {}
+    assert own.encode(block) == want
+
+
 def test_file_round_trip_and_damage():
     sink = io.BytesIO()
     writer = tokens.Writer(sink, width=2, frame=64)
