@@ -120,3 +120,13 @@ def test_a_run_over_all_formats(spark, root):
     whole = ingest.totals(found).first()
     assert (whole["sources"], whole["skipped"], whole["failed"]) == (7, 1, 4)
     assert ingest.run(catalog.catalog_of(spark, sources), root, F.current_timestamp(), "key", names=["old"])[0].count() == 0
+
+
+def test_units_with_personal_data_are_made_once(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.txt").write_text("Write to ana@example.com or to nobody at all.\n\nshort\n\nNothing personal in this paragraph.")
+    source = {"name": "c", "location": "lake://c", "format": "txt", "contains_pii": True}
+    staged = ingest.stage_source(spark, source, str(tmp_path), F.lit("2026-01-01").cast("timestamp"), "key")
+    assert "_nfkc" not in staged._jdf.queryExecution().optimizedPlan().toString()  # read from what was made, not made for each outcome
+    got = sorted((r["outcome"], r["replaced"], "ana@" in r["content"]) for r in staged.where("content is not null").collect())
+    assert got == [("dropped", 0, False), ("kept", 0, False), ("kept", 1, False)]
