@@ -29,8 +29,8 @@ FORMAT = "catalog_files"
 SCHEMA = "source string, path string, name string, bytes long, modified timestamp, content binary, error string"
 #: Bytes of files that one task reads.
 TASK_BYTES = 64 << 20
-#: Bytes of files that one Arrow batch holds.
-BATCH_BYTES = 8 << 20
+#: Bytes of files that one Arrow batch holds; a larger file is a batch of its own.
+BATCH_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class File:
@@ -72,28 +72,35 @@ def packed(files: list[File], most: int = TASK_BYTES) -> list[Files]:
     return [Files(g) for g in groups]
 
 
+def _row(f: File) -> tuple:
+    content, error = None, None
+    try:
+        fs, path = pafs.FileSystem.from_uri(f.path)
+        with fs.open_input_file(path) as file:  # its size is known, so it is read in one piece
+            content = file.read()
+    except OSError as e:
+        error = f"{type(e).__name__}: {str(e)[:200]}"
+    return f.source, f.path, f.path.rpartition("/")[2], f.bytes, f.modified, content, error
+
+
 def batches(files: Iterable[File]) -> Iterator[pa.RecordBatch]:
-    """The files' rows; a file that can't be read tells its error and doesn't stop the others."""
+    """The files' rows; a file that can't be read tells its error and doesn't stop the others. While a batch is
+    out, nothing else is held: a task's memory goes with its largest file, not with its share of all."""
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         names = ["source", "path", "name", "bytes", "modified", "content", "error"]
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        columns = list(zip(*rows, strict=True))
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     rows, size = [], 0
     for f in files:
-        content, error = None, None
-        try:
-            fs, path = pafs.FileSystem.from_uri(f.path)
-            with fs.open_input_stream(path) as stream:
-                content = stream.read()
-        except OSError as e:
-            error = f"{type(e).__name__}: {str(e)[:200]}"
-        rows.append((f.source, f.path, f.path.rpartition("/")[2], f.bytes, f.modified, content, error))
-        size += f.bytes
-        if size >= BATCH_BYTES:
+        if rows and size + f.bytes > BATCH_BYTES:
             yield made(rows)
-            rows, size = [], 0
+            size = 0
+        rows.append(_row(f))
+        size += f.bytes
     if rows:
         yield made(rows)
 

@@ -1,4 +1,7 @@
 import os
+import tracemalloc
+
+import pyarrow as pa
 
 from millrace.operators import ingest
 from millrace.sources import folders
@@ -47,6 +50,23 @@ def test_files_are_dealt_by_size(tmp_path):
     assert rows[0]["content"] is None and "FileNotFound" in rows[0]["error"] and rows[1]["content"] == b"x"
 
 
+def test_a_task_holds_one_batch_of_few_bytes_or_one_file(tmp_path):
+    sizes = [700_000] * 16 + [5_000_000] + [300_000] * 9
+    for k, size in enumerate(sizes):
+        put(tmp_path, f"{k:02}", "x" * size)
+    files = [folders.File("s", f"file://{tmp_path}/{k:02}", size, 0) for k, size in enumerate(sizes)]
+    tracemalloc.start()
+    try:
+        before, held, read = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes(), [], []
+        for batch in folders.batches(files):
+            held.append(tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before)
+            read += [len(v.as_buffer()) for v in batch["content"]]
+    finally:
+        tracemalloc.stop()
+    assert read == sizes
+    assert max(held) < 5_500_000 and sorted(held)[-2] < 1_500_000
+
+
 def test_a_stream_of_files_goes_on_from_its_checkpoint(spark, tmp_path):
     with Scope(spark, "files") as scope:
 
